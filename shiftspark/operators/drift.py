@@ -106,16 +106,16 @@ def ks_test(
     obs: DataFrame,
     spec: ObsSpec,
     alpha: float = KS_ALPHA,
-    n_buckets: int | None = None,
+    layout: Layout | None = None,
     side_by_side: int = SIDE_BY_SIDE,
 ) -> DataFrame:
     """(scenario, feature, ks_statistic, n_baseline, n_prod, p_value, drifted).
 
     Features that one side lacks, or where it has only missing values, give
     no row. Up to ``side_by_side`` samples are accumulated in parallel
-    columns; more of them in rows."""
-    have = common_features(spec, obs)
-    layout = size_up(obs, spec.scenario, have, n_buckets)
+    columns; more of them in rows. A layout from an earlier sizing pass
+    saves that pass."""
+    layout = layout or size_up(obs, spec.scenario, common_features(spec, obs))
     if 1 < len(layout.scenarios) <= side_by_side:
         tested = ks_side_by_side(features_long(obs, spec).withColumn("n", F.lit(1)), spec, layout)
     else:
@@ -157,10 +157,10 @@ def moment_columns(paired: DataFrame) -> DataFrame:
 
 
 def drift_table(
-    obs: DataFrame, spec: ObsSpec, alpha: float = KS_ALPHA, n_buckets: int | None = None
+    obs: DataFrame, spec: ObsSpec, alpha: float = KS_ALPHA, layout: Layout | None = None
 ) -> DataFrame:
     """Tests, effect sizes and means in one long table: the canonical drift result."""
-    return ks_test(obs, spec, alpha, n_buckets).join(moment_shift(obs, spec), ["scenario", "feature"])
+    return ks_test(obs, spec, alpha, layout).join(moment_shift(obs, spec), ["scenario", "feature"])
 
 
 def by_ks(table: DataFrame) -> DataFrame:

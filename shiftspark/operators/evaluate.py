@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shiftspark.functions.display import degraded
 from shiftspark.functions.stats import count_where, d, grid_index, known, ratio
-from shiftspark.operators.prefix import Running, running_sums, size_up, with_bucket
+from shiftspark.operators.prefix import Layout, Running, running_sums, size_up, with_bucket
 from shiftspark.spec import DEFAULT_THRESHOLD, DEGRADED_MARGIN, ObsSpec
 
 METRICS = ["f1_score", "auc_roc", "precision", "recall"]
@@ -73,12 +73,12 @@ def score_counts(obs: DataFrame, spec: ObsSpec) -> DataFrame:
     )
 
 
-def _ranked(counts: DataFrame, obs: DataFrame, spec: ObsSpec, sums: list[Running], n_buckets: int | None) -> DataFrame:
+def _ranked(counts: DataFrame, obs: DataFrame, spec: ObsSpec, sums: list[Running], layout: Layout | None) -> DataFrame:
     """Running sums over the scores of each scenario; cuts are shared by all."""
-    layout = size_up(obs, spec.scenario, [spec.score], n_buckets)
+    layout = layout or size_up(obs, spec.scenario, [spec.score])
     cuts = {"score": layout.cuts[spec.score]}
     placed = with_bucket(counts.withColumn("_axis", F.lit("score")), "score", cuts, by="_axis").drop("_axis")
-    return running_sums(placed, "score", sums, layout.bucketed)
+    return running_sums(placed, "score", sums, bool(cuts["score"]))
 
 
 def auc_sum() -> Column:
@@ -90,20 +90,20 @@ def auc_sum() -> Column:
     return F.when(pairs > 0, F.sum(wins) / pairs)
 
 
-def auc(obs: DataFrame, spec: ObsSpec, n_buckets: int | None = None) -> DataFrame:
+def auc(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
     rows = _ranked(
-        score_counts(obs, spec), obs, spec, [Running("neg_upto", "neg", ("scenario",))], n_buckets
+        score_counts(obs, spec), obs, spec, [Running("neg_upto", "neg", ("scenario",))], layout
     )
     return rows.groupBy("scenario").agg(auc_sum().alias("auc_roc"))
 
 
-def evaluate(obs: DataFrame, spec: ObsSpec, n_buckets: int | None = None) -> DataFrame:
+def evaluate(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
     """One metric record per scenario, all scenarios in one job.
 
     A scenario without labels or without predictions keeps its row, with
     NULL metrics."""
     rows = _ranked(
-        score_counts(obs, spec), obs, spec, [Running("neg_upto", "neg", ("scenario",))], n_buckets
+        score_counts(obs, spec), obs, spec, [Running("neg_upto", "neg", ("scenario",))], layout
     )
     sums = rows.groupBy("scenario").agg(
         F.sum("rows").alias("n_rows"),
@@ -116,10 +116,10 @@ def evaluate(obs: DataFrame, spec: ObsSpec, n_buckets: int | None = None) -> Dat
     return with_prf(sums).select("scenario", "n_rows", "positive_rate", *CELLS, *METRICS)
 
 
-def roc_curve(obs: DataFrame, spec: ObsSpec, n_buckets: int | None = None) -> DataFrame:
+def roc_curve(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
     """(scenario, threshold, fpr, tpr): every distinct score as a threshold,
     and the starting point (0, 0) with no threshold."""
-    pts = _curve_counts(obs, spec, n_buckets)
+    pts = _curve_counts(obs, spec, layout)
     points = pts.select(
         "scenario",
         F.col("score").alias("threshold"),
@@ -132,11 +132,11 @@ def roc_curve(obs: DataFrame, spec: ObsSpec, n_buckets: int | None = None) -> Da
     return points.unionByName(start)
 
 
-def pr_curve(obs: DataFrame, spec: ObsSpec, n_buckets: int | None = None) -> DataFrame:
+def pr_curve(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
     """(scenario, threshold, precision, recall), ended by (1, 0) with no threshold.
 
     Recall is 1 throughout where there is no positive."""
-    pts = _curve_counts(obs, spec, n_buckets)
+    pts = _curve_counts(obs, spec, layout)
     points = pts.select(
         "scenario",
         F.col("score").alias("threshold"),
@@ -154,7 +154,7 @@ def _scenarios(obs: DataFrame, spec: ObsSpec) -> DataFrame:
     return obs.filter(scored).select(F.col(spec.scenario).alias("scenario")).distinct()
 
 
-def _curve_counts(obs: DataFrame, spec: ObsSpec, n_buckets: int | None) -> DataFrame:
+def _curve_counts(obs: DataFrame, spec: ObsSpec, layout: Layout | None) -> DataFrame:
     """Counts at or above each score, from the running counts up to it."""
     rows = _ranked(
         score_counts(obs, spec).filter(F.col("pos") + F.col("neg") > 0),
@@ -164,7 +164,7 @@ def _curve_counts(obs: DataFrame, spec: ObsSpec, n_buckets: int | None) -> DataF
             Running("pos_upto", "pos", ("scenario",), total=True),
             Running("neg_upto", "neg", ("scenario",), total=True),
         ],
-        n_buckets,
+        layout,
     )
     return rows.select(
         "scenario",

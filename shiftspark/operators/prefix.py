@@ -11,7 +11,7 @@ a result.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,11 +26,13 @@ SAMPLE_SHARE = 0.05
 
 @dataclass(frozen=True)
 class Layout:
-    """What one sizing pass found: rows, scenario names and bucket cuts per column."""
+    """What one sizing pass found: rows, scenario names, bucket cuts per column
+    and, where a baseline was named, its smallest and largest value per column."""
 
     rows: int
     scenarios: tuple[str, ...]
     cuts: dict[str, list[float]]
+    ranges: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     @property
     def bucketed(self) -> bool:
@@ -59,8 +61,15 @@ def bucket_count(rows: int) -> int:
     return min(MAX_BUCKETS, 2 ** math.ceil(math.log2(rows / ROWS_PER_BUCKET)))
 
 
-def size_up(df: DataFrame, scenario: str, cols: list[str], n_buckets: int | None = None) -> Layout:
-    """Counts the rows, lists the scenarios and finds bucket cuts in one map-side pass.
+def size_up(
+    df: DataFrame,
+    scenario: str,
+    cols: list[str],
+    n_buckets: int | None = None,
+    baseline: str | None = None,
+) -> Layout:
+    """Counts the rows, lists the scenarios, finds bucket cuts and baseline
+    ranges, all in one map-side pass.
 
     The cuts are approximate quantiles of a row sample; they decide how even
     the tasks are and nothing else, so neither the sample nor the
@@ -73,26 +82,29 @@ def size_up(df: DataFrame, scenario: str, cols: list[str], n_buckets: int | None
     # As SQL text: a thousand literals are parsed at once.
     probs = ", ".join(f"{i / finest!r}D" for i in range(1, finest))
     picked = F.rand(42) < F.lit(SAMPLE_SHARE if n_buckets is None else 1.0)
-    rows = df.withColumn("_pick", picked).select(
-        F.col(scenario).alias("_s"),
-        *[F.when(F.col("_pick"), known(c)).alias(f"_c{i}") for i, c in enumerate(cols)],
+    values = df.withColumn("_pick", picked).select(
+        F.col(scenario).alias("_s"), "_pick", *[known(c).alias(f"_c{i}") for i, c in enumerate(cols)]
     )
-    quantiles = (
-        [
-            F.expr(f"percentile_approx(_c{i}, array({probs}), {2 * MAX_BUCKETS})").alias(f"_q{i}")
-            for i in range(len(cols))
-        ]
-        if probs
-        else []
+    rows = values.select(
+        "*", *[F.when(F.col("_pick"), F.col(f"_c{i}")).alias(f"_p{i}") for i in range(len(cols))]
     )
-    found = rows.agg(F.count("*").alias("n"), F.collect_set("_s").alias("names"), *quantiles).first()
+    aggs = [F.count("*").alias("n"), F.collect_set("_s").alias("names")]
+    for i in range(len(cols)):
+        if probs:
+            aggs.append(F.expr(f"percentile_approx(_p{i}, array({probs}), {2 * MAX_BUCKETS})").alias(f"_q{i}"))
+        if baseline is not None:
+            own = F.when(F.col("_s") == baseline, F.col(f"_c{i}"))
+            aggs += [F.min(own).alias(f"_lo{i}"), F.max(own).alias(f"_hi{i}")]
+    found = rows.agg(*aggs).first().asDict()
     n = bucket_count(found["n"]) if n_buckets is None else n_buckets
     stride = finest // n
-    cuts = {}
+    cuts, ranges = {}, {}
     for i, c in enumerate(cols):
         q = (found[f"_q{i}"] or []) if n > 1 else []
         cuts[c] = list(q[stride - 1 :: stride])
-    return Layout(found["n"], tuple(sorted(found["names"])), cuts)
+        if found.get(f"_lo{i}") is not None:
+            ranges[c] = (found[f"_lo{i}"], found[f"_hi{i}"])
+    return Layout(found["n"], tuple(sorted(found["names"])), cuts, ranges)
 
 
 def with_bucket(df: DataFrame, order: str, cuts: dict[str, list[float]], by: str) -> DataFrame:

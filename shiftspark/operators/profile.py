@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shiftspark.functions.bins import bin_edge, bin_of
 from shiftspark.functions.stats import count_where, d, known
-from shiftspark.operators.prefix import Running, picked_by_rank, running_sums, size_up, with_bucket
+from shiftspark.operators.prefix import Layout, Running, picked_by_rank, running_sums, size_up, with_bucket
 from shiftspark.operators.select import common_features, features_long
 from shiftspark.operators.small import attach
 from shiftspark.spec import ObsSpec
@@ -71,14 +71,13 @@ def feature_moments(obs: DataFrame, spec: ObsSpec, population: bool = False) ->
 
 
 def exact_quantiles(
-    obs: DataFrame, spec: ObsSpec, probs: dict[str, float], n_buckets: int | None = None
+    obs: DataFrame, spec: ObsSpec, probs: dict[str, float], layout: Layout | None = None
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per (scenario, feature), one column per entry.
 
     Ranks are located in running counts of the distinct values, so no task
     has to hold a whole feature, however many distinct values it has."""
-    have = common_features(spec, obs)
-    layout = size_up(obs, spec.scenario, have, n_buckets)
+    layout = layout or size_up(obs, spec.scenario, common_features(spec, obs))
     counts = features_long(obs, spec).groupBy("scenario", "feature", "value").agg(F.count("*").alias("n"))
     rows = running_sums(
         with_bucket(counts, "value", layout.cuts, by="feature"),
@@ -103,9 +102,9 @@ def exact_quantiles(
     return found.select("scenario", "feature", *cols)
 
 
-def feature_stats(obs: DataFrame, spec: ObsSpec, n_buckets: int | None = None) -> DataFrame:
+def feature_stats(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
     """Moments and the exact median per (scenario, feature)."""
-    median = exact_quantiles(obs, spec, {"median": 0.5}, n_buckets)
+    median = exact_quantiles(obs, spec, {"median": 0.5}, layout)
     return feature_moments(obs, spec).join(median, ["scenario", "feature"], "left")
 
 

@@ -26,11 +26,13 @@ def psi_edges(baseline: DataFrame, features: list[str]) -> Edges:
     Only the two range ends per feature come to the driver, so the binning of
     the big tables compares with constants. A constant feature has no edges
     (empty list); one without values is left out."""
-    ends = baseline.agg(*[g(known(f)).alias(f"{n}_{f}") for f in features for n, g in (("lo", F.min), ("hi", F.max))])
-    row = ends.first().asDict()
-    return {
-        f: edges_of_range(row[f"lo_{f}"], row[f"hi_{f}"]) for f in features if row[f"lo_{f}"] is not None
-    }
+    aggs = [g(known(f)).alias(f"{n}_{f}") for f in features for n, g in (("lo", F.min), ("hi", F.max))]
+    row = baseline.agg(*aggs).first().asDict()
+    return edges_of_ranges({f: (row[f"lo_{f}"], row[f"hi_{f}"]) for f in features if row[f"lo_{f}"] is not None})
+
+
+def edges_of_ranges(ranges: dict[str, tuple[float, float]]) -> Edges:
+    return {f: edges_of_range(lo, hi) for f, (lo, hi) in ranges.items()}
 
 
 def edges_of_range(lo: float, hi: float) -> list[float]:
@@ -95,16 +97,19 @@ def psi_value(ref_bins: Column, ref_n: Column, bins: Column, n: Column) -> Colum
     return total
 
 
-def psi_table(obs: DataFrame, spec: ObsSpec, open_ends: bool = False) -> DataFrame:
+def psi_table(
+    obs: DataFrame, spec: ObsSpec, open_ends: bool = False, edges: Edges | None = None
+) -> DataFrame:
     """(scenario, feature, psi) for the batches.
 
     A feature with one baseline value has index 0; a feature that the
     baseline or the batch lacks gives no row. ``open_ends`` counts values
-    beyond the baseline range in the outer bins instead of nowhere."""
-    have = common_features(spec, obs)
-    base = obs.filter(F.col(spec.scenario) == spec.baseline)
-    counts = bin_counts(obs, spec, psi_edges(base, have), open_ends)
-    return psi_against_baseline(counts, spec)
+    beyond the baseline range in the outer bins instead of nowhere. ``edges``
+    from an earlier pass save the pass over the baseline."""
+    if edges is None:
+        base = obs.filter(F.col(spec.scenario) == spec.baseline)
+        edges = psi_edges(base, common_features(spec, obs))
+    return psi_against_baseline(bin_counts(obs, spec, edges, open_ends), spec)
 
 
 def psi_against_baseline(counts: DataFrame, spec: ObsSpec) -> DataFrame:

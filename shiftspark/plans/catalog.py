@@ -731,9 +731,7 @@ def page(spark, sf):
 
 
 def _decision_rows(spark, sf) -> DataFrame:
-    table_ = obs(spark, sf)
-    shares = drift.drift_share(drift.ks_test(table_, SPEC), SPEC)
-    return policy.decision_rows(evaluate.evaluate(table_, SPEC), shares, SPEC)
+    return monitoring.decision_input(obs(spark, sf), SPEC, RATIO_POLICY.alpha)
 
 
 COUNT_SQL = o.count_status(
@@ -832,11 +830,12 @@ def full_health(spark, sf):
 def thresholds(spark, sf):
     """The limits in force, each with the number of cases that pass it."""
     table_ = obs(spark, sf)
-    tests = stored(drift.ks_test(table_, SPEC))
-    rows = stored(
-        policy.decision_rows(evaluate.evaluate(table_, SPEC), drift.drift_share(tests, SPEC), SPEC)
-    )
-    return policy.threshold_usage(rows, tests, psi.psi_table(table_, SPEC), SPEC, RATIO_POLICY)
+    layout = monitoring.survey(table_, SPEC)
+    tests = stored(drift.ks_test(table_, SPEC, layout=layout))
+    metrics = evaluate.evaluate(table_, SPEC, layout)
+    rows = stored(policy.decision_rows(metrics, drift.drift_share(tests, SPEC), SPEC))
+    indices = stored(psi.psi_table(table_, SPEC, edges=monitoring.feature_edges(layout, SPEC)))
+    return policy.threshold_usage(rows, tests, indices, SPEC, RATIO_POLICY)
 
 
 SECOND = """
@@ -933,28 +932,95 @@ def retrain(spark, sf):
 
 
 # ----------------------------------------------------------------- reports
+# Each report is written as JSON, read back and laid flat again.
+
+
+def _through_json(df: DataFrame) -> DataFrame:
+    path = shared_folder(df.sparkSession)
+    write_json(df, path)
+    return df.sparkSession.read.schema(df.schema).json(path)
 
 
-@query("report_baseline")
+@query(
+    "report_baseline",
+    *EVALUATED,
+    f"""SELECT 'lineitem' AS dataset, 'threshold rule' AS baseline_model, n_rows AS test_set_size,
+    {o.rs(*evaluate.METRICS)}, concat_ws(',', tn, fp, fn, tp) AS matrix, tn + fp AS n_negative, fn + tp AS n_positive
+    FROM metrics WHERE scenario = 'Baseline'""",
+)
 def report_baseline(spark, sf):
-    return reports.baseline_report(evaluate.evaluate(obs(spark, sf), SPEC), SPEC, "lineitem", "threshold rule")
+    report = reports.baseline_report(evaluate.evaluate(obs(spark, sf), SPEC), SPEC, "lineitem", "threshold rule")
+    back = _through_json(report)
+    return rounded(
+        back.select(
+            "dataset",
+            "baseline_model",
+            "test_set_size",
+            "metrics.*",
+            F.concat_ws(",", F.flatten("confusion_matrix").cast("array<string>")).alias("matrix"),
+            F.col("class_distribution.legitimate").alias("n_negative"),
+            F.col("class_distribution.fraud").alias("n_positive"),
+        )
+    )
 
 
-@query("report_distribution")
+@query(
+    "report_distribution",
+    *TABLE,
+    f"""SELECT t.scenario, t.feature, {o.r('ks_statistic')}, {o.r('ks_pvalue', 'p_value')},
+    {o.rs('cohens_d', 'mean_diff', 'std_diff')} FROM {JOINED}""",
+)
 def report_distribution(spark, sf):
-    return reports.distribution_report(drift.drift_table(obs(spark, sf), SPEC))
+    back = _through_json(reports.distribution_report(drift.drift_table(obs(spark, sf), SPEC)))
+    return rounded(back.select("scenario", F.explode("ks_tests").alias("feature", "t")).select("scenario", "feature", "t.*"))
 
 
-@query("report_impact")
+@query(
+    "report_impact",
+    *COMPARISON,
+    f"""SELECT 'threshold rule' AS model, {o.r('base_f1', 'base_f1_score')}, scenario, n_rows AS n_samples,
+    {o.r('fraud_rate', 'positive_rate')}, {o.rs('f1_score', 'auc_roc', 'delta_f1_score', 'delta_auc_roc')}
+    FROM compared WHERE scenario <> 'Baseline'""",
+)
 def report_impact(spark, sf):
-    return reports.impact_report(_compared(spark, sf), SPEC, "threshold rule")
+    back = _through_json(reports.impact_report(_compared(spark, sf), SPEC, "threshold rule"))
+    one = back.select("baseline", F.inline("drift_scenarios"))
+    return rounded(
+        one.select(
+            "baseline.model",
+            F.col("baseline.metrics.f1_score").alias("base_f1"),
+            "scenario",
+            "n_samples",
+            "fraud_rate",
+            "metrics.f1_score",
+            "metrics.auc_roc",
+            F.col("deltas.f1_score").alias("delta_f1_score"),
+            F.col("deltas.auc_roc").alias("delta_auc_roc"),
+        )
+    )
 
 
-@query("report_monitoring")
+@query(
+    "report_monitoring",
+    *o.DECIDED,
+    o.OBS_RATIO,
+    o.PSI,
+    f"""SELECT r.scenario, 'monitoring_' || lower(replace(r.scenario, ' ', '_')) || '.json' AS file_name,
+    {o.r('drift_pct', 'drift_share * 1e2', 1)}, n_drifted, {o.r('avg_psi', 'avg_psi', 4)}, {o.r('f1', 'f1_score', 4)},
+    {o.r('auc_roc', 'auc_roc', 4)}, retrain, reasons, 5e-2 AS ks_alpha, 3e-1 AS drift_pct_trigger
+    FROM ratio_decided r LEFT JOIN avgpsi a ON a.scenario = r.scenario""",
+)
 def report_monitoring(spark, sf):
     table_ = obs(spark, sf)
-    averages = psi.psi_average(psi.psi_table(table_, SPEC))
-    return reports.monitoring_report(monitoring.batch_check(table_, SPEC, RATIO_POLICY), averages, RATIO_POLICY)
+    layout = monitoring.survey(table_, SPEC)
+    averages = psi.psi_average(psi.psi_table(table_, SPEC, edges=monitoring.feature_edges(layout, SPEC)))
+    decided = monitoring.batch_check(table_, SPEC, RATIO_POLICY, layout)
+    text = reports.monitoring_report(decided, averages, RATIO_POLICY)
+    schema = """scenario string, drift_pct double, n_drifted long, avg_psi double, f1 double, auc_roc double,
+        retrain boolean, reasons array<string>, thresholds struct<ks_alpha: double, drift_pct_trigger: double>"""
+    back = text.select("file_name", F.from_json("report", schema).alias("r"))
+    flat = back.select("file_name", "r.*").withColumn("reasons", F.concat_ws("; ", "reasons"))
+    return rounded(flat.select("*", "thresholds.*").drop("thresholds"))
 
 
 from shiftspark.plans import catalog_models, catalog_streams  # noqa: E402, F401

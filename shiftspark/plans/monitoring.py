@@ -15,28 +15,50 @@ from shiftspark.operators.drift import (
     moment_columns,
     value_counts,
 )
-from shiftspark.operators.evaluate import METRICS, compare, evaluate
+from shiftspark.operators.evaluate import METRICS, evaluate
 from shiftspark.operators.policy import decision_rows, health_label, ratio_policy
+from shiftspark.operators.prefix import Layout, size_up
 from shiftspark.operators.profile import feature_moments
-from shiftspark.operators.psi import bin_counts, psi_against_baseline, psi_average, psi_table
+from shiftspark.operators.psi import (
+    Edges,
+    bin_counts,
+    edges_of_ranges,
+    psi_against_baseline,
+    psi_average,
+    psi_table,
+)
+from shiftspark.operators.select import common_features
 from shiftspark.sources.profile_store import Profile
 from shiftspark.spec import ObsSpec, RatioPolicy
 
 
-def batch_check(obs: DataFrame, spec: ObsSpec, policy: RatioPolicy) -> DataFrame:
+def survey(obs: DataFrame, spec: ObsSpec) -> Layout:
+    """The one sizing pass that serves tests, metrics and PSI together."""
+    return size_up(obs, spec.scenario, [*common_features(spec, obs), spec.score], baseline=spec.baseline)
+
+
+def feature_edges(layout: Layout, spec: ObsSpec) -> Edges:
+    return edges_of_ranges({f: r for f, r in layout.ranges.items() if f in spec.features})
+
+
+def batch_check(
+    obs: DataFrame, spec: ObsSpec, policy: RatioPolicy, layout: Layout | None = None
+) -> DataFrame:
     """Per batch: drift share, F1, AUC and whether to retrain, with reasons."""
-    shares = drift_share(ks_test(obs, spec, policy.alpha), spec)
-    rows = decision_rows(evaluate(obs, spec), shares, spec)
+    layout = layout or survey(obs, spec)
+    shares = drift_share(ks_test(obs, spec, policy.alpha, layout), spec)
+    rows = decision_rows(evaluate(obs, spec, layout), shares, spec)
     if policy.psi is not None:
-        rows = rows.join(psi_average(psi_table(obs, spec)), "scenario", "left")
+        rows = rows.join(psi_average(psi_table(obs, spec, edges=feature_edges(layout, spec))), "scenario", "left")
     return ratio_policy(rows, spec, policy)
 
 
 def model_health(obs: DataFrame, spec: ObsSpec, policy: RatioPolicy) -> DataFrame:
     """The overview of a monitoring run: drifted features, average PSI,
     metrics, decision and health colour per batch."""
-    decided = batch_check(obs, spec, policy)
-    averages = psi_average(psi_table(obs, spec))
+    layout = survey(obs, spec)
+    decided = batch_check(obs, spec, policy, layout)
+    averages = psi_average(psi_table(obs, spec, edges=feature_edges(layout, spec)))
     return decided.join(averages, "scenario", "left").select(
         "scenario",
         "n_drifted",
@@ -50,18 +72,24 @@ def model_health(obs: DataFrame, spec: ObsSpec, policy: RatioPolicy) -> DataFram
     )
 
 
+def decision_input(obs: DataFrame, spec: ObsSpec, alpha: float) -> DataFrame:
+    """One row per batch for any policy: metrics, baseline metrics and drift counts."""
+    layout = survey(obs, spec)
+    shares = drift_share(ks_test(obs, spec, alpha, layout), spec)
+    return decision_rows(evaluate(obs, spec, layout), shares, spec)
+
+
 def overview_page(obs: DataFrame, spec: ObsSpec, policy: RatioPolicy) -> DataFrame:
     """Per batch in display form: 'drifted/declared', drift %, F1, its delta,
     AUC and positive rate %; missing metrics stay missing."""
-    shares = drift_share(ks_test(obs, spec, policy.alpha), spec)
-    compared = compare(evaluate(obs, spec), spec).filter(F.col("scenario") != spec.baseline)
-    rows = compared.join(shares, "scenario", "left").fillna(0, subset=["n_drifted", "drift_share"])
+    rows = decision_input(obs, spec, policy.alpha)
+    declared = len(spec.features)
     return rows.select(
         "scenario",
-        out_of(F.col("n_drifted"), len(spec.features)).alias("features_drifted"),
-        shown(F.col("drift_share") * d(100), 1).alias("drift_pct"),
+        out_of(F.col("n_drifted"), declared).alias("features_drifted"),
+        shown(F.col("n_drifted") / d(max(declared, 1)) * d(100), 1).alias("drift_pct"),
         shown(F.col("f1_score"), 4).alias("f1_score"),
-        shown(F.col("delta_f1_score"), 4).alias("delta_f1"),
+        shown(F.col("f1_score") - F.col("base_f1_score"), 4).alias("delta_f1"),
         shown(F.col("auc_roc"), 4).alias("auc_roc"),
         shown(F.col("positive_rate") * d(100), 3).alias("positive_pct"),
     )

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from shiftspark.operators.drift import value_counts
 from shiftspark.operators.evaluate import METRICS, evaluate
-from shiftspark.operators.prefix import Layout, size_up
+from shiftspark.operators.prefix import Layout, size_up, with_bucket
 from shiftspark.operators.profile import feature_moments
-from shiftspark.operators.psi import Edges, bin_counts, psi_edges
+from shiftspark.operators.psi import Edges, bin_counts, edges_of_ranges
 from shiftspark.operators.select import common_features
 from shiftspark.spec import ObsSpec
 
@@ -36,12 +36,16 @@ def write_profile(obs: DataFrame, spec: ObsSpec, path: str) -> None:
     spark = obs.sparkSession
     base = obs.filter(F.col(spec.scenario) == spec.baseline)
     have = common_features(spec, base)
-    layout = size_up(base, spec.scenario, have)
-    edges = psi_edges(base, have)
-    value_counts(base, spec).write.mode("overwrite").partitionBy("feature").parquet(f"{path}/counts")
+    layout = size_up(base, spec.scenario, [*have, spec.score], baseline=spec.baseline)
+    edges = edges_of_ranges({f: layout.ranges[f] for f in have if f in layout.ranges})
+    # One file per feature and bucket, ordered by value.
+    counts = with_bucket(value_counts(base, spec), "value", layout.cuts, by="feature")
+    counts.repartition("feature", "_bucket").drop("_bucket").sortWithinPartitions("feature", "value").write.mode(
+        "overwrite"
+    ).partitionBy("feature").parquet(f"{path}/counts")
     feature_moments(base, spec).write.mode("overwrite").parquet(f"{path}/moments")
     bin_counts(base, spec, edges).write.mode("overwrite").parquet(f"{path}/bins")
-    evaluate(base, spec).write.mode("overwrite").parquet(f"{path}/metrics")
+    evaluate(base, spec, layout).write.mode("overwrite").parquet(f"{path}/metrics")
     limits = [(f, layout.rows, layout.cuts[f], edges.get(f)) for f in have]
     spark.createDataFrame(limits, "feature string, n_rows long, cuts array<double>, edges array<double>").write.mode(
         "overwrite"
