@@ -37,7 +37,7 @@ def ks_from_counts(counts: DataFrame, spec: ObsSpec, layout: Layout) -> DataFram
         with_bucket(marked, "value", layout.cuts, by="feature"),
         "value",
         [
-            Running("base_cum", "base_n", ("feature",), total=True, here=True),
+            Running("base_cum", "base_n", ("feature",), total=True, peers=True),
             Running("own_cum", "n", ("scenario", "feature"), total=True),
         ],
         layout.bucketed,

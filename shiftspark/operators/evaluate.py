@@ -29,7 +29,7 @@ def confusion(obs: DataFrame, spec: ObsSpec) -> DataFrame:
     """The four cells per scenario over rows with label and prediction."""
     y, p = F.col(spec.label), F.col(spec.prediction)
     cell = {"tn": (y == 0) & (p == 0), "fp": (y == 0) & (p == 1), "fn": (y == 1) & (p == 0), "tp": (y == 1) & (p == 1)}
-    return obs.groupBy(F.col(spec.scenario).alias("scenario")).agg(
+    return obs.groupBy(spec.scenario_column()).agg(
         *[count_where(c).alias(n) for n, c in cell.items()]
     )
 
@@ -48,53 +48,51 @@ def with_prf(cells: DataFrame) -> DataFrame:
     )
 
 
-def score_counts(obs: DataFrame, spec: ObsSpec) -> DataFrame:
-    """(scenario, score, pos, neg, tp, fp, ...): rows collapsed to distinct scores.
+def _placed(counts: DataFrame, obs: DataFrame, spec: ObsSpec, layout: Layout | None) -> tuple[DataFrame, bool]:
+    """Counts with their score bucket; one list of cuts serves all scenarios."""
+    layout = layout or size_up(obs, spec.scenario, [spec.score])
+    cuts = {"score": layout.cuts[spec.score]}
+    return with_bucket(counts, "score", cuts), bool(cuts["score"])
+
 
-    Everything the metrics need is counted here, so one pass and one shuffle
-    of the rows serve the matrix and the ranking metrics alike."""
-    y, p = F.col("y"), F.col("p")
+def outcome_counts(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
+    """(scenario, score, y, p, n) with the running negatives up to each score.
+
+    Rows collapse to distinct (score, label, prediction) with one count. The
+    matrix and the ranking metrics are both sums over this table, so they
+    share its scan and its shuffle, and so does the second use of it that
+    carries the earlier buckets forward."""
     rows = obs.select(
-        F.col(spec.scenario).alias("scenario"),
+        spec.scenario_column(),
         known(spec.score).alias("score"),
         F.col(spec.label).alias("y"),
         F.col(spec.prediction).alias("p"),
     )
-    return rows.groupBy("scenario", "score").agg(
-        F.count("*").alias("rows"),
-        count_where((y == 1) & F.col("score").isNotNull()).alias("pos"),
-        count_where((y == 0) & F.col("score").isNotNull()).alias("neg"),
-        count_where((y == 0) & (p == 0)).alias("tn"),
-        count_where((y == 0) & (p == 1)).alias("fp"),
-        count_where((y == 1) & (p == 0)).alias("fn"),
-        count_where((y == 1) & (p == 1)).alias("tp"),
-        count_where(y == 1).alias("n_positive"),
-        count_where(y.isNotNull()).alias("n_labelled"),
+    counts = rows.groupBy("scenario", "score", "y", "p").agg(F.count("*").alias("n"))
+    ranked = F.col("score").isNotNull()
+    zero = F.lit(0).cast("long")
+    counts = counts.withColumns(
+        {
+            "pos": F.when(ranked & (F.col("y") == 1), F.col("n")).otherwise(zero),
+            "neg": F.when(ranked & (F.col("y") == 0), F.col("n")).otherwise(zero),
+        }
     )
-
-
-def _ranked(counts: DataFrame, obs: DataFrame, spec: ObsSpec, sums: list[Running], layout: Layout | None) -> DataFrame:
-    """Running sums over the scores of each scenario; cuts are shared by all."""
-    layout = layout or size_up(obs, spec.scenario, [spec.score])
-    cuts = {"score": layout.cuts[spec.score]}
-    placed = with_bucket(counts.withColumn("_axis", F.lit("score")), "score", cuts, by="_axis").drop("_axis")
-    return running_sums(placed, "score", sums, bool(cuts["score"]))
+    placed, bucketed = _placed(counts, obs, spec, layout)
+    return running_sums(placed, "score", [Running("neg_upto", "neg", ("scenario",), peers=True)], bucketed)
 
 
 def auc_sum() -> Column:
     """Aggregate: area under the ROC curve from running negatives, ties half.
 
     NULL when a class is absent."""
-    wins = F.col("pos").cast("double") * ((F.col("neg_upto") - F.col("neg")) + F.col("neg") * d(0.5))
+    below = F.col("neg_upto") - F.col("neg_upto_here")
+    wins = F.col("pos").cast("double") * (below + F.col("neg_upto_here") * d(0.5))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return F.when(pairs > 0, F.sum(wins) / pairs)
 
 
 def auc(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
-    rows = _ranked(
-        score_counts(obs, spec), obs, spec, [Running("neg_upto", "neg", ("scenario",))], layout
-    )
-    return rows.groupBy("scenario").agg(auc_sum().alias("auc_roc"))
+    return outcome_counts(obs, spec, layout).groupBy("scenario").agg(auc_sum().alias("auc_roc"))
 
 
 def evaluate(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
@@ -102,16 +100,21 @@ def evaluate(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> Dat
 
     A scenario without labels or without predictions keeps its row, with
     NULL metrics."""
-    rows = _ranked(
-        score_counts(obs, spec), obs, spec, [Running("neg_upto", "neg", ("scenario",))], layout
-    )
-    sums = rows.groupBy("scenario").agg(
-        F.sum("rows").alias("n_rows"),
-        F.when(F.sum("n_labelled") > 0, F.sum("n_positive").cast("double") / F.sum("n_labelled")).alias(
-            "positive_rate"
-        ),
-        *[F.sum(c).alias(c) for c in CELLS],
-        auc_sum().alias("auc_roc"),
+    y, p, n = F.col("y"), F.col("p"), F.col("n")
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0).cast("long"))
+    labelled = F.sum(F.when(y.isNotNull(), n))
+    sums = (
+        outcome_counts(obs, spec, layout)
+        .groupBy("scenario")
+        .agg(
+            F.sum("n").alias("n_rows"),
+            (total(y == 1).cast("double") / labelled).alias("positive_rate"),
+            total((y == 0) & (p == 0)).alias("tn"),
+            total((y == 0) & (p == 1)).alias("fp"),
+            total((y == 1) & (p == 0)).alias("fn"),
+            total((y == 1) & (p == 1)).alias("tp"),
+            auc_sum().alias("auc_roc"),
+        )
     )
     return with_prf(sums).select("scenario", "n_rows", "positive_rate", *CELLS, *METRICS)
 
@@ -119,61 +122,46 @@ def evaluate(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> Dat
 def roc_curve(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
     """(scenario, threshold, fpr, tpr): every distinct score as a threshold,
     and the starting point (0, 0) with no threshold."""
-    pts = _curve_counts(obs, spec, layout)
-    points = pts.select(
-        "scenario",
-        F.col("score").alias("threshold"),
-        F.when(F.col("N") > 0, F.col("fp") / F.col("N")).alias("fpr"),
-        F.when(F.col("P") > 0, F.col("tp") / F.col("P")).alias("tpr"),
-    )
-    start = (
-        _scenarios(obs, spec).select("scenario", F.lit(None).cast("double").alias("threshold"), d(0).alias("fpr"), d(0).alias("tpr"))
-    )
-    return points.unionByName(start)
+    share = lambda c, whole: F.when(F.col(whole) > 0, F.col(c) / F.col(whole))
+    point = {"fpr": share("fp", "N"), "tpr": share("tp", "P")}
+    return _curve(obs, spec, layout, point, {"fpr": d(0), "tpr": d(0)})
 
 
 def pr_curve(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
     """(scenario, threshold, precision, recall), ended by (1, 0) with no threshold.
 
     Recall is 1 throughout where there is no positive."""
-    pts = _curve_counts(obs, spec, layout)
-    points = pts.select(
-        "scenario",
-        F.col("score").alias("threshold"),
-        ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-        F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(d(1)).alias("recall"),
+    point = {
+        "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")),
+        "recall": F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(d(1)),
+    }
+    return _curve(obs, spec, layout, point, {"precision": d(1), "recall": d(0)})
+
+
+def _curve(obs: DataFrame, spec: ObsSpec, layout: Layout | None, point: dict[str, Column], end: dict[str, Column]) -> DataFrame:
+    """Points for all distinct scores from the counts at or above them; the
+    highest score of a scenario also yields the end point."""
+    rows = (
+        obs.select(spec.scenario_column(), known(spec.score).alias("score"), F.col(spec.label).alias("y"))
+        .filter(F.col("score").isNotNull() & F.col("y").isNotNull())
     )
-    end = _scenarios(obs, spec).select(
-        "scenario", F.lit(None).cast("double").alias("threshold"), d(1).alias("precision"), d(0).alias("recall")
-    )
-    return points.unionByName(end)
-
-
-def _scenarios(obs: DataFrame, spec: ObsSpec) -> DataFrame:
-    scored = known(spec.score).isNotNull() & F.col(spec.label).isNotNull()
-    return obs.filter(scored).select(F.col(spec.scenario).alias("scenario")).distinct()
-
-
-def _curve_counts(obs: DataFrame, spec: ObsSpec, layout: Layout | None) -> DataFrame:
-    """Counts at or above each score, from the running counts up to it."""
-    rows = _ranked(
-        score_counts(obs, spec).filter(F.col("pos") + F.col("neg") > 0),
-        obs,
-        spec,
-        [
-            Running("pos_upto", "pos", ("scenario",), total=True),
-            Running("neg_upto", "neg", ("scenario",), total=True),
-        ],
-        layout,
+    counts = rows.groupBy("scenario", "score").agg(
+        count_where(F.col("y") == 1).alias("pos"), count_where(F.col("y") == 0).alias("neg")
     )
-    return rows.select(
+    placed, bucketed = _placed(counts, obs, spec, layout)
+    sums = [Running(f"{c}_upto", c, ("scenario",), total=True) for c in ("pos", "neg")]
+    at_least = running_sums(placed, "score", sums, bucketed).select(
         "scenario",
         "score",
         (F.col("pos_upto_total") - F.col("pos_upto") + F.col("pos")).alias("tp"),
         (F.col("neg_upto_total") - F.col("neg_upto") + F.col("neg")).alias("fp"),
         F.col("pos_upto_total").alias("P"),
         F.col("neg_upto_total").alias("N"),
+        ((F.col("pos_upto") == F.col("pos_upto_total")) & (F.col("neg_upto") == F.col("neg_upto_total"))).alias("top"),
     )
+    own = F.struct(F.col("score").alias("threshold"), *[c.alias(n) for n, c in point.items()])
+    last = F.struct(F.lit(None).cast("double").alias("threshold"), *[c.alias(n) for n, c in end.items()])
+    return at_least.select("scenario", F.inline(F.when(F.col("top"), F.array(own, last)).otherwise(F.array(own))))
 
 
 def threshold_sweep(
@@ -186,7 +174,7 @@ def threshold_sweep(
     last - first + 2 counts per scenario; the rest works on those."""
     y = F.col(spec.label)
     rows = obs.select(
-        F.col(spec.scenario).alias("scenario"),
+        spec.scenario_column(),
         y.alias("y"),
         F.greatest(F.lit(first - 1), F.least(F.lit(last), grid_index(known(spec.score), steps))).alias("g"),
         known(spec.score).alias("s"),

@@ -44,14 +44,15 @@ class Running:
     """Sum of ``value`` over rows with the same ``keys`` and an order value <= this row's.
 
     ``out`` is the inclusive sum; on request ``out + '_total'`` is the sum over
-    the whole key and ``out + '_here'`` the sum at this very order value.
+    the whole key. ``peers`` says that an order value may occur more than once
+    in a key; then ``out + '_here'`` is the sum at this very value.
     """
 
     out: str
     value: str
     keys: tuple[str, ...]
     total: bool = False
-    here: bool = False
+    peers: bool = False
 
 
 def bucket_count(rows: int) -> int:
@@ -107,18 +108,24 @@ def size_up(
     return Layout(found["n"], tuple(sorted(found["names"])), cuts, ranges)
 
 
-def with_bucket(df: DataFrame, order: str, cuts: dict[str, list[float]], by: str) -> DataFrame:
+def with_bucket(df: DataFrame, order: str, cuts: dict[str, list[float]], by: str | None = None) -> DataFrame:
     """Adds ``_bucket``: how many cuts are <= the order value.
 
-    ``by`` names the column whose value picks the list of cuts. The lists are
-    columns x buckets numbers, hence broadcast. The search is a binary one,
-    written as one projection per halving, so it stays in generated code.
+    ``by`` names the column whose value picks the list of cuts; without it the
+    single list holds for all rows. The lists are columns x buckets numbers,
+    hence broadcast. The search is a binary one, written as one projection per
+    halving, so it stays in generated code.
     """
     lists = [(k, [float(x) for x in v]) for k, v in cuts.items() if v]
     if not lists:
         return df.withColumn("_bucket", F.lit(0))
-    table = df.sparkSession.createDataFrame(lists, f"{by} string, _cuts array<double>")
-    out = df.join(F.broadcast(table), by, "left").withColumn("_bucket", F.lit(0))
+    if by is None:
+        ((_, only),) = lists
+        out = df.withColumn("_cuts", F.expr("array(" + ", ".join(f"{x!r}D" for x in only) + ")"))
+    else:
+        table = df.sparkSession.createDataFrame(lists, f"{by} string, _cuts array<double>")
+        out = df.join(F.broadcast(table), by, "left")
+    out = out.withColumn("_bucket", F.lit(0))
     step = (len(lists[0][1]) + 1) // 2
     while step >= 1:
         here = F.get("_cuts", F.col("_bucket") + F.lit(step - 1))
@@ -132,8 +139,7 @@ def with_bucket(df: DataFrame, order: str, cuts: dict[str, list[float]], by: str
 def running_sums(df: DataFrame, order: str, sums: list[Running], bucketed: bool) -> DataFrame:
     """Adds the running sums; ``df`` carries ``_bucket``, which is dropped.
 
-    Rows with equal order values are peers and share a sum. With several
-    buckets, what lies before a bucket enters as one *carry row* per (key,
+    With several buckets, what lies before a bucket enters as one *carry row* per (key,
     bucket) whose order value is NULL and so sorts first: the window adds it
     up with the rest and no join is needed. All windows are nested by key, so
     one exchange on the coarsest key and the bucket serves them all.
@@ -145,15 +151,17 @@ def running_sums(df: DataFrame, order: str, sums: list[Running], bucketed: bool)
             rows = rows.unionByName(_carry_rows(df, keys, sums), allowMissingColumns=True)
     for s in sorted(sums, key=lambda s: len(s.keys)):
         near = W.partitionBy(*s.keys, "_bucket")
-        upto = near.orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow)
+        ordered = near.orderBy(order)
+        frame = ordered.rangeBetween if s.peers else ordered.rowsBetween
+        upto = frame(W.unboundedPreceding, W.currentRow)
         rows = rows.withColumn(s.out, F.sum(s.value).over(upto))
         if s.total:
             total = f"{s.out}_total"
             whole = F.max(total).over(upto) if bucketed else F.sum(s.value).over(near)
             rows = rows.withColumn(total, whole)
-        if s.here:
-            peers = near.orderBy(order).rangeBetween(W.currentRow, W.currentRow)
-            rows = rows.withColumn(f"{s.out}_here", F.sum(s.value).over(peers))
+        if s.peers:
+            here = F.sum(s.value).over(ordered.rangeBetween(W.currentRow, W.currentRow))
+            rows = rows.withColumn(f"{s.out}_here", here)
     if bucketed:
         rows = rows.filter(~F.col("_carry")).drop("_carry")
     return rows.drop("_bucket")

@@ -37,7 +37,7 @@ def overview(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def class_balance(obs: DataFrame, spec: ObsSpec) -> DataFrame:
     """Per scenario: rows, positives, negatives and the positive rate."""
     y = F.col(spec.label)
-    return obs.groupBy(F.col(spec.scenario).alias("scenario")).agg(
+    return obs.groupBy(spec.scenario_column()).agg(
         F.count("*").alias("n_rows"),
         count_where(y == 1).alias("n_positive"),
         count_where(y == 0).alias("n_negative"),
@@ -53,7 +53,7 @@ def feature_moments(obs: DataFrame, spec: ObsSpec, population: bool = False) ->
     per scenario is turned into rows per feature."""
     have = common_features(spec, obs)
     spread = F.stddev_pop if population else F.stddev_samp
-    wide = obs.select(F.col(spec.scenario).alias("scenario"), *[known(f).alias(f) for f in have])
+    wide = obs.select(spec.scenario_column(), *[known(f).alias(f) for f in have])
     aggs = [
         F.struct(
             F.lit(f).alias("feature"),

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shiftspark.functions.stats import count_where, d, known, psi_term
-from shiftspark.operators.select import common_features
+from shiftspark.operators.select import common_features, melt
 from shiftspark.spec import PSI_HIGH, PSI_MODERATE, ObsSpec
 
 # Number of bins and how far the outer edges are pushed out.
@@ -60,23 +60,24 @@ def psi_bin(value: Column, edges: list[float], open_ends: bool = False) -> Colum
 
 
 def bin_rows(obs: DataFrame, edges: Edges, keys: dict[str, Column], open_ends: bool = False) -> DataFrame:
-    """(keys.., feature, bin) for every known value.
+    """(keys.., feature, bin) for every known value; ``keys`` maps the name of
+    each key column to its expression, which carries that name.
 
     Values become bin numbers while the table is still wide; only the small
     integers are turned long."""
     have = [f for f in edges if f in obs.columns]
     wide = obs.select(
-        *[c.alias(k) for k, c in keys.items()],
+        *keys.values(),
         *[known(f).alias(f) for f in have],
     ).select(*keys, *[psi_bin(F.col(f), edges[f], open_ends).alias(f) for f in have])
-    return wide.unpivot(list(keys), have, "feature", "bin").filter(F.col("bin").isNotNull())
+    return melt(wide, list(keys), have, "bin").filter(F.col("bin").isNotNull())
 
 
 def bin_counts(obs: DataFrame, spec: ObsSpec, edges: Edges, open_ends: bool = False) -> DataFrame:
     """(scenario, feature, bins, n): ten counts and the number of values.
 
     At most eleven groups per (scenario, feature) leave a map task."""
-    rows = bin_rows(obs, edges, {"scenario": F.col(spec.scenario)}, open_ends)
+    rows = bin_rows(obs, edges, {"scenario": spec.scenario_column()}, open_ends)
     counts = rows.groupBy("scenario", "feature", "bin").agg(F.count("*").alias("c"))
     return fold_bins(counts, ["scenario", "feature"])
 

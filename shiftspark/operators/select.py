@@ -33,8 +33,21 @@ def features_long(df: DataFrame, spec: ObsSpec) -> DataFrame:
     Values are cleaned while the table is still wide, so the scan reads only
     the scenario and the features."""
     have = common_features(spec, df)
-    wide = df.select(F.col(spec.scenario).alias("scenario"), *[known(f).alias(f) for f in have])
-    return wide.unpivot("scenario", have, "feature", "value").filter(F.col("value").isNotNull())
+    wide = df.select(spec.scenario_column(), *[known(f).alias(f) for f in have])
+    return melt(wide, ["scenario"], have, "value").filter(F.col("value").isNotNull())
+
+
+def melt(df: DataFrame, keys: list[str], cols: list[str], value: str) -> DataFrame:
+    """One row per key and column: (keys.., feature, value).
+
+    Written with a generator and not with ``unpivot``: where the result is
+    used twice, Spark renames the copied columns, and only the generator's
+    two copies are still recognised as the same work and share one shuffle.
+    The filter on ``feature`` is there for the same reason: joins would add it
+    to one of the copies.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias(value)) for c in cols])
+    return df.select(*keys, F.inline(cells)).filter(F.col("feature").isNotNull())
 
 
 def scenario_filter(df: DataFrame, spec: ObsSpec, *names: str) -> DataFrame:

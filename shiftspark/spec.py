@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class ObsSpec:
@@ -24,6 +27,13 @@ class ObsSpec:
     keys: tuple[str, ...] = ()
     event_time: str | None = None
 
+    def scenario_column(self) -> Column:
+        """The scenario under its short name. It is not aliased onto itself:
+        such an alias is removed in some places of a plan only, and equal
+        subplans are then no longer recognised as equal."""
+        c = F.col(self.scenario)
+        return c if self.scenario == "scenario" else c.alias("scenario")
+
     def with_features(self, *features: str) -> "ObsSpec":
         return replace(self, features=tuple(features))
 

@@ -97,7 +97,7 @@ def daily_metrics(cells: DataFrame) -> DataFrame:
 def windowed_bins(stream: DataFrame, profile: Profile, spec: ObsSpec, late: str = "1 day") -> DataFrame:
     """Streaming aggregation: counts per day, feature and baseline bin."""
     marked = stream.withWatermark(spec.event_time, late)
-    rows = bin_rows(marked, profile.edges, {"ts": F.col(spec.event_time)})
+    rows = bin_rows(marked, profile.edges, {"ts": F.col(spec.event_time).alias("ts")})
     return (
         rows.groupBy(F.window("ts", "1 day"), "feature", "bin")
         .agg(F.count("*").alias("c"))
