@@ -19,7 +19,7 @@ def bin_of(v: Column, start: Column, stop: Column, bins: int) -> Column:
     The quotient may land one bin off next to an edge, so it is checked
     against the edges themselves."""
     width = (stop - start) / d(bins)
-    g = F.least(F.floor((v - start) / width), F.lit(bins - 1)).cast("int")
+    g = F.least(F.floor(F.try_divide(v - start, width)), F.lit(bins - 1)).cast("int")
     low, high = bin_edge(start, stop, bins, g), bin_edge(start, stop, bins, g + 1)
     return (
         F.when(stop == start, F.lit(0))

@@ -43,10 +43,9 @@ def ks_from_counts(counts: DataFrame, spec: ObsSpec, layout: Layout) -> DataFram
         layout.bucketed,
     )
     base_total, own_total = F.col("base_cum_total").cast("double"), F.col("own_cum_total").cast("double")
-    at = F.col("own_cum") / own_total - F.col("base_cum") / base_total
-    below = (F.col("base_cum") - F.col("base_cum_here")) / base_total - (
-        F.col("own_cum") - F.col("n")
-    ) / own_total
+    base_share = lambda c: F.try_divide(c, base_total)
+    at = F.col("own_cum") / own_total - base_share(F.col("base_cum"))
+    below = base_share(F.col("base_cum") - F.col("base_cum_here")) - (F.col("own_cum") - F.col("n")) / own_total
     gaps = (
         rows.filter((F.col("scenario") != spec.baseline) & (F.col("base_cum_total") > 0))
         .groupBy("scenario", "feature")
@@ -76,7 +75,7 @@ def ks_side_by_side(counts: DataFrame, spec: ObsSpec, layout: Layout) -> DataFra
     rows = running_sums(
         placed, "value", [Running(f"cum_{c}", c, ("feature",)) for c in cols], layout.bucketed
     ).join(F.broadcast(totals), "feature")
-    share = lambda c: F.col(f"cum_{c}") / F.col(f"all_{c}")
+    share = lambda c: F.try_divide(F.col(f"cum_{c}"), F.col(f"all_{c}"))
     gaps = rows.groupBy("feature").agg(
         F.max(f"all_{cols[0]}").alias("n_baseline"),
         *[F.max(F.when(F.col(f"all_{c}") > 0, F.abs(share(c) - share(cols[0])))).alias(f"gap_{c}") for c in cols[1:]],

@@ -50,6 +50,8 @@ def with_prf(cells: DataFrame) -> DataFrame:
 
 def _placed(counts: DataFrame, obs: DataFrame, spec: ObsSpec, layout: Layout | None) -> tuple[DataFrame, bool]:
     """Counts with their score bucket; one list of cuts serves all scenarios."""
+    if spec.score not in obs.columns:
+        return counts.withColumn("_bucket", F.lit(0)), False
     layout = layout or size_up(obs, spec.scenario, [spec.score])
     cuts = {"score": layout.cuts[spec.score]}
     return with_bucket(counts, "score", cuts), bool(cuts["score"])
@@ -62,11 +64,12 @@ def outcome_counts(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None)
     matrix and the ranking metrics are both sums over this table, so they
     share its scan and its shuffle, and so does the second use of it that
     carries the earlier buckets forward."""
+    have = lambda c: F.col(c) if c in obs.columns else F.lit(None)
     rows = obs.select(
         spec.scenario_column(),
-        known(spec.score).alias("score"),
-        F.col(spec.label).alias("y"),
-        F.col(spec.prediction).alias("p"),
+        known(have(spec.score)).alias("score"),
+        have(spec.label).cast("int").alias("y"),
+        have(spec.prediction).cast("int").alias("p"),
     )
     counts = rows.groupBy("scenario", "score", "y", "p").agg(F.count("*").alias("n"))
     ranked = F.col("score").isNotNull()
@@ -99,7 +102,7 @@ def evaluate(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> Dat
     """One metric record per scenario, all scenarios in one job.
 
     A scenario without labels or without predictions keeps its row, with
-    NULL metrics."""
+    NULL metrics; a table without such a column is treated alike."""
     y, p, n = F.col("y"), F.col("p"), F.col("n")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0).cast("long"))
     labelled = F.sum(F.when(y.isNotNull(), n))

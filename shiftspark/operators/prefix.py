@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shiftspark.functions.stats import known
 
-ROWS_PER_BUCKET = 250_000
+ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 1024
 SAMPLE_SHARE = 0.05
 

@@ -34,7 +34,8 @@ from shiftspark.spec import ObsSpec, RatioPolicy
 
 def survey(obs: DataFrame, spec: ObsSpec) -> Layout:
     """The one sizing pass that serves tests, metrics and PSI together."""
-    return size_up(obs, spec.scenario, [*common_features(spec, obs), spec.score], baseline=spec.baseline)
+    cols = [*common_features(spec, obs), *[c for c in [spec.score] if c in obs.columns]]
+    return size_up(obs, spec.scenario, cols, baseline=spec.baseline)
 
 
 def feature_edges(layout: Layout, spec: ObsSpec) -> Edges:
