@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftspark.llm.bpe import encode_decode
+from shiftspark.llm.classifier import quality_scores
 from shiftspark.llm.common import load
 from shiftspark.llm.jaccard import jaccard_components
+from shiftspark.llm.kneser_ney import language_model_scores
 from shiftspark.llm.language import language_id
 from shiftspark.llm.packing import pack
 from shiftspark.llm.quality_rules import quality_rules
@@ -94,3 +96,17 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id,
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    labels = load(spark, sf_dir, "labels").filter(~held_out(4)).select("doc_id", F.col("quality").alias("label"))
+    found = quality_scores(docs, labels)
+    return found.withColumn("held_out", held_out(4)).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return language_model_scores(docs, docs.filter(~held_out(7))).withColumn("held_out", held_out(7))
