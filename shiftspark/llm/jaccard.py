@@ -109,8 +109,8 @@ def prefixes(docs: DataFrame, size: int, frequent: Bits, percent: int) -> DataFr
     return docs.mapInArrow(run, "gram long, cls long, n int, pos int, salt int")
 
 
-def segments(docs: DataFrame, size: int, wanted: Bits) -> DataFrame:
-    """(cls, f, n, size of each fragment, n-grams of fragment f) of the classes in `wanted`, once for each task at least."""
+def segments(docs: DataFrame, size: int, wanted: Bits, some: range) -> DataFrame:
+    """(cls, f, n, size of each fragment, n-grams of fragment f) of the classes in `wanted`, for some of the fragments."""
     shift = np.uint64(64 - (FRAGMENTS - 1).bit_length())
     kind = T.StructType.fromDDL("cls long, f int, n int, sizes array<int>, grams array<long>")
     names = kind.names
@@ -127,7 +127,7 @@ def segments(docs: DataFrame, size: int, wanted: Bits) -> DataFrame:
                 own = grams[bounds[i] : bounds[i + 1]]
                 cut = np.searchsorted(own >> shift, np.arange(FRAGMENTS + 1))
                 sizes = np.diff(cut).astype(np.int32)
-                out += [(c, f, len(own), sizes, own[cut[f] : cut[f + 1]].view(np.int64)) for f in range(FRAGMENTS)]
+                out += [(c, f, len(own), sizes, own[cut[f] : cut[f + 1]].view(np.int64)) for f in some]
             if len(seen) > 1 << 20:
                 seen.clear()
             if out:
@@ -138,13 +138,15 @@ def segments(docs: DataFrame, size: int, wanted: Bits) -> DataFrame:
     return docs.mapInArrow(run, kind).dropDuplicates(["cls", "f"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough, by sums of overlaps per fragment."""
-    a, b = (sets.select(F.col("cls").alias(x), "f", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sizes", "grams"))) for x in "ab")
     # 100 * i >= percent * (n_a + n_b - i)
-    reaches = (100 + percent) * F.col("total") >= percent * (F.col("n_a") + F.col("n_b"))
+    reaches = (100 + percent) * F.col("total") >= percent * (F.col("n_a") + F.col("n_b")).cast("long")
 
     def counted(todo: DataFrame, some: range) -> DataFrame:
+        wanted = Bits(todo.select(F.col("a").alias("cls")).union(todo.select("b")), "cls")
+        sets = segments(docs, size, wanted, some)
+        a, b = (sets.select(F.col("cls").alias(x), "f", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sizes", "grams"))) for x in "ab")
         each = todo.withColumn("f", F.explode(F.array(*map(F.lit, some))))
         joined = each.join(a, ["a", "f"]).join(b, ["b", "f"])
         rest = reduce(lambda x, y: x + y, (F.least(F.col("sizes_a")[i], F.col("sizes_b")[i]) for i in range(some.stop, FRAGMENTS)), F.lit(0))
@@ -172,18 +174,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     by_size = W.Window.partitionBy("gram", "salt").orderBy("n", "cls")
     near = prefixes(docs, size, frequent, percent)
-    near = near.withColumns({"before": F.lag("cls").over(by_size), "n_before": F.lag("n").over(by_size), "after": F.lead("cls").over(by_size)})
+    near = near.withColumns({"before": F.lag("cls").over(by_size), "n_before": F.lag("n").over(by_size), "pos_before": F.lag("pos").over(by_size), "after": F.lead("cls").over(by_size)})
     # copies of one class that several tasks have sent stand side by side: one row of them is enough
     near = near.filter("before is null or before <> cls").filter("salt > 0 or before is not null or after is not null")
-    near = kept(near.select("gram", "cls", "n", "pos", "salt", "before", "n_before"))
-    spread = lambda x, y: F.col(x).cast("long") * percent <= F.col(y).cast("long") * 100
-    chain = kept(
-        near.filter("before is not null").filter(spread("n", "n_before")).select(F.least("cls", "before").alias("a"), F.greatest("cls", "before").alias("b")).filter("a <> b").distinct()
-    )
-    # neighbours in size order bound whom a class can pair with, but in the split lists of frequent n-grams
-    wanted = chain.select(F.col("a").alias("cls")).union(chain.select("b")).union(near.filter("salt > 0").select("cls"))
-    sets = kept(segments(docs, size, Bits(wanted, "cls")))
-    links = kept(verified(chain, sets, percent))
+    near = kept(near.select("gram", "cls", "n", "pos", "before", "n_before", "pos_before"))
+    most = lambda x, y: 1 + F.least(F.col(f"n{x}") - F.col(f"pos{x}") - 1, F.col(f"n{y}") - F.col(f"pos{y}") - 1)
+    fits = lambda x, y: (100 + percent) * most(x, y).cast("long") >= percent * (F.col(f"n{x}") + F.col(f"n{y}")).cast("long")
+    chain = near.filter("before is not null").filter(fits("", "_before")).select(F.least("cls", "before").alias("a"), F.greatest("cls", "before").alias("b"))
+    chain = kept(chain.distinct())
+    links = kept(verified(chain, docs, size, percent))
 
     so_far = components(links)
     near = near.select("gram", "cls", "n", "pos").join(so_far.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -192,10 +191,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     groups = near.select("gram", "root").distinct()
     x = groups.select("gram", F.col("root").alias("x")).join(groups.select("gram", F.col("root").alias("y")), "gram").filter("x < y")
     side = lambda r, c: near.select("gram", F.col("root").alias(r), F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"pos_{c}"))
-    most = 1 + F.least(F.col("n_p") - F.col("pos_p") - 1, F.col("n_q") - F.col("pos_q") - 1)
-    cross = x.join(side("x", "p"), ["gram", "x"]).join(side("y", "q"), ["gram", "y"]).filter((100 + percent) * most >= percent * (F.col("n_p") + F.col("n_q")))
+    cross = x.join(side("x", "p"), ["gram", "x"]).join(side("y", "q"), ["gram", "y"]).filter(fits("_p", "_q"))
     cross = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).filter("a <> b").distinct().join(chain, ["a", "b"], "left_anti")
-    more = kept(verified(kept(cross), sets, percent))
+    more = kept(verified(kept(cross), docs, size, percent))
 
     final = components(links.union(more))
     own = own.withColumn("class", F.when(F.col("n") > 0, F.col("cls"))).join(final.withColumnRenamed("node", "class"), "class", "left")
