@@ -8,8 +8,9 @@ nodes, and only links between different classes are looked for.
 * Candidates: two sets that are similar enough share an n-gram of their prefixes (prefix, length and position filters).
 * Verification: the order is cut into FRAGMENTS ranges. For each pair the common n-grams of a range are counted by themselves and
   summed per pair. The first ranges come first: pairs that cannot reach the limit with all that is left drop out.
-* Only components are asked for. First the neighbours in each prefix list are verified; then, in lists that hold more than one
-  component, all pairs between different components. Pairs within a component need no test, so that a group of k near copies costs
+* Only components are asked for. First each row of a prefix list is verified with the NEIGHBOURS rows before it and the
+  list's first HUBS; then, in longer lists
+  that hold more than one component, all pairs between different components. Pairs within a component need no test, so that a group of k near copies costs
   about k pairs instead of k * k / 2. No candidate is dropped otherwise: no cap on lists or partners.
 """
 
@@ -31,8 +32,9 @@ from shiftspark.llm.common import Bits, components, hashed, kept, lowered, mix,
 FRAGMENTS, FIRST = 8, 2
 #: An n-gram counts towards the frequent ones if it is in so many texts of a slice; it is frequent from so many in all.
 LOCAL, FREQUENT = 3, 16
-#: Parts into which the list of a frequent n-gram is split when neighbours are linked.
-SALTS = 16
+#: Parts into which the list of a frequent n-gram is split when neighbours are linked, other parts for each n-gram, how many neighbours a row is tested with, and
+#: how many of the list's first.
+SALTS, NEIGHBOURS, HUBS = 16, 4, 2
 
 
 def doc_sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +102,7 @@ def prefixes(docs: DataFrame, size: int, frequent: Bits, percent: int) -> DataFr
             length = lengths - -(-percent * lengths // 100) + 1
             take = (pos < length[doc]) & new[doc]
             at, doc, pos = order[take], doc[take], pos[take]
-            salt = np.where(often[at], cls[doc] % np.uint64(SALTS) + np.uint64(1), np.uint64(0)).astype(np.int32)
+            salt = np.where(often[at], mix(cls[doc] ^ grams[at]) % np.uint64(SALTS) + np.uint64(1), np.uint64(0)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [signed(grams[at]), signed(cls[doc]), pa.array(lengths[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(salt)],
                 ["gram", "cls", "n", "pos", "salt"],
@@ -110,10 +112,9 @@ def prefixes(docs: DataFrame, size: int, frequent: Bits, percent: int) -> DataFr
 
 
 def segments(docs: DataFrame, size: int, wanted: Bits, some: range) -> DataFrame:
-    """(cls, f, n, size of each fragment, n-grams of fragment f) of the classes in `wanted`, for some of the fragments."""
+    """(cls, n, size of each fragment, n-grams of each of some fragments) of the classes in `wanted`."""
     shift = np.uint64(64 - (FRAGMENTS - 1).bit_length())
-    kind = T.StructType.fromDDL("cls long, f int, n int, sizes array<int>, grams array<long>")
-    names = kind.names
+    kind = T.StructType.fromDDL("cls long, n int, sizes array<int>, grams array<array<long>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -126,16 +127,15 @@ def segments(docs: DataFrame, size: int, wanted: Bits, some: range) -> DataFrame
                 seen.add(c)
                 own = grams[bounds[i] : bounds[i + 1]]
                 cut = np.searchsorted(own >> shift, np.arange(FRAGMENTS + 1))
-                sizes = np.diff(cut).astype(np.int32)
-                out += [(c, f, len(own), sizes, own[cut[f] : cut[f + 1]].view(np.int64)) for f in some]
+                out.append((c, len(own), np.diff(cut).astype(np.int32), [own[cut[f] : cut[f + 1]].view(np.int64) for f in some]))
             if len(seen) > 1 << 20:
                 seen.clear()
             if out:
-                c, f, n, sizes, segs = zip(*out)
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([signed(np.array(c, np.uint64)), pa.array(f, types[1]), pa.array(n, types[2]), pa.array(list(sizes), types[3]), pa.array(list(segs), types[4])], names)
+                c, n, sizes, segs = zip(*out)
+                types = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([signed(np.array(c, np.uint64)), pa.array(n, types[0]), pa.array(list(sizes), types[1]), pa.array(list(segs), types[2])], kind.names)
 
-    return docs.mapInArrow(run, kind).dropDuplicates(["cls", "f"])
+    return docs.mapInArrow(run, kind).dropDuplicates(["cls"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -146,12 +146,11 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     def counted(todo: DataFrame, some: range) -> DataFrame:
         wanted = Bits(todo.select(F.col("a").alias("cls")).union(todo.select("b")), "cls")
         sets = segments(docs, size, wanted, some)
-        a, b = (sets.select(F.col("cls").alias(x), "f", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sizes", "grams"))) for x in "ab")
-        each = todo.withColumn("f", F.explode(F.array(*map(F.lit, some))))
-        joined = each.join(a, ["a", "f"]).join(b, ["b", "f"])
-        rest = reduce(lambda x, y: x + y, (F.least(F.col("sizes_a")[i], F.col("sizes_b")[i]) for i in range(some.stop, FRAGMENTS)), F.lit(0))
-        part = joined.select("a", "b", "n_a", "n_b", rest.alias("rest"), F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
-        return part.groupBy("a", "b", "n_a", "n_b", "rest").agg(F.sum("part").alias("part"))
+        a, b = (sets.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sizes", "grams"))) for x in "ab")
+        total = lambda parts: reduce(lambda x, y: x + y, parts, F.lit(0))
+        overlap = total(F.size(F.array_intersect(F.col("grams_a")[i], F.col("grams_b")[i])) for i in range(len(some)))
+        rest = total(F.least(F.col("sizes_a")[i], F.col("sizes_b")[i]) for i in range(some.stop, FRAGMENTS))
+        return todo.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", overlap.alias("part"), rest.alias("rest"))
 
     first = kept(counted(pairs, range(FIRST)).withColumn("total", F.col("part") + F.col("rest")).filter(reaches).select("a", "b", F.col("part").alias("so_far")))
     rest = counted(first.select("a", "b"), range(FIRST, FRAGMENTS))
@@ -172,26 +171,32 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     frequent = Bits(own.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT), "gram")
     own = own.filter("gram is null").select("doc_id", "n", "cls")
 
-    by_size = W.Window.partitionBy("gram", "salt").orderBy("n", "cls")
-    near = prefixes(docs, size, frequent, percent)
-    near = near.withColumns({"before": F.lag("cls").over(by_size), "n_before": F.lag("n").over(by_size), "pos_before": F.lag("pos").over(by_size), "after": F.lead("cls").over(by_size)})
+    most = lambda a, n_a, b, n_b: 1 + F.least(n_a - a - 1, n_b - b - 1)
+    fits = lambda a, n_a, b, n_b: (100 + percent) * most(a, n_a, b, n_b).cast("long") >= percent * (n_a + n_b).cast("long")
+    # texts with little of their own come first: in a group of near copies most others are near to them
+    by_pos = W.Window.partitionBy("gram", "salt").orderBy("pos", F.xxhash64("gram", "cls"))
+    near = prefixes(docs, size, frequent, percent).withColumn("own", F.struct("cls", "n", "pos"))
+    lags = [F.lag("own", k).over(by_pos) for k in range(1, NEIGHBOURS + 1)]
+    before = F.array(*lags, *(F.nth_value("own", k).over(by_pos) for k in range(1, HUBS + 1)))
+    near = near.withColumns({"before": before, "list": F.count("*").over(by_pos.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing))})
     # copies of one class that several tasks have sent stand side by side: one row of them is enough
-    near = near.filter("before is null or before <> cls").filter("salt > 0 or before is not null or after is not null")
-    near = kept(near.select("gram", "cls", "n", "pos", "before", "n_before", "pos_before"))
-    most = lambda x, y: 1 + F.least(F.col(f"n{x}") - F.col(f"pos{x}") - 1, F.col(f"n{y}") - F.col(f"pos{y}") - 1)
-    fits = lambda x, y: (100 + percent) * most(x, y).cast("long") >= percent * (F.col(f"n{x}") + F.col(f"n{y}")).cast("long")
-    chain = near.filter("before is not null").filter(fits("", "_before")).select(F.least("cls", "before").alias("a"), F.greatest("cls", "before").alias("b"))
+    near = near.filter((F.col("before")[0]["cls"] != F.col("cls")) | (F.col("before")[0].isNull() & ((F.col("salt") > 0) | (F.col("list") > NEIGHBOURS + 1))))
+    tested = F.filter("before", lambda x: (x["cls"] != F.col("cls")) & fits(F.col("pos"), F.col("n"), x["pos"], x["n"]))
+    near = near.withColumn("before", F.array_distinct(F.transform(tested, lambda x: x["cls"]))).withColumn("long", (F.col("salt") > 0) | (F.col("list") > NEIGHBOURS + 1))
+    near = kept(near.filter("long or size(before) > 0").select("gram", "cls", "n", "pos", "before", "long"))
+    chain = near.select("cls", F.explode("before").alias("x")).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b"))
     chain = kept(chain.distinct())
     links = kept(verified(chain, docs, size, percent))
 
     so_far = components(links)
-    near = near.select("gram", "cls", "n", "pos").join(so_far.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    # all pairs of the shorter lists are tested by now
+    near = near.filter("long").select("gram", "cls", "n", "pos").join(so_far.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = near.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gram")
     near = kept(near.join(mixed, "gram"))
     groups = near.select("gram", "root").distinct()
     x = groups.select("gram", F.col("root").alias("x")).join(groups.select("gram", F.col("root").alias("y")), "gram").filter("x < y")
     side = lambda r, c: near.select("gram", F.col("root").alias(r), F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"pos_{c}"))
-    cross = x.join(side("x", "p"), ["gram", "x"]).join(side("y", "q"), ["gram", "y"]).filter(fits("_p", "_q"))
+    cross = x.join(side("x", "p"), ["gram", "x"]).join(side("y", "q"), ["gram", "y"]).filter(fits(*map(F.col, ("pos_p", "n_p", "pos_q", "n_q"))))
     cross = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).filter("a <> b").distinct().join(chain, ["a", "b"], "left_anti")
     more = kept(verified(kept(cross), docs, size, percent))
 
