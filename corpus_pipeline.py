@@ -18,39 +18,41 @@ from shiftspark.llm.quality_rules import quality_rules
 
 #: Texts nearer to no language than this are rejected: noise without words of any learned language.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Name of the column with the hash of a row.
+KEY = "__row"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The documents with a hash of all their columns as `row`."""
-    return docs.withColumn("row", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+    """The documents with a hash of all their columns as KEY."""
+    return docs.withColumn(KEY, F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
 
 
 def of_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents whose row is among `rows`."""
-    return keyed(docs).join(rows.select("row").distinct(), "row", "left_semi").select(docs.columns)
+    """The documents whose KEY is among those of `rows`."""
+    return keyed(docs).join(rows.select(KEY).distinct(), KEY, "left_semi").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    found = quality_rules(keyed(docs).drop("doc_id").withColumnRenamed("row", "doc_id"))
-    return of_rows(docs, found.filter("kept").select(F.col("doc_id").alias("row")))
+    found = quality_rules(keyed(docs).drop("doc_id").withColumnRenamed(KEY, "doc_id"))
+    return of_rows(docs, found.filter("kept").select(F.col("doc_id").alias(KEY)))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: with letters, and near enough to a profile learned from all documents with a declared language."""
-    found = language_id(keyed(docs).drop("doc_id").withColumnRenamed("row", "doc_id"), docs.select("lang", "text"))
+    found = language_id(keyed(docs).drop("doc_id").withColumnRenamed(KEY, "doc_id"), docs.select("lang", "text"))
     good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return of_rows(docs, found.filter(good).select(F.col("doc_id").alias("row")))
+    return of_rows(docs, found.filter(good).select(F.col("doc_id").alias(KEY)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id; documents without words all stay."""
     rows = keyed(docs)
-    found = jaccard_components(rows.drop("doc_id").withColumnRenamed("row", "doc_id"))
-    found = kept(found.select(F.col("doc_id").alias("row"), "component_id", F.col("class").isNull().alias("empty")).distinct())
-    named = found.filter("not empty").join(rows.select("row", "doc_id"), "row")
-    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
-    one = rows.join(kept(first), "row", "left_semi").dropDuplicates(["row"]).select(docs.columns)
+    found = jaccard_components(rows.drop("doc_id").withColumnRenamed(KEY, "doc_id"))
+    found = kept(found.select(F.col("doc_id").alias(KEY), "component_id", F.col("class").isNull().alias("empty")).distinct())
+    named = found.filter("not empty").join(rows.select(KEY, "doc_id"), KEY)
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", KEY)).alias("first")).select(f"first.{KEY}")
+    one = rows.join(kept(first), KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
     return one.union(of_rows(docs, found.filter("empty")))
 
 

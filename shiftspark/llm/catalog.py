@@ -21,6 +21,7 @@ from shiftspark.llm.packing import pack
 from shiftspark.llm.quality_rules import quality_rules
 from shiftspark.llm.shards import byte_shards
 from shiftspark.llm.topk import top_k
+from shiftspark.llm.warc import derivatives, responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +111,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return language_model_scores(docs, docs.filter(~held_out(7))).withColumn("held_out", held_out(7))
+
+
+@query
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = derivatives(responses(load(spark, sf_dir, "pages")))
+    return found.withColumn("content_length", F.octet_length("content").cast("long")).withColumn("record_sha256", F.sha2("record", 256)).drop("content", "record")
