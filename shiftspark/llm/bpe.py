@@ -1,9 +1,9 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Tasks split texts into units that the tokenizer never merges across, and keep for each block of texts a dictionary of its units and
-every text as positions in it. Spark gathers the distinct units of all blocks, encodes each once, decodes them by a join of ids to
-pieces, and joins both back to the blocks, where positions become ids and text. What travels is one row for each block and unit, not
-one for each word of the corpus.
+Tasks split texts into units that the tokenizer never merges across, and build for each block of texts a dictionary of its units. Spark
+brings the rows of one unit together and encodes it once, sends the ids back to the units' places in their blocks, and joins ids to
+pieces; each block's table becomes a file in the shared folder. A second pass splits the texts again, and each unit's place in its
+block's dictionary gives its ids and its decoded form. What travels is one row for each block and unit, not one for each word.
 
 A unit is a run without ASCII blanks, and of a run of plain Latin letters with closing marks the letters in lower case and the marks
 by themselves, since this tokenizer drops blanks, lowers letters and never merges letters with marks.
@@ -11,6 +11,7 @@ by themselves, since this tokenizer drops blanks, lowers letters and never merge
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -19,15 +20,17 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from shiftspark.llm.common import kept, ragged, slices
+from shiftspark.llm.common import kept, ragged, raw, shared_folder, slices
 
 #: Text bytes in a block: its dictionary and positions are one task's group.
 BLOCK_BYTES = 32 << 20
+#: Units of the texts that a task returns at once; a longer text goes alone.
+SENT_UNITS = 1 << 19
 #: Vocabularies go to every worker; larger ones are refused.
 MOST_PIECES = 1_000_000
 
@@ -100,31 +103,35 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def split(docs: DataFrame) -> DataFrame:
-    """Rows (block, doc_id, at) for texts and (block, units) for dictionaries. Blocks have random names: write before use."""
-    names = ["block", "doc_id", "at", "units"]
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, Units, list[np.ndarray]]]:
+    """Texts in blocks: a name made from the texts, their ids, the dictionary of their units and each text's positions in it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, own, size = uuid.uuid4().int >> 65, Units(), 0
-
-        def dictionary() -> pa.RecordBatch:
-            units = pa.array([list(own.units)], pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), units], names)
+    Equal texts in equal order give equal blocks, names included, so what is stored for a block holds whenever the block is built again.
+    """
+    own, ids, at, size, name = Units(), [], [], 0, xxhash.xxh3_128()
+    for b in slices(batches):
+        flat, lengths = own.add_all(b.column("text").to_pylist())
+        at += np.split(flat, np.cumsum(lengths)[:-1])
+        ids += b.column("doc_id").to_pylist()
+        data, off = raw(b.column("text"))
+        name.update(np.ascontiguousarray(data))
+        name.update(off.tobytes())
+        size += len(data) + b.num_rows
+        if size >= BLOCK_BYTES:
+            yield name.hexdigest(), ids, own, at
+            own, ids, at, size, name = Units(), [], [], 0, xxhash.xxh3_128()
+    if ids:
+        yield name.hexdigest(), ids, own, at
+
+
+def dictionaries(docs: DataFrame) -> DataFrame:
+    """(block, units) of each block."""
 
-        for b in slices(batches):
-            at, lengths = own.add_all(b.column("text").to_pylist())
-            ends = np.cumsum(lengths)
-            parts = [packed(at[e - n : e]) for e, n in zip(ends, lengths)]
-            rows = [pa.array([block] * b.num_rows, pa.int64()), b.column("doc_id"), pa.array(parts, pa.binary()), pa.nulls(b.num_rows, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(rows, names)
-            size += b.column("text").nbytes
-            if size >= BLOCK_BYTES:
-                yield dictionary()
-                block, own, size = uuid.uuid4().int >> 65, Units(), 0
-        if size:
-            yield dictionary()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, _, own, _ in blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(own.units)], pa.list_(pa.string()))], ["block", "units"])
 
-    return docs.mapInArrow(run, "block long, doc_id long, at binary, units array<string>")
+    return docs.mapInArrow(run, "block string, units array<string>")
 
 
 def pieces(spark, path: str) -> DataFrame:
@@ -135,50 +142,92 @@ def pieces(spark, path: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"id": list(vocab.values()), "piece": list(vocab)}), "id int, piece string")
 
 
-def word_table(units: DataFrame, path: str) -> DataFrame:
-    """(unit, ids, decoded) of each distinct unit: encoded once, decoded by the join of ids to pieces, blanks between pieces."""
-
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            ids, lengths = encoded(path, s.tolist())
-            yield pd.Series(np.split(ids.astype(np.int32), np.cumsum(lengths)[:-1]), dtype=object) if len(s) else pd.Series([], dtype=object)
+def encoded_units(units: DataFrame, path: str) -> DataFrame:
+    """units (unit, block, k) with the ids of the unit, as bytes: rows of one unit meet in one task, side by side, and it is encoded once
+    there (once more where Arrow batches part)."""
 
-    words = units.select("unit").distinct().withColumn("ids", F.pandas_udf(encode, T.ArrayType(T.IntegerType()))("unit"))
-    tokens = words.select("unit", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces(units.sparkSession, path)), "id")
-    rows = tokens.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "piece"))).alias("t"))
-    return rows.select("unit", F.col("t.id").alias("ids"), F.array_join("t.piece", " ").alias("decoded"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column("unit").dictionary_encode()
+            ids, lengths = encoded(path, words.dictionary.to_pylist())
+            data = pa.array([x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("k"), data.take(words.indices)], ["block", "k", "ids"])
+
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "block string, k int, ids binary")
+
+
+class Table:
+    """Ids and decoded form of each unit of a block."""
+
+    def __init__(self, folder: str, block: str):
+        parts = np.load(f"{folder}/{block}.npz")
+        self.ids, self.lengths = parts["ids"], parts["lengths"].astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        pieces = parts["pieces"].tobytes().decode().split("\0")
+        cuts = zip(self.starts.tolist(), (self.starts + self.lengths).tolist())
+        names = [pieces[i] for i in self.ids.tolist()]
+        self.decoded = np.array([" ".join(names[a:b]) for a, b in cuts], object)
+
+    def text(self, at: np.ndarray) -> tuple[np.ndarray, str]:
+        return self.ids[ragged(self.starts[at], self.lengths[at])], " ".join(w for w in self.decoded[at].tolist() if w)
+
+
+def write_tables(folder: str):
+    """Writes the table of one block: the ids of its units, and the pieces that the ids are joined to."""
+
+    def run(key: tuple, units: pa.Table, vocabulary: pa.Table) -> pa.Table:
+        block = (units if units.num_rows else vocabulary).column(0)[0].as_py()
+        k = units.column("k").to_numpy()
+        k, order = np.unique(k, return_index=True)  # a block that occurs twice sends every unit twice
+        data = units.column("ids").combine_chunks().take(pa.array(order)) if len(k) else pa.array([], pa.binary())
+        data = data.combine_chunks() if isinstance(data, pa.ChunkedArray) else data
+        raw_ids = [np.frombuffer(x.as_py(), "<u4") for x in data]
+        lengths = np.array([len(x) for x in raw_ids], np.uint32)
+        assert (k == np.arange(len(k))).all()
+        names = [""] * (max(vocabulary.column("id").to_pylist(), default=-1) + 1)
+        for i, piece in zip(vocabulary.column("id").to_pylist(), vocabulary.column("piece").to_pylist()):
+            names[i] = piece
+        ids = np.concatenate([*raw_ids, np.zeros(0, "<u4")])
+        small = np.uint16 if len(names) <= 1 << 16 else np.uint32
+        part = f"{folder}/{block}.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            np.savez(f, ids=ids.astype(small), lengths=lengths, pieces=np.frombuffer("\0".join(names).encode(), np.uint8))
+        os.replace(part, f"{folder}/{block}.npz")
+        return pa.table([pa.array([block]), pa.array([len(k)], pa.int64())], ["block", "units"])
+
+    return run
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) for each row of docs (doc_id, text): ids as the tokenizer file's encode without special tokens, decoded as
     its decode of them, special tokens kept.
 
-    A null text counts as empty: no ids, empty decoded text. Repeated rows give a row each; other columns are left aside. An empty
-    table gives an empty result. The tokenizer must drop blanks, lower-case, and decode with blanks between pieces (word_bpe_49k.json).
+    docs is read twice and must come in the same order both times, as a stored table does; a block that differs is an error, not a
+    wrong result. A null text counts as empty: no ids, empty decoded text. Repeated rows give a row each; other columns are left aside.
+    An empty table gives an empty result. The tokenizer must drop blanks, lower-case, and decode with blanks between pieces
+    (word_bpe_49k.json).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = kept(split(docs))
-    units = rows.filter("units is not null").select("block", F.posexplode("units").alias("k", "unit"))
-    found = units.join(word_table(units, path), "unit").select("block", "k", "ids", "decoded")
+    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
+    known = kept(dictionaries(docs))
+    vocabulary = pieces(spark, path)
+    # the join of ids to pieces, for each block: every id of the vocabulary, whose size is checked
+    ids = known.select("block").distinct().select("block", F.explode(F.sequence(F.lit(0), F.lit(vocabulary.agg(F.max("id")).first()[0]))).alias("id"))
+    ids = ids.join(F.broadcast(vocabulary), "id").select(F.col("block").alias("of"), "id", "piece")
+    units = encoded_units(known.select("block", F.posexplode("units").alias("k", "unit")), path)
+    written = units.groupBy("block").cogroup(ids.groupBy("of")).applyInArrow(write_tables(folder), "block string, units long")
+    written.agg(F.sum("units")).first()
     names = ["doc_id", "ids", "decoded"]
 
-    def join(texts: pa.Table, table: pa.Table) -> pa.Table:
-        k = table.column("k").to_numpy()
-        width = int(k.max()) + 1 if len(k) else 0
-        ids_of = table.column("ids").combine_chunks()
-        ids_of = ids_of.chunk(0) if isinstance(ids_of, pa.ChunkedArray) else ids_of
-        flat = ids_of.flatten().to_numpy(zero_copy_only=False)
-        row_len = np.diff(ids_of.offsets.to_numpy())
-        lengths, starts = np.zeros(width, np.int64), np.zeros(width, np.int64)
-        lengths[k], starts[k] = row_len, np.cumsum(row_len) - row_len
-        word = np.full(width, "", object)
-        word[k] = table.column("decoded").to_numpy()
-        ids, decoded = [], []
-        for at in texts.column("at").to_pylist():
-            at = unpacked(at)
-            ids.append(flat[ragged(starts[at], lengths[at])])
-            decoded.append(" ".join(w for w in word[at].tolist() if w))
-        return pa.table([texts.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names)
-
-    texts = rows.filter("units is null").select(F.col("block").alias("own"), "doc_id", "at")
-    return texts.groupBy("own").cogroup(found.groupBy("block")).applyInArrow(join, "doc_id long, ids array<int>, decoded string")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, doc_ids, _, at in blocks(batches):
+            table, a, b = Table(folder, block), 0, 0
+            while a < len(at):
+                size, b = 0, a
+                while b < len(at) and (size == 0 or size + len(at[b]) < SENT_UNITS):
+                    size, b = size + len(at[b]) + 1, b + 1
+                found, text = zip(*map(table.text, at[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array(text, pa.string())], names)
+                a = b
+
+    return docs.mapInArrow(join, "doc_id long, ids array<int>, decoded string")

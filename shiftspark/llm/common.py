@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def shared_folder(spark) -> str:
+    """A fresh folder of the file system that driver and executors share, for files that tasks write and read."""
+    path = scratch(spark)
+    if "://" in path or path.startswith("file:"):
+        scheme, _, path = path.partition(":")
+        if scheme != "file":
+            raise ValueError("tasks share files here: spark.checkpoint.dir must be a mounted folder")
+        path = "/" + path.lstrip("/")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
 def kept(df: DataFrame, path: str | None = None) -> DataFrame:
     """The rows, written to the shared folder and read again: one evaluation, and no lineage behind it."""
     spark, path = df.sparkSession, path or scratch(df.sparkSession)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftspark.llm.bpe import packed, unpacked
-from shiftspark.llm.common import hashed, kept, lowered, mix, raw, scratch, slices, words
+from shiftspark.llm.common import hashed, kept, lowered, mix, raw, shared_folder, slices, words
 
 #: Tokens that a task holds before it sends their bigrams on; bigrams and words of a shard, about.
 HELD, SHARD_BIGRAMS, SHARD_WORDS = 3 << 20, 1 << 21, 1 << 20
@@ -33,18 +33,6 @@ BYTES_A_WORD = 6
 START, END = np.uint64(0x1D872B41A0C7F3E5), np.uint64(0x8E51C62F97B4D03B)
 
 
-def shared_folder(spark) -> str:
-    """A fresh folder of the file system that driver and executors share, for files that workers map."""
-    path = scratch(spark)
-    if "://" in path or path.startswith("file:"):
-        scheme, _, path = path.partition(":")
-        if scheme != "file":
-            raise ValueError("the model's files are memory-mapped: spark.checkpoint.dir must be a mounted folder")
-        path = "/" + path.lstrip("/")
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
 def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context and token hashes of all texts, and each token's text."""
     data, off = raw(batch.column("text"))

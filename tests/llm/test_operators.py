@@ -23,7 +23,7 @@ from shiftspark.llm.packing import Windows, pack
 from shiftspark.llm.quality_rules import quality_rules
 from shiftspark.llm.shards import byte_shards
 from shiftspark.llm.topk import top_k
-from shiftspark.llm.warc import derivatives, digest, page, parsed, responses
+from shiftspark.llm.warc import SOURCE, derivatives, digest, page, parsed, responses
 from tests.conftest import SMALL
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -366,7 +366,7 @@ def test_warc_records_round_trip(spark):
         assert headers["WARC-Block-Digest"] == digest(content) and r.source_payload_digest == own.payload_digest
         assert headers.get("WARC-Target-URI") == (own.target_uri and " ".join(own.target_uri.split()))
     assert len({r.record_id for r in rows}) == 2 * len(source)
-    bare = spark.createDataFrame([(None,) * 6, ("<urn:x>", "u", "d", "sha256:0", None, bytearray(b"no head"))], responses(df).schema)
+    bare = spark.createDataFrame([(None,) * 6, ("<urn:x>", "u", "d", "sha256:0", None, bytearray(b"no head"))], SOURCE)
     got = {(r.warc_type, r.refers_to is None, r.digests_match, r.http_status) for r in derivatives(bare).collect()}
     assert got == {(k, False, m, None) for k in ("metadata", "conversion") for m in (True, False)}
     assert derivatives(bare.filter("false")).count() == 0
