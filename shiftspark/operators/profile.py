@@ -65,6 +65,9 @@ def feature_moments(obs: DataFrame, spec: ObsSpec, population: bool = False) ->
         ).alias(f"s_{i}")
         for i, f in enumerate(have)
     ]
+    if not have:
+        none = [F.lit(None).cast("double").alias(c) for c in ("mean", "std", "min", "max")]
+        return wide.limit(0).select("scenario", F.lit("").alias("feature"), F.lit(0).cast("long").alias("n"), *none)
     per_scenario = wide.groupBy("scenario").agg(*aggs)
     tall = per_scenario.select("scenario", F.inline(F.array(*[f"s_{i}" for i in range(len(have))])))
     return tall.filter(F.col("n") > 0)
@@ -187,70 +190,70 @@ def score_histogram(obs: DataFrame, spec: ObsSpec, bins: int = 50) -> DataFrame:
     )
 
 
-def kde_curve(obs: DataFrame, spec: ObsSpec, grid: int = 1000, cells: int = 512) -> DataFrame:
+# Cells of the kernel density in a bandwidth, and bandwidths from which the kernel is left out (less than 1e-13 of its peak).
+KDE_CELLS = 64
+KDE_REACH = 8
+
+
+def kde_curve(obs: DataFrame, spec: ObsSpec, grid: int = 1000) -> DataFrame:
     """Gaussian kernel density per (scenario, feature), Scott bandwidth, on
     ``grid`` points that span the data range widened by half of it on each side.
 
-    The values are first spread linearly over ``cells`` intervals of the data
-    range, which one aggregation does; the kernel is then summed over the
-    cells of a group, a bounded array, for each grid point. The work is
-    groups x grid x cells and does not grow with the rows.
+    Value counts fall into cells of 1 / KDE_CELLS of the bandwidth, whatever
+    the range of the data; a cell keeps its weight, mean and variance, which
+    gives the kernel sum up to third order in the cell width, and exactly where
+    a cell holds one value. Cells lie in regions of KDE_REACH bandwidths, and a
+    grid point sums the cells of its own region and the two beside it: at most
+    3 * KDE_REACH * KDE_CELLS, however many rows or cells there are.
     """
+    keys = ["scenario", "feature"]
     ends = (
         feature_moments(obs, spec)
         .filter((F.col("n") > 1) & (F.col("std") > 0))
         .select(
-            "scenario",
-            "feature",
-            "n",
+            *keys,
+            F.col("n").alias("rows"),
             F.col("min").alias("start"),
             F.col("max").alias("stop"),
-            (F.col("std") * F.pow(F.col("n").cast("double"), d(-0.2))).alias("bandwidth"),
+            (F.col("std") * F.pow(F.col("n").cast("double"), d(-0.2))).alias("h"),
         )
     )
-    rows = attach(features_long(obs, spec), ends, ["scenario", "feature"])
-    step = (F.col("stop") - F.col("start")) / d(cells)
-    place = (F.col("value") - F.col("start")) / step
-    left = F.least(F.floor(place), F.lit(cells - 1)).cast("int")
-    kept = ["start", "stop", "n", "bandwidth"]
-    keys = ["scenario", "feature"]
-    cell_sums = (
-        rows.select(*keys, *kept, left.alias("cell"), (place - left).alias("part"))
-        .groupBy(*keys, "cell")
-        .agg(
-            F.sum(d(1) - F.col("part")).alias("w_left"),
-            F.sum("part").alias("w_right"),
-            *[F.first(x).alias(x) for x in kept],
-        )
+    width = F.col("h") / d(KDE_CELLS)
+    counts = features_long(obs, spec).groupBy(*keys, "value").agg(F.count("*").alias("w"))
+    cell = F.floor((F.col("value") - F.col("start")) / width)
+    off = F.col("value") - F.col("start") - (F.col("cell") + d(0.5)) * width
+    cells = (
+        counts.join(ends, keys)
+        .withColumn("cell", cell)
+        .groupBy(*keys, "cell", "start", "h")
+        .agg(F.sum("w").alias("w"), F.sum(F.col("w") * off).alias("s1"), F.sum(F.col("w") * off * off).alias("s2"))
     )
-    # The right-hand share of a cell belongs to the next knot.
-    knots = (
-        cell_sums.select(
+    mean = F.col("s1") / F.col("w")
+    regions = (
+        cells.select(
             *keys,
-            *kept,
-            F.inline(
-                F.array(
-                    F.struct(F.col("cell").alias("knot"), F.col("w_left").alias("w")),
-                    F.struct((F.col("cell") + 1).alias("knot"), F.col("w_right").alias("w")),
-                )
-            ),
+            F.floor(F.col("cell") / (KDE_CELLS * KDE_REACH)).alias("region"),
+            F.struct(
+                "w",
+                (F.col("start") + (F.col("cell") + d(0.5)) * width + mean).alias("at"),
+                ((F.col("s2") / F.col("w") - mean * mean) / F.pow(F.col("h"), d(2)) / d(2)).alias("bend"),
+            ).alias("cell"),
         )
-        .groupBy(*keys, "knot")
-        .agg(F.sum("w").alias("w"), *[F.first(x).alias(x) for x in kept])
-        .withColumn("at", F.col("start") + F.col("knot") * step)
-    )
-    groups = knots.groupBy(*keys).agg(
-        F.collect_list(F.struct("at", "w")).alias("knots"), *[F.first(x).alias(x) for x in kept]
+        .groupBy(*keys, "region")
+        .agg(F.collect_list("cell").alias("cells"))
     )
     span = F.col("stop") - F.col("start")
-    points = groups.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
+    points = ends.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
         "x", F.col("start") - span * d(0.5) + F.col("point").cast("double") * (span * d(2) / d(grid - 1))
     )
-    total = F.aggregate(
-        "knots",
-        d(0),
-        lambda acc, k: acc
-        + k["w"] * F.exp(d(-0.5) * F.pow((F.col("x") - k["at"]) / F.col("bandwidth"), d(2))),
-    )
-    norm = F.col("n") * F.col("bandwidth") * F.sqrt(d(2) * F.pi())
-    return points.select(*keys, "point", "x", (total / norm).alias("density"))
+    own = F.floor((F.col("x") - F.col("start")) / (F.col("h") * d(KDE_REACH)))
+    around = points.select(*keys, "point", "x", "rows", "h", F.explode(F.sequence(own - 1, own + 1)).alias("region"))
+
+    def term(total, c):
+        u2 = F.pow((F.col("x") - c["at"]) / F.col("h"), d(2))
+        return total + c["w"] * F.exp(d(-0.5) * u2) * (d(1) + (u2 - d(1)) * c["bend"])
+
+    part = F.coalesce(F.aggregate("cells", d(0), term), d(0))
+    norm = F.col("rows") * F.col("h") * F.sqrt(d(2) * F.pi())
+    sums = around.join(regions, [*keys, "region"], "left").withColumn("part", part / norm)
+    return sums.groupBy(*keys, "point", "x").agg(F.sum("part").alias("density"))

@@ -26,6 +26,8 @@ def psi_edges(baseline: DataFrame, features: list[str]) -> Edges:
     Only the two range ends per feature come to the driver, so the binning of
     the big tables compares with constants. A constant feature has no edges
     (empty list); one without values is left out."""
+    if not features:
+        return {}
     aggs = [g(known(f)).alias(f"{n}_{f}") for f in features for n, g in (("lo", F.min), ("hi", F.max))]
     row = baseline.agg(*aggs).first().asDict()
     return edges_of_ranges({f: (row[f"lo_{f}"], row[f"hi_{f}"]) for f in features if row[f"lo_{f}"] is not None})

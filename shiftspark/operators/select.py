@@ -46,6 +46,9 @@ def melt(df: DataFrame, keys: list[str], cols: list[str], value: str) -> DataFra
     The filter on ``feature`` is there for the same reason: joins would add it
     to one of the copies.
     """
+    if not cols:
+        empty = df.limit(0).select(*keys, F.lit("").alias("feature"), F.lit(None).cast("double").alias(value))
+        return empty
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias(value)) for c in cols])
     return df.select(*keys, F.inline(cells)).filter(F.col("feature").isNotNull())
 

@@ -312,22 +312,16 @@ def score_hist(spark, sf):
     "kde_curve",
     *o.LONG,
     """base AS (
-      SELECT scenario, feature, count(*) AS n, min(value) AS a, max(value) AS z, (max(value) - min(value)) / 5.12e2 AS step,
+      SELECT scenario, feature, count(*) AS n, min(value) AS a, max(value) AS z,
         stddev_samp(value) * pow(CAST(count(*) AS DOUBLE), -2e-1) AS h
       FROM long GROUP BY scenario, feature HAVING count(*) > 1 AND stddev_samp(value) > 1e-12),
-    placed AS (
-      SELECT l.scenario, l.feature, least(floor((value - a) / step), 511) AS cell, (value - a) / step AS place
-      FROM long l JOIN base b ON b.scenario = l.scenario AND b.feature = l.feature),
-    knots AS (
-      SELECT scenario, feature, knot, sum(w) AS w FROM (
-        SELECT scenario, feature, cell AS knot, 1e0 - (place - cell) AS w FROM placed
-        UNION ALL SELECT scenario, feature, cell + 1, place - cell FROM placed) GROUP BY scenario, feature, knot),
+    counts AS (SELECT scenario, feature, value, count(*) AS w FROM long GROUP BY scenario, feature, value),
     points AS (
       SELECT b.*, i, a - (z - a) * 5e-1 + i * ((z - a) * 2e0 / 9.99e2) AS x
       FROM base b CROSS JOIN (SELECT range AS i FROM range(1000)) g)""",
     f"""SELECT p.scenario, p.feature, CAST(i AS INTEGER) AS point, {o.r('x', 'x')},
-      {o.r('density', 'sum(w * exp(-5e-1 * pow((x - (a + knot * step)) / h, 2e0))) / (n * h * sqrt(2e0 * pi()))')}
-    FROM points p JOIN knots k ON k.scenario = p.scenario AND k.feature = p.feature
+      {o.r('density', 'sum(w * exp(-5e-1 * pow((x - value) / h, 2e0))) / (n * h * sqrt(2e0 * pi()))')}
+    FROM points p JOIN counts k ON k.scenario = p.scenario AND k.feature = p.feature
     GROUP BY p.scenario, p.feature, i, x, n, h""",
 )
 def kde(spark, sf):

@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder for tables that other tasks read again.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset, as in local runs, a temporary one is made."""
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Where
+    that is unset, a local master gets a temporary one, once for the session;
+    on a cluster it is an error, as executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="shiftspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -221,3 +221,22 @@ def test_matrix_fill_and_order(spark):
     )
     rows = drift.ks_matrix(t, ["A", "B"]).collect()
     assert [r["feature"] for r in rows] == ["x", "y"] and rows[1]["B"] == 0.0
+
+
+def test_no_common_feature_gives_empty_tables(two_samples):
+    df, other = two_samples([1, 2, 3], [2, 3, 4]), ObsSpec(features=("absent",))
+    for table in (drift.ks_test, drift.drift_table, psi.psi_table, profile.feature_moments):
+        empty = table(df, other)
+        assert empty.count() == 0 and empty.dtypes == table(df, X).dtypes
+
+
+def test_kernel_density_of_heavy_tails(spark):
+    values = [math.exp(2.5 * (((i * 7919) % 2003) / 1001.5 - 1) * 1.7) for i in range(2003)] + [0.5] * 40
+    df = spark.createDataFrame([("Baseline", v) for v in values], "scenario string, x double")
+    rows = profile.kde_curve(df, X).filter("point % 37 = 0 or point between 245 and 275").collect()
+    mean = sum(values) / len(values)
+    h = math.sqrt(sum((v - mean) ** 2 for v in values) / (len(values) - 1)) * len(values) ** -0.2
+    assert len(rows) > 40
+    for r in rows:
+        want = sum(math.exp(-0.5 * ((r["x"] - v) / h) ** 2) for v in values) / (len(values) * h * math.sqrt(2 * math.pi))
+        assert r["density"] == pytest.approx(want, rel=1e-6, abs=1e-12)
