@@ -34,7 +34,7 @@ FRAGMENTS, FIRST = 8, 2
 LOCAL, FREQUENT = 3, 16
 #: Parts into which the list of a frequent n-gram is split when neighbours are linked, other parts for each n-gram, how many neighbours a row is tested with, and
 #: how many of the list's first.
-SALTS, NEIGHBOURS, HUBS = 16, 4, 2
+SALTS, NEIGHBOURS, HUBS = 16, 3, 2
 
 
 def doc_sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,8 +138,9 @@ def segments(docs: DataFrame, size: int, wanted: Bits, some: range) -> DataFrame
     return docs.mapInArrow(run, kind).dropDuplicates(["cls"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough, by sums of overlaps per fragment."""
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, in_two: bool) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough, by sums of overlaps per fragment: of all at once, or in two phases, the
+    second for pairs that can still reach the limit."""
     # 100 * i >= percent * (n_a + n_b - i)
     reaches = (100 + percent) * F.col("total") >= percent * (F.col("n_a") + F.col("n_b")).cast("long")
 
@@ -152,6 +153,8 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
         rest = total(F.least(F.col("sizes_a")[i], F.col("sizes_b")[i]) for i in range(some.stop, FRAGMENTS))
         return todo.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", overlap.alias("part"), rest.alias("rest"))
 
+    if not in_two:
+        return counted(pairs, range(FRAGMENTS)).withColumn("total", F.col("part")).filter(reaches).select("a", "b")
     first = kept(counted(pairs, range(FIRST)).withColumn("total", F.col("part") + F.col("rest")).filter(reaches).select("a", "b", F.col("part").alias("so_far")))
     rest = counted(first.select("a", "b"), range(FIRST, FRAGMENTS))
     return rest.join(first, ["a", "b"]).withColumn("total", F.col("part") + F.col("so_far")).filter(reaches).select("a", "b")
@@ -175,7 +178,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     fits = lambda a, n_a, b, n_b: (100 + percent) * most(a, n_a, b, n_b).cast("long") >= percent * (n_a + n_b).cast("long")
     # texts with little of their own come first: in a group of near copies most others are near to them
     by_pos = W.Window.partitionBy("gram", "salt").orderBy("pos", F.xxhash64("gram", "cls"))
-    near = prefixes(docs, size, frequent, percent).withColumn("own", F.struct("cls", "n", "pos"))
+    # dealt out before the columns that only the windows need are added
+    near = prefixes(docs, size, frequent, percent).repartition("gram", "salt").withColumn("own", F.struct("cls", "n", "pos"))
     lags = [F.lag("own", k).over(by_pos) for k in range(1, NEIGHBOURS + 1)]
     before = F.array(*lags, *(F.nth_value("own", k).over(by_pos) for k in range(1, HUBS + 1)))
     near = near.withColumns({"before": before, "list": F.count("*").over(by_pos.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing))})
@@ -186,7 +190,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     near = kept(near.filter("long or size(before) > 0").select("gram", "cls", "n", "pos", "before", "long"))
     chain = near.select("cls", F.explode("before").alias("x")).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b"))
     chain = kept(chain.distinct())
-    links = kept(verified(chain, docs, size, percent))
+    links = kept(verified(chain, docs, size, percent, in_two=True))
 
     so_far = components(links)
     # all pairs of the shorter lists are tested by now
@@ -198,7 +202,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     side = lambda r, c: near.select("gram", F.col("root").alias(r), F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"pos_{c}"))
     cross = x.join(side("x", "p"), ["gram", "x"]).join(side("y", "q"), ["gram", "y"]).filter(fits(*map(F.col, ("pos_p", "n_p", "pos_q", "n_q"))))
     cross = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).filter("a <> b").distinct().join(chain, ["a", "b"], "left_anti")
-    more = kept(verified(kept(cross), docs, size, percent))
+    # these come from groups of near copies, where the first fragments tell little
+    more = kept(verified(kept(cross), docs, size, percent, in_two=False))
 
     final = components(links.union(more))
     own = own.withColumn("class", F.when(F.col("n") > 0, F.col("cls"))).join(final.withColumnRenamed("node", "class"), "class", "left")
