@@ -30,7 +30,7 @@ from shiftspark.llm.common import kept, ragged, raw, shared_folder, slices
 #: Text bytes in a block: its dictionary and positions are one task's group.
 BLOCK_BYTES = 32 << 20
 #: Units of the texts that a task returns at once; a longer text goes alone.
-SENT_UNITS = 1 << 19
+SENT_UNITS = 1 << 18
 #: Vocabularies go to every worker; larger ones are refused.
 MOST_PIECES = 1_000_000
 
@@ -103,7 +103,7 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, Units, list[np.ndarray]]]:
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list[str], list[np.ndarray]]]:
     """Texts in blocks: a name made from the texts, their ids, the dictionary of their units and each text's positions in it.
 
     Equal texts in equal order give equal blocks, names included, so what is stored for a block holds whenever the block is built again.
@@ -118,18 +118,21 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, Units
         name.update(off.tobytes())
         size += len(data) + b.num_rows
         if size >= BLOCK_BYTES:
-            yield name.hexdigest(), ids, own, at
+            done = [name.hexdigest(), ids, list(own.units), at]
             own, ids, at, size, name = Units(), [], [], 0, xxhash.xxh3_128()
+            yield done.pop(0), done.pop(0), done.pop(0), done.pop(0)  # nothing of the block stays here
     if ids:
-        yield name.hexdigest(), ids, own, at
+        done = [name.hexdigest(), ids, list(own.units), at]
+        del own, ids, at, b, flat, data
+        yield done.pop(0), done.pop(0), done.pop(0), done.pop(0)
 
 
 def dictionaries(docs: DataFrame) -> DataFrame:
     """(block, units) of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, own, _ in blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(own.units)], pa.list_(pa.string()))], ["block", "units"])
+        for name, _, units, _ in blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([units], pa.list_(pa.string()))], ["block", "units"])
 
     return docs.mapInArrow(run, "block string, units array<string>")
 
@@ -220,7 +223,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     names = ["doc_id", "ids", "decoded"]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, doc_ids, _, at in blocks(batches):
+        for block, doc_ids, units, at in blocks(batches):
+            del units
             table, a, b = Table(folder, block), 0, 0
             while a < len(at):
                 size, b = 0, a
