@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,6 +30,8 @@ from shiftspark.llm.common import kept, ragged, raw, shared_folder, slices
 
 #: Text bytes in a block: its dictionary and positions are one task's group.
 BLOCK_BYTES = 32 << 20
+#: Text bytes whose words are Python objects at once.
+SPLIT_BYTES = 1 << 20
 #: Units of the texts that a task returns at once; a longer text goes alone.
 SENT_UNITS = 1 << 18
 #: Vocabularies go to every worker; larger ones are refused.
@@ -62,19 +65,18 @@ class Units:
     def __init__(self) -> None:
         self.runs: dict[str, int] = {}
         self.units: dict[str, int] = {}
-        self.first: list[int] = []
-        self.second: list[int] = []
+        self.first, self.second = array("q"), array("q")
 
     def add_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Positions of all texts' units in one array, and how many each text has."""
         runs, new = self.runs, self._new
         found = [RUN.findall(t) for t in texts]
         at = np.fromiter((runs[r] if r in runs else new(r) for f in found for r in f), np.int64, sum(map(len, found)))
-        second = np.array(self.second, np.int64)
+        second = np.array(np.frombuffer(self.second, np.int64) if self.second else [], np.int64)
         two = second[at] >= 0 if len(at) else np.zeros(0, bool)
         doc = np.repeat(np.arange(len(texts)), [len(f) for f in found])
         lengths = np.bincount(doc, 1 + two, len(texts)).astype(np.int64)
-        return self._joined(at, np.array(self.first, np.int64), second), lengths
+        return self._joined(at, np.array(np.frombuffer(self.first, np.int64) if self.first else [], np.int64), second), lengths
 
     def _new(self, run: str) -> int:
         plain = PLAIN.fullmatch(run)
@@ -109,7 +111,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list[
     Equal texts in equal order give equal blocks, names included, so what is stored for a block holds whenever the block is built again.
     """
     own, ids, at, size, name = Units(), [], [], 0, xxhash.xxh3_128()
-    for b in slices(batches):
+    for b in slices(batches, limit=SPLIT_BYTES):
         flat, lengths = own.add_all(b.column("text").to_pylist())
         at += np.split(flat, np.cumsum(lengths)[:-1])
         ids += b.column("doc_id").to_pylist()
