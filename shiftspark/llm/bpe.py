@@ -186,13 +186,13 @@ def write_tables(folder: str):
         k, order = np.unique(k, return_index=True)  # a block that occurs twice sends every unit twice
         data = units.column("ids").combine_chunks().take(pa.array(order)) if len(k) else pa.array([], pa.binary())
         data = data.combine_chunks() if isinstance(data, pa.ChunkedArray) else data
-        raw_ids = [np.frombuffer(x.as_py(), "<u4") for x in data]
-        lengths = np.array([len(x) for x in raw_ids], np.uint32)
+        flat, off = raw(data.cast(pa.large_binary()))
+        lengths = (np.diff(off) // 4).astype(np.uint32)
         assert (k == np.arange(len(k))).all()
         names = [""] * (max(vocabulary.column("id").to_pylist(), default=-1) + 1)
         for i, piece in zip(vocabulary.column("id").to_pylist(), vocabulary.column("piece").to_pylist()):
             names[i] = piece
-        ids = np.concatenate([*raw_ids, np.zeros(0, "<u4")])
+        ids = np.frombuffer(flat.tobytes(), "<u4")
         small = np.uint16 if len(names) <= 1 << 16 else np.uint32
         part = f"{folder}/{block}.{uuid.uuid4().hex}"
         with open(part, "wb") as f:
