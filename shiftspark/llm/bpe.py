@@ -34,6 +34,8 @@ BLOCK_BYTES = 32 << 20
 SPLIT_BYTES = 1 << 20
 #: Units of the texts that a task returns at once; a longer text goes alone.
 SENT_UNITS = 1 << 18
+#: Encoded units that a task bundles at once.
+BUNDLED = 1 << 16
 #: Vocabularies go to every worker; larger ones are refused.
 MOST_PIECES = 1_000_000
 
@@ -147,18 +149,55 @@ def pieces(spark, path: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"id": list(vocab.values()), "piece": list(vocab)}), "id int, piece string")
 
 
+def bundles(held: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(block, units): of each block the held units in one value: how many, then their places, numbers of ids and ids."""
+    names = pa.chunked_array([h[1] for h in held]).dictionary_encode().combine_chunks()
+    block = names.indices.to_numpy()
+    k, lengths, ids = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3))
+    order = np.argsort(block, kind="stable")
+    starts = np.cumsum(lengths) - lengths
+    cut = np.searchsorted(block[order], np.arange(len(names.dictionary) + 1))
+    data = []
+    for own in (order[a:b] for a, b in zip(cut[:-1], cut[1:])):
+        data.append(packed(np.concatenate([[len(own)], k[own], lengths[own], ids[ragged(starts[own], lengths[own])]])))
+    return pa.RecordBatch.from_arrays([names.dictionary, pa.array(data, pa.binary())], ["block", "units"])
+
+
 def encoded_units(units: DataFrame, path: str) -> DataFrame:
-    """units (unit, block, k) with the ids of the unit, as bytes: rows of one unit meet in one task, side by side, and it is encoded once
-    there (once more where Arrow batches part)."""
+    """units (unit, block, k) with the ids of the units, in bundles for each block: rows of one unit meet in one task, side by side, and
+    it is encoded once there (once more where Arrow batches part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for b in batches:
             words = b.column("unit").dictionary_encode()
             ids, lengths = encoded(path, words.dictionary.to_pylist())
-            data = pa.array([x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("k"), data.take(words.indices)], ["block", "k", "ids"])
-
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "block string, k int, ids binary")
+            at = words.indices.to_numpy()
+            starts = np.cumsum(lengths) - lengths
+            held.append((b.column("k").to_numpy(), b.column("block"), lengths[at], ids[ragged(starts[at], lengths[at])]))
+            rows += b.num_rows
+            if rows >= BUNDLED:
+                yield bundles(held)
+                held, rows = [], 0
+        if rows:
+            yield bundles(held)
+
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "block string, units binary")
+
+
+def unbundled(bundled: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, numbers of ids and ids of all units in the bundles of a block, in order of their places and each once."""
+    k, lengths, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    for data in bundled:
+        numbers = unpacked(data)
+        n = int(numbers[0])
+        k.append(numbers[1 : n + 1])
+        lengths.append(numbers[n + 1 : 2 * n + 1])
+        ids.append(numbers[2 * n + 1 :])
+    k, lengths, ids = np.concatenate(k), np.concatenate(lengths).astype(np.int64), np.concatenate(ids)
+    starts = np.cumsum(lengths) - lengths
+    k, order = np.unique(k, return_index=True)  # a block that occurs twice sends every unit twice
+    return k, lengths[order], ids[ragged(starts[order], lengths[order])]
 
 
 class Table:
@@ -182,30 +221,25 @@ def write_tables(folder: str):
 
     def run(key: tuple, units: pa.Table, vocabulary: pa.Table) -> pa.Table:
         block = (units if units.num_rows else vocabulary).column(0)[0].as_py()
-        k = units.column("k").to_numpy()
-        k, order = np.unique(k, return_index=True)  # a block that occurs twice sends every unit twice
-        data = units.column("ids").combine_chunks().take(pa.array(order)) if len(k) else pa.array([], pa.binary())
-        data = data.combine_chunks() if isinstance(data, pa.ChunkedArray) else data
-        flat, off = raw(data.cast(pa.large_binary()))
-        lengths = (np.diff(off) // 4).astype(np.uint32)
+        k, lengths, ids = unbundled(units.column("units").to_pylist())
         assert (k == np.arange(len(k))).all()
         names = [""] * (max(vocabulary.column("id").to_pylist(), default=-1) + 1)
         for i, piece in zip(vocabulary.column("id").to_pylist(), vocabulary.column("piece").to_pylist()):
             names[i] = piece
-        ids = np.frombuffer(flat.tobytes(), "<u4")
         small = np.uint16 if len(names) <= 1 << 16 else np.uint32
+        short = np.min_scalar_type(int(lengths.max(initial=0)))
         part = f"{folder}/{block}.{uuid.uuid4().hex}"
         with open(part, "wb") as f:
-            np.savez(f, ids=ids.astype(small), lengths=lengths, pieces=np.frombuffer("\0".join(names).encode(), np.uint8))
+            np.savez_compressed(f, ids=ids.astype(small), lengths=lengths.astype(short), pieces=np.frombuffer("\0".join(names).encode(), np.uint8))
         os.replace(part, f"{folder}/{block}.npz")
         return pa.table([pa.array([block]), pa.array([len(k)], pa.int64())], ["block", "units"])
 
     return run
 
 
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, as_bytes: bool = False) -> DataFrame:
     """(doc_id, ids, decoded) for each row of docs (doc_id, text): ids as the tokenizer file's encode without special tokens, decoded as
-    its decode of them, special tokens kept.
+    its decode of them, special tokens kept. ids is an array, or `as_bytes` one binary value of little-endian unsigned 32-bit integers.
 
     docs is read twice and must come in the same order both times, as a stored table does; a block that differs is an error, not a
     wrong result. A null text counts as empty: no ids, empty decoded text. Repeated rows give a row each; other columns are left aside.
@@ -224,6 +258,11 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     written.agg(F.sum("units")).first()
     names = ["doc_id", "ids", "decoded"]
 
+    def sent(found: tuple[np.ndarray, ...]) -> pa.Array:
+        if as_bytes:
+            return pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())
+        return pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, doc_ids, units, at in blocks(batches):
             del units
@@ -233,7 +272,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 while b < len(at) and (size == 0 or size + len(at[b]) < SENT_UNITS):
                     size, b = size + len(at[b]) + 1, b + 1
                 found, text = zip(*map(table.text, at[a:b]))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array(text, pa.string())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), sent(found), pa.array(text, pa.string())], names)
                 a = b
 
-    return docs.mapInArrow(join, "doc_id long, ids array<int>, decoded string")
+    return docs.mapInArrow(join, f"doc_id long, ids {'binary' if as_bytes else 'array<int>'}, decoded string")

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,20 +53,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out(4))
 
 
-def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of encoded texts, the number of ids and digests of ids and decoded text."""
-    sha = lambda data: hashlib.sha256(data).hexdigest()
-    for b in batches:
-        ids = [sha(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for x in b.column("ids")]
-        n = np.array([len(x) for x in b.column("ids")], np.int64)
-        text = [sha(x.as_py().encode()) for x in b.column("decoded")]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 @query
 def op4_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = encode_decode(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return found.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    found = encode_decode(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), as_bytes=True)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return found.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 @query
