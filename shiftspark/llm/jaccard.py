@@ -6,8 +6,9 @@ nodes, and only links between different classes are looked for.
 * Global order: n-grams that occur in many texts of one task's slice come last, and hashes decide otherwise. Any fixed order gives
   the same links; this one keeps passages that many texts share out of the prefixes.
 * Candidates: two sets that are similar enough share an n-gram of their prefixes (prefix, length and position filters).
-* Verification: the order is cut into FRAGMENTS ranges. For each pair the common n-grams of a range are counted by themselves and
-  summed per pair. The first ranges come first: pairs that cannot reach the limit with all that is left drop out.
+* Verification: each class has a parity bitmap, a few bits for each of its n-grams. The bits in which two bitmaps differ are at most as
+  many as the n-grams that only one of the two sets has, so pairs that differ in too many bits drop out, and no other. For those left the
+  order is cut into FRAGMENTS ranges: the common n-grams of a range are counted by themselves and summed per pair.
 * Only components are asked for. First each row of a prefix list is verified with the NEIGHBOURS rows before it and the
   list's first HUBS; then, in longer lists
   that hold more than one component, all pairs between different components. Pairs within a component need no test, so that a group of k near copies costs
@@ -28,8 +29,10 @@ from pyspark.sql import window as W
 
 from shiftspark.llm.common import Bits, components, hashed, kept, lowered, mix, raw, slices, windows, words
 
-#: Ranges of the n-gram order, and how many of them are counted first.
-FRAGMENTS, FIRST = 8, 2
+#: Ranges of the n-gram order.
+FRAGMENTS = 8
+#: Bits of a bitmap for each n-gram of its set, at least, and of any bitmap; powers of two.
+GRAM_BITS, LEAST_BITS = 2, 256
 #: An n-gram counts towards the frequent ones if it is in so many texts of a slice; it is frequent from so many in all.
 LOCAL, FREQUENT = 3, 16
 #: Parts into which the list of a frequent n-gram is split when neighbours are linked, other parts for each n-gram, how many neighbours a row is tested with, and
@@ -58,26 +61,45 @@ def doc_sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray,
     return grams, bounds, cls
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """Bits that say which values of the n-grams' low bits occur an odd number of times."""
+    size = max(LEAST_BITS, 1 << (GRAM_BITS * len(grams) - 1).bit_length())
+    value, n = np.unique(grams & np.uint64(size - 1), return_counts=True)
+    odd = np.zeros(size, bool)
+    odd[value[n % 2 == 1].astype(np.int64)] = True
+    return np.packbits(odd).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """The bits in which two bitmaps differ, the larger one folded to the size of the smaller."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (x, y))
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), 0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def signed(h: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(h).view(np.int64))
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """Of each text its id, set size and class; besides, n-grams that are in LOCAL or more texts of a slice, with their number there."""
+    """Of each text its id, set size, class and bitmap; besides, n-grams that are in LOCAL or more texts of a slice, with their number there."""
+    names = ["doc_id", "n", "cls", "gram", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             grams, bounds, cls = doc_sets(b, size)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds)), signed(cls), pa.nulls(len(cls), pa.int64())], ["doc_id", "n", "cls", "gram"])
+            bits = pa.array([bitmap(grams[i:j]) if j > i else None for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds)), signed(cls), pa.nulls(len(cls), pa.int64()), bits], names)
             _, one = np.unique(cls, return_index=True)
             take = np.zeros(len(cls), bool)
             take[one] = True
             found, n = np.unique(grams[np.repeat(take, np.diff(bounds))], return_counts=True)
             found, n = found[n >= LOCAL], n[n >= LOCAL]
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(n), none, signed(found)], ["doc_id", "n", "cls", "gram"])
+            yield pa.RecordBatch.from_arrays([none, pa.array(n), none, signed(found), pa.nulls(len(n), pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, gram long")
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, gram long, bits binary")
 
 
 def prefixes(docs: DataFrame, size: int, frequent: Bits, percent: int) -> DataFrame:
@@ -111,10 +133,10 @@ def prefixes(docs: DataFrame, size: int, frequent: Bits, percent: int) -> DataFr
     return docs.mapInArrow(run, "gram long, cls long, n int, pos int, salt int")
 
 
-def segments(docs: DataFrame, size: int, wanted: Bits, some: range) -> DataFrame:
-    """(cls, n, size of each fragment, n-grams of each of some fragments) of the classes in `wanted`."""
+def segments(docs: DataFrame, size: int, wanted: Bits) -> DataFrame:
+    """(cls, n, n-grams of each fragment) of the classes in `wanted`."""
     shift = np.uint64(64 - (FRAGMENTS - 1).bit_length())
-    kind = T.StructType.fromDDL("cls long, n int, sizes array<int>, grams array<array<long>>")
+    kind = T.StructType.fromDDL("cls long, n int, grams array<array<long>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -127,37 +149,43 @@ def segments(docs: DataFrame, size: int, wanted: Bits, some: range) -> DataFrame
                 seen.add(c)
                 own = grams[bounds[i] : bounds[i + 1]]
                 cut = np.searchsorted(own >> shift, np.arange(FRAGMENTS + 1))
-                out.append((c, len(own), np.diff(cut).astype(np.int32), [own[cut[f] : cut[f + 1]].view(np.int64) for f in some]))
+                out.append((c, len(own), [own[x:y].view(np.int64) for x, y in zip(cut[:-1], cut[1:])]))
             if len(seen) > 1 << 20:
                 seen.clear()
             if out:
-                c, n, sizes, segs = zip(*out)
-                types = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([signed(np.array(c, np.uint64)), pa.array(n, types[0]), pa.array(list(sizes), types[1]), pa.array(list(segs), types[2])], kind.names)
+                c, n, segs = zip(*out)
+                yield pa.RecordBatch.from_arrays([signed(np.array(c, np.uint64)), pa.array(n, pa.int32()), pa.array(list(segs), pa.list_(pa.list_(pa.int64())))], kind.names)
 
     return docs.mapInArrow(run, kind).dropDuplicates(["cls"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, in_two: bool) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough, by sums of overlaps per fragment: of all at once, or in two phases, the
-    second for pairs that can still reach the limit."""
-    # 100 * i >= percent * (n_a + n_b - i)
-    reaches = (100 + percent) * F.col("total") >= percent * (F.col("n_a") + F.col("n_b")).cast("long")
+def both_ends(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the other columns of both classes, which end in _a and _b."""
+    a, b = (classes.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in classes.columns if c != "cls")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b")
+
 
-    def counted(todo: DataFrame, some: range) -> DataFrame:
-        wanted = Bits(todo.select(F.col("a").alias("cls")).union(todo.select("b")), "cls")
-        sets = segments(docs, size, wanted, some)
-        a, b = (sets.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sizes", "grams"))) for x in "ab")
-        total = lambda parts: reduce(lambda x, y: x + y, parts, F.lit(0))
-        overlap = total(F.size(F.array_intersect(F.col("grams_a")[i], F.col("grams_b")[i])) for i in range(len(some)))
-        rest = total(F.least(F.col("sizes_a")[i], F.col("sizes_b")[i]) for i in range(some.stop, FRAGMENTS))
-        return todo.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", overlap.alias("part"), rest.alias("rest"))
+def plausible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes but those whose bitmaps (cls, n, bits) differ too much for similar sets."""
 
-    if not in_two:
-        return counted(pairs, range(FRAGMENTS)).withColumn("total", F.col("part")).filter(reaches).select("a", "b")
-    first = kept(counted(pairs, range(FIRST)).withColumn("total", F.col("part") + F.col("rest")).filter(reaches).select("a", "b", F.col("part").alias("so_far")))
-    rest = counted(first.select("a", "b"), range(FIRST, FRAGMENTS))
-    return rest.join(first, ["a", "b"]).withColumn("total", F.col("part") + F.col("so_far")).filter(reaches).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            away = np.fromiter(map(differing, batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()), np.int64, len(n))
+            # 2 * i <= n - away, and (100 + percent) * i >= percent * n
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * ((n - away) // 2) >= percent * n))
+
+    return both_ends(pairs, bitmaps).select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, bitmaps: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough, by sums of overlaps per fragment."""
+    pairs = kept(plausible(pairs, bitmaps, percent))
+    wanted = Bits(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")), "cls")
+    found = both_ends(pairs, segments(docs, size, wanted))
+    total = reduce(lambda x, y: x + y, (F.size(F.array_intersect(F.col("grams_a")[i], F.col("grams_b")[i])) for i in range(FRAGMENTS)))
+    # 100 * i >= percent * (n_a + n_b - i)
+    return found.filter((100 + percent) * total.cast("long") >= percent * (F.col("n_a") + F.col("n_b")).cast("long")).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -172,6 +200,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = kept(profiles(docs, size))
     frequent = Bits(own.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT), "gram")
+    bitmaps = own.filter("n > 0 and gram is null").select("cls", "n", "bits").dropDuplicates(["cls"])
     own = own.filter("gram is null").select("doc_id", "n", "cls")
 
     most = lambda a, n_a, b, n_b: 1 + F.least(n_a - a - 1, n_b - b - 1)
@@ -190,20 +219,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     near = kept(near.filter("long or size(before) > 0").select("gram", "cls", "n", "pos", "before", "long"))
     chain = near.select("cls", F.explode("before").alias("x")).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b"))
     chain = kept(chain.distinct())
-    links = kept(verified(chain, docs, size, percent, in_two=True))
+    links = kept(verified(chain, docs, bitmaps, size, percent))
 
     so_far = components(links)
     # all pairs of the shorter lists are tested by now
     near = near.filter("long").select("gram", "cls", "n", "pos").join(so_far.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = near.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gram")
     near = kept(near.join(mixed, "gram"))
-    groups = near.select("gram", "root").distinct()
-    x = groups.select("gram", F.col("root").alias("x")).join(groups.select("gram", F.col("root").alias("y")), "gram").filter("x < y")
+    # components of a list of which not even the best rows fit are left out
+    groups = near.groupBy("gram", "root").agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("least"))
+    group = lambda r: groups.select("gram", F.col("root").alias(r), F.col("rest").alias(f"rest_{r}"), F.col("least").alias(f"least_{r}"))
+    able = (100 + percent) * F.least("rest_x", "rest_y").cast("long") >= percent * (F.col("least_x") + F.col("least_y")).cast("long")
+    x = group("x").join(group("y"), "gram").filter((F.col("x") < F.col("y")) & able).select("gram", "x", "y")
     side = lambda r, c: near.select("gram", F.col("root").alias(r), F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"pos_{c}"))
     cross = x.join(side("x", "p"), ["gram", "x"]).join(side("y", "q"), ["gram", "y"]).filter(fits(*map(F.col, ("pos_p", "n_p", "pos_q", "n_q"))))
     cross = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).filter("a <> b").distinct().join(chain, ["a", "b"], "left_anti")
-    # these come from groups of near copies, where the first fragments tell little
-    more = kept(verified(kept(cross), docs, size, percent, in_two=False))
+    more = kept(verified(kept(cross), docs, bitmaps, size, percent))
 
     final = components(links.union(more))
     own = own.withColumn("class", F.when(F.col("n") > 0, F.col("cls"))).join(final.withColumnRenamed("node", "class"), "class", "left")

@@ -16,7 +16,7 @@ import corpus_pipeline
 from shiftspark.llm import catalog
 from shiftspark.llm.bpe import encode_decode
 from shiftspark.llm.classifier import quality_scores
-from shiftspark.llm.jaccard import jaccard_components
+from shiftspark.llm.jaccard import bitmap, differing, jaccard_components
 from shiftspark.llm.kneser_ney import discounts, language_model_scores
 from shiftspark.llm.language import language_id
 from shiftspark.llm.packing import Windows, pack
@@ -137,6 +137,15 @@ def brute_components(rows):
     return collections.Counter((d, len(sets[i]), (min(least[root(i)]) if least[root(i)] else None) if sets[i] else d) for i, (d, _) in enumerate(rows))
 
 
+def test_bitmaps_never_differ_in_more_bits_than_the_sets():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        x, y = (np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 3000)), dtype=np.uint64)) for _ in range(2))
+        y = np.unique(np.concatenate([y, x[: int(rng.integers(0, len(x) + 1))]]))
+        assert differing(bitmap(x), bitmap(y)) <= len(np.setxor1d(x, y))
+        assert differing(bitmap(x), bitmap(x)) == 0
+
+
 def test_jaccard_join_equals_brute_force(spark, odd, none, docs):
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(120)]
