@@ -9,10 +9,11 @@ nodes, and only links between different classes are looked for.
 * Verification: each class has a parity bitmap, a few bits for each of its n-grams. The bits in which two bitmaps differ are at most as
   many as the n-grams that only one of the two sets has, so pairs that differ in too many bits drop out, and no other. For those left the
   order is cut into FRAGMENTS ranges: the common n-grams of a range are counted by themselves and summed per pair.
-* Only components are asked for. First each row of a prefix list is verified with the NEIGHBOURS rows before it and the
-  list's first HUBS; then, in longer lists
-  that hold more than one component, all pairs between different components. Pairs within a component need no test, so that a group of k near copies costs
-  about k pairs instead of k * k / 2. No candidate is dropped otherwise: no cap on lists or partners.
+* Only components are asked for. First each row of a prefix list is paired with the NEIGHBOURS rows before it and the list's first
+  HUBS, and of the pairs that the bitmaps leave each class's one with its smallest partner is verified; then the others of these
+  pairs that are still between different components and, in longer lists that hold more than one component, all pairs between different
+  components. Pairs within a component need no test, so that a group of k near copies costs about k pairs instead of k * k / 2. No
+  candidate is dropped otherwise: no cap on lists or partners.
 """
 
 from __future__ import annotations
@@ -178,9 +179,14 @@ def plausible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     return both_ends(pairs, bitmaps).select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, bitmaps: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough, by sums of overlaps per fragment."""
-    pairs = kept(plausible(pairs, bitmaps, percent))
+def first_partners(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), each class's one with its smallest partner: no more than there are classes."""
+    one = pairs.union(pairs.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+    return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes, a stored table, whose sets are similar enough, by sums of overlaps per fragment."""
     wanted = Bits(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")), "cls")
     found = both_ends(pairs, segments(docs, size, wanted))
     total = reduce(lambda x, y: x + y, (F.size(F.array_intersect(F.col("grams_a")[i], F.col("grams_b")[i])) for i in range(FRAGMENTS)))
@@ -219,9 +225,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     near = kept(near.filter("long or size(before) > 0").select("gram", "cls", "n", "pos", "before", "long"))
     chain = near.select("cls", F.explode("before").alias("x")).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b"))
     chain = kept(chain.distinct())
-    links = kept(verified(chain, docs, bitmaps, size, percent))
+    likely = kept(plausible(chain, bitmaps, percent))
+    first = kept(first_partners(likely))
+    links = kept(verified(first, docs, size, percent))
 
     so_far = components(links)
+    root = lambda c: so_far.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    rooted = likely.join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = rooted.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     # all pairs of the shorter lists are tested by now
     near = near.filter("long").select("gram", "cls", "n", "pos").join(so_far.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = near.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gram")
@@ -234,7 +245,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     side = lambda r, c: near.select("gram", F.col("root").alias(r), F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"pos_{c}"))
     cross = x.join(side("x", "p"), ["gram", "x"]).join(side("y", "q"), ["gram", "y"]).filter(fits(*map(F.col, ("pos_p", "n_p", "pos_q", "n_q"))))
     cross = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).filter("a <> b").distinct().join(chain, ["a", "b"], "left_anti")
-    more = kept(verified(kept(cross), docs, bitmaps, size, percent))
+    more = kept(verified(kept(plausible(kept(cross), bitmaps, percent).union(apart)), docs, size, percent))
 
     final = components(links.union(more))
     own = own.withColumn("class", F.when(F.col("n") > 0, F.col("cls"))).join(final.withColumnRenamed("node", "class"), "class", "left")
