@@ -32,6 +32,8 @@ from shiftspark.llm.common import kept, ragged, raw, shared_folder, slices
 BLOCK_BYTES = 32 << 20
 #: Text bytes whose words are Python objects at once.
 SPLIT_BYTES = 1 << 20
+#: Units that the tokenizer gets at once.
+ENCODED_UNITS = 1 << 13
 #: Units of the texts that a task returns at once; a longer text goes alone.
 SENT_UNITS = 1 << 18
 #: Encoded units that a task bundles at once.
@@ -56,7 +58,9 @@ def tokenizer(path: str):
 
 def encoded(path: str, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all units in one array, and how many each has."""
-    ids = [e.ids for e in tokenizer(path).encode_batch(units, add_special_tokens=False)]
+    ids = []
+    for i in range(0, len(units), ENCODED_UNITS):
+        ids += [e.ids for e in tokenizer(path).encode_batch_fast(units[i : i + ENCODED_UNITS], add_special_tokens=False)]
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     return np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftspark.llm.bpe import Units, encoded
+from shiftspark.llm.bpe import SPLIT_BYTES, Units, encoded
 from shiftspark.llm.common import kept, ragged, slices
 
 #: Open windows of a task; open windows merged in one group; units that a task's encoder holds.
@@ -89,7 +89,7 @@ def placed(docs: DataFrame, path: str, size: int, with_ids: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, windows, part = Encoder(path), Windows(size, OPEN), TaskContext.get().partitionId()
-        for b in slices(batches):
+        for b in slices(batches, limit=SPLIT_BYTES):
             out = []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
