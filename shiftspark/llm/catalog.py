@@ -98,7 +98,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return language_model_scores(docs, docs.filter(~held_out(7))).withColumn("held_out", held_out(7))
+    return language_model_scores(docs, docs.filter(~held_out(7)), order=3).withColumn("held_out", held_out(7))
 
 
 @query

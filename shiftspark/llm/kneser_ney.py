@@ -1,12 +1,14 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped for scoring.
+"""Interpolated modified Kneser-Ney model of any order: counted in Spark, kept as sorted hash arrays, memory-mapped for scoring.
 
-Tasks count the bigrams of their texts and send them, packed, to shards by the bigram's hash. A shard's task adds them up, writes the
-sorted hashes and counts as a file of the shared folder, and passes on sums for each word: in how many bigrams it is first (by
-their counts 1, 2, more) or second, and how often. Spark adds those up; words become files of sorted hashes likewise. For scoring,
-workers map the files that their words fall into; nothing of the model goes through the driver but a few totals.
+Tasks count the n-grams of their texts and send them, packed, to shards by the n-gram's hash. A shard's task adds them up, writes the
+sorted hashes and counts as files of the shared folder, and passes on to the shards of the next shorter n-grams what it knows of those:
+which words they end an n-gram with (each counts once), and how they are followed (by counts 1, 2, more, and in all). Bigrams pass
+the same on for single words; Spark adds those up, and words become files of sorted hashes likewise. For scoring, workers map the
+files that their words fall into; nothing of the model goes through the driver but a few totals.
 
-The end of a text is a token; its start is a context only. Unknown words share the place of one word in the uniform distribution below
-the words' continuation distribution.
+The end of a text is a token; its start is a context only. An n-gram that begins with the start of a text has nothing before it and
+keeps its plain count, and what lies before the start is no context. Unknown words share the place of one word in the uniform
+distribution below the words' continuation distribution.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -26,15 +28,15 @@ from pyspark.sql import functions as F
 from shiftspark.llm.bpe import packed, unpacked
 from shiftspark.llm.common import hashed, kept, lowered, mix, raw, shared_folder, slices, words
 
-#: Tokens that a task holds before it sends their bigrams on; bigrams and words of a shard, about.
-HELD, SHARD_BIGRAMS, SHARD_WORDS = 3 << 20, 1 << 21, 1 << 20
+#: Tokens that a task holds before it sends their n-grams on; n-grams and words of a shard, about.
+HELD, SHARD_GRAMS, SHARD_WORDS = 3 << 20, 1 << 21, 1 << 20
 #: A word and its blank take so many bytes: an estimate, for the number of shards only.
 BYTES_A_WORD = 6
 START, END = np.uint64(0x1D872B41A0C7F3E5), np.uint64(0x8E51C62F97B4D03B)
 
 
-def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and token hashes of all texts, and each token's text."""
+def tokens(batch: pa.RecordBatch, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of each token, last, and of the order - 1 words before it; and each token's text. Before a text there are starts."""
     data, off = raw(batch.column("text"))
     data = lowered(data)
     start, end, doc = words(data, off)
@@ -42,17 +44,24 @@ def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.searchsorted(doc, np.arange(batch.num_rows), side="right")
     token = np.insert(h, at, END)
     of = np.insert(doc, at, np.arange(batch.num_rows))
-    context = np.empty_like(token)
-    if len(token):
-        context[1:] = token[:-1]
-        context[np.concatenate([[True], of[1:] != of[:-1]])] = START
-    return context, token, of
+    cols = [token]
+    for back in range(1, order):
+        before = np.full_like(token, START)
+        same = of[back:] == of[:-back]
+        before[back:][same] = token[:-back][same]
+        cols.insert(0, before)
+    return cols, of
 
 
 def pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(mix(context * np.uint64(0xD6E8FEB86659FD93)) ^ token)
 
 
+def gram(cols: list[np.ndarray]) -> np.ndarray:
+    """A hash of each n-gram; of one word, the word's."""
+    return reduce(pair, cols)
+
+
 def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """Distinct keys in order, and the sums of each value."""
     order = np.argsort(keys)
@@ -61,44 +70,67 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values), order[first]]
 
 
-def bigrams(docs: DataFrame, log_shards: int) -> DataFrame:
-    """(shard, data): packed bigrams with their counts, added up within a task as far as it holds them."""
+def cuts(keys: np.ndarray, log: int) -> np.ndarray:
+    """Where each of the 2^log shards begins among sorted keys, and the end."""
+    return np.searchsorted(keys >> np.uint64(63 - log) >> np.uint64(1), np.arange((1 << log) + 1))
+
+
+def counted(docs: DataFrame, order: int, log_shards: int) -> DataFrame:
+    """(shard, kind, data): packed n-grams with their counts, added up within a task as far as it holds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
 
         def sent() -> pa.RecordBatch:
-            u, v = (np.concatenate(x) for x in zip(*held))
+            cols = [np.concatenate(x) for x in zip(*held)]
             held.clear()
-            key, n, at = summed(pair(u, v), np.ones(len(u), np.uint32))
-            u, v = u[at], v[at]
-            cut = np.searchsorted(key >> np.uint64(63 - log_shards) >> np.uint64(1), np.arange((1 << log_shards) + 1))
+            key, n, at = summed(gram(cols), np.ones(len(cols[0]), np.int64))
+            cols, cut = [c[at] for c in cols], cuts(key, log_shards)
             some = np.flatnonzero(np.diff(cut))
-            data = [blob(u[cut[s] : cut[s + 1]], v[cut[s] : cut[s + 1]], n[cut[s] : cut[s + 1]]) for s in some]
-            return pa.RecordBatch.from_arrays([pa.array(some), pa.array(data, pa.binary())], ["shard", "data"])
+            data = [blob([c[cut[s] : cut[s + 1]] for c in cols], [n[cut[s] : cut[s + 1]]]) for s in some]
+            kind = pa.array(np.full(len(some), GRAMS))
+            return pa.RecordBatch.from_arrays([pa.array(some), kind, pa.array(data, pa.binary())], ["shard", "kind", "data"])
 
         for b in slices(batches):
-            held.append(tokens(b)[:2])
-            if sum(len(u) for u, _ in held) >= HELD:
+            held.append(tokens(b, order)[0])
+            if sum(len(cols[0]) for cols in held) >= HELD:
                 yield sent()
         if held:
             yield sent()
 
-    return docs.select("text").mapInArrow(run, "shard long, data binary")
+    return docs.select("text").mapInArrow(run, PARTS)
 
 
-def blob(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> bytes:
-    """Both words as places in a list of the distinct ones, and the counts."""
-    known, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    parts = [zstandard.compress(known.tobytes(), 1), packed(at[: len(u)].astype(np.uint32)), packed(at[len(u) :].astype(np.uint32)), packed(n)]
-    return np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts)
+#: Rows between the shards: n-grams with their counts, or what follows an n-gram.
+PARTS, GRAMS, FOLLOWED = "shard long, kind long, data binary", 0, 1
 
 
-def unblob(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ends = np.cumsum(np.frombuffer(data[:32], "<i8")) + 32
-    known, u, v, n = (data[e - s : e] for e, s in zip(ends, np.frombuffer(data[:32], "<i8")))
+def blob(words: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """Columns of words as places in a list of the distinct ones, and columns of numbers."""
+    known, at = np.unique(np.concatenate(words), return_inverse=True)
+    places = [x.astype(np.uint32) for x in np.split(at, len(words))]
+    parts = [zstandard.compress(known.tobytes(), 1), *map(packed, places), *map(numbers, values)]
+    return np.array([len(words), len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
+
+
+def unblob(data: bytes) -> list[np.ndarray]:
+    n_words, n_parts = np.frombuffer(data[:16], "<i8")
+    sizes = np.frombuffer(data[16 : 16 + 8 * n_parts], "<i8")
+    known, *parts = (data[e - s : e] for e, s in zip(np.cumsum(sizes) + 16 + 8 * n_parts, sizes))
     known = np.frombuffer(zstandard.decompress(known), np.uint64)
-    return known[unpacked(u)], known[unpacked(v)], unpacked(n)
+    return [known[unpacked(p)] if i < n_words else of_numbers(p) for i, p in enumerate(parts)]
+
+
+def numbers(x: np.ndarray) -> bytes:
+    """Counts: the low halves, and the high ones where there are any."""
+    low, high = packed((x & 0xFFFFFFFF).astype(np.uint32)), packed((x >> 32).astype(np.uint32)) if x.max(initial=0) >= 1 << 32 else b""
+    return len(low).to_bytes(8, "little") + low + high
+
+
+def of_numbers(data: bytes) -> np.ndarray:
+    end = 8 + int.from_bytes(data[:8], "little")
+    x = unpacked(data[8:end]).astype(np.int64)
+    return x + (unpacked(data[end:]).astype(np.int64) << 32) if end < len(data) else x
 
 
 def saved(folder: str, name: str, array: np.ndarray) -> None:
@@ -110,24 +142,78 @@ def saved(folder: str, name: str, array: np.ndarray) -> None:
 
 
 STATS = ["n1", "n2", "n3", "total", "before", "count"]
+#: What is kept of how an n-gram is followed: n-grams after it by their counts 1, 2, more, and the sum of these counts.
+AFTER = ["n1", "n2", "n3", "total"]
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
 
+def by_count(n: np.ndarray) -> list[np.ndarray]:
+    return [(n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64), n]
 
-def add_up(folder: str):
-    """A shard's bigrams to its files; back come sums for each word, and with word null the bigrams of counts 1 to 4."""
+
+def merged(pdf: pd.DataFrame, order: int) -> tuple[list[np.ndarray], ...]:
+    """A shard's n-grams: hashes, columns of words, counts and plain counts; and how they are followed, a row for each."""
+    of = lambda kind: [np.concatenate(x) for x in zip(*map(unblob, pdf["data"][pdf["kind"] == kind]))]
+    grams, after = of(GRAMS), of(FOLLOWED)
+    cols = grams[:order]
+    key, n, plain, at = summed(gram(cols), grams[order], grams[-1])
+    follow = [np.zeros(len(key), np.int64) for _ in AFTER]
+    if after:
+        known, *sums, _ = summed(*after)
+        where = np.minimum(np.searchsorted(key, known), len(key) - 1)
+        assert (key[where] == known).all()
+        for x, some in zip(follow, sums):
+            x[where] = some
+    return [key], [c[at] for c in cols], [n, plain], follow
+
+
+def store(folder: str, order: int, shard: int, key: np.ndarray, n: np.ndarray, after: list[np.ndarray] | None) -> None:
+    saved(folder, f"grams{order}-{shard}", key)
+    saved(folder, f"n{order}-{shard}", narrow(n))
+    for name, x in zip(AFTER, after or []):
+        saved(folder, f"{name}_{order}-{shard}", narrow(x))
+    saved(folder, f"of{order}-{shard}", np.array([(n == k).sum() for k in (1, 2, 3, 4)]))
+
+
+def add_up(folder: str, order: int, top: bool, log: int):
+    """A shard's n-grams, longer than two words, to its files; back come parts of the next shorter ones."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v, n = (np.concatenate(x) for x in zip(*map(unblob, pdf["data"])))
-        key, n, at = summed(pair(u, v), n.astype(np.int64))
-        u, v, shard = u[at], v[at], int(pdf["shard"].iloc[0])
-        saved(folder, f"pairs-{shard}", key)
-        saved(folder, f"counts-{shard}", n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64))
+        (key,), cols, (n, plain), after = merged(pdf, order)
+        # what begins before its text is the shorter n-gram that begins with the start, with its plain count
+        short = (cols[0] == START) & (cols[1] == START)
+        full = ~short
+        store(folder, order, int(pdf["shard"].iloc[0]), key[full], n[full], None if top else [x[full] for x in after])
+        rest = cols[1:]
+        below, n_below, plain_below, at = summed(gram(rest), np.where(short, plain, 1), plain)
+        rest = [c[at] for c in rest]
+        context, *follow, _ = summed(gram([c[full] for c in cols[:-1]]), *by_count(n[full]))
+        out, cut, cut_after = [], cuts(below, log), cuts(context, log)
+        for s in range(1 << log):
+            a, b = cut[s], cut[s + 1]
+            if a < b:
+                out.append((s, GRAMS, blob([c[a:b] for c in rest], [n_below[a:b], plain_below[a:b]])))
+            a, b = cut_after[s], cut_after[s + 1]
+            if a < b:
+                out.append((s, FOLLOWED, blob([context[a:b]], [x[a:b] for x in follow])))
+        return pd.DataFrame(out, columns=["shard", "kind", "data"])
+
+    return run
+
+
+def add_up_pairs(folder: str, top: bool):
+    """A shard's bigrams to its files; back come sums for each word."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        (key,), (u, v), (n, plain), after = merged(pdf, 2)
+        store(folder, 2, int(pdf["shard"].iloc[0]), key, n, None if top else after)
         none, one = np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
-        first = [(n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64), n, none, none]
-        second = [none, none, none, none, one, n]
+        first, second = [*by_count(n), none, none], [none, none, none, none, one, plain]
         word, *sums, _ = summed(np.concatenate([u, v]), *(np.concatenate(x) for x in zip(first, second)))
-        out = pd.DataFrame({"word": pd.array(word.view(np.int64), "Int64")} | dict(zip(STATS, sums)))
-        of_counts = [(n == k).sum() for k in (1, 2, 3, 4)]
-        return pd.concat([out, pd.DataFrame([[pd.NA, *of_counts, 0, 0]], columns=out.columns).astype(out.dtypes)])
+        return pd.DataFrame({"word": word.view(np.int64)} | dict(zip(STATS, sums)))
 
     return run
 
@@ -143,13 +229,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """The files of a model, mapped where they are needed, and its totals."""
 
-    def __init__(self, folder: str, log_pairs: int, log_words: int, totals: dict):
-        self.folder, self.logs, self.totals = folder, {"pairs": log_pairs, "words": log_words}, totals
+    def __init__(self, folder: str, order: int, log_grams: int, log_words: int, totals: dict):
+        self.folder, self.order, self.log_grams, self.log_words, self.totals = folder, order, log_grams, log_words, totals
 
-    def find(self, kind: str, keys: np.ndarray, names: list[str]) -> list[np.ndarray]:
+    def find(self, kind: str, log: int, keys: np.ndarray, names: list[str]) -> list[np.ndarray]:
         """The named values of sorted distinct keys; zeros where there is none."""
-        log = self.logs[kind]
-        cut = np.searchsorted(keys >> np.uint64(63 - log) >> np.uint64(1), np.arange((1 << log) + 1))
+        cut = cuts(keys, log)
         out = [np.zeros(len(keys)) for _ in names]
         for shard in np.flatnonzero(np.diff(cut)):
             a, b = cut[shard], cut[shard + 1]
@@ -164,15 +249,22 @@ class Model:
 
     def score(self, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         t = self.totals
-        context, token, of = tokens(batch)
+        cols, of = tokens(batch, self.order)
+        context, token = cols[-2:]
         known, at = np.unique(np.concatenate([context, token]), return_inverse=True)
-        total, mass, lower, count = self.find("words", known, ["total", "mass", "lower", "count"])
+        total, mass, lower, count = self.find("words", self.log_words, known, ["total", "mass", "lower", "count"])
         lower = np.where(lower > 0, lower, t["unknown"])
         u, v = at[: len(context)], at[len(context) :]
-        pairs, where = np.unique(pair(context, token), return_inverse=True)
-        both = self.find("pairs", pairs, ["counts"])[0][where]
-        taken = np.array(t["discounts"])[np.minimum(both, 3).astype(int)]
-        p = np.where(total[u] > 0, (both - taken + mass[u] * lower[v]) / np.maximum(total[u], 1), lower[v])
+        p, total, mass = lower[v], total[u], mass[u]
+        for k in range(2, self.order + 1):
+            grams, where = np.unique(gram(cols[-k:]), return_inverse=True)
+            n = self.find(f"grams{k}", self.log_grams, grams, [f"n{k}"])[0][where]
+            cut = np.array(t["discounts"][k - 2])
+            if k > 2:
+                contexts, where = np.unique(gram(cols[-k:-1]), return_inverse=True)
+                *by, total = (x[where] for x in self.find(f"grams{k - 1}", self.log_grams, contexts, [f"{name}_{k - 1}" for name in AFTER]))
+                mass = sum(c * x for c, x in zip(cut[1:], by))
+            p = np.where(total > 0, (n - cut[np.minimum(n, 3).astype(int)] + mass * p) / np.maximum(total, 1), p)
         add = lambda x: np.bincount(of, x, batch.num_rows)
         return {
             "n_tokens": np.bincount(of, minlength=batch.num_rows).astype(np.int64),
@@ -192,18 +284,21 @@ def log2_shards(rows: float, each: int) -> int:
     return max(0, int(np.ceil(np.log2(max(1.0, rows / each)))))
 
 
-def learned(docs: DataFrame) -> Model:
+def learned(docs: DataFrame, order: int) -> Model:
     """The model of all texts of docs (text)."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    log_pairs = log2_shards(size / BYTES_A_WORD, SHARD_BIGRAMS)
+    log_grams = log2_shards(size / BYTES_A_WORD, SHARD_GRAMS)
     sums = ", ".join(["word long", *(f"{s} long" for s in STATS)])
-    parts = bigrams(docs, log_pairs)
-    added = parts.groupBy("shard").applyInPandas(add_up(folder), sums)
+    parts = counted(docs, order, log_grams)
+    for k in range(order, 2, -1):
+        parts = parts.groupBy("shard").applyInPandas(add_up(folder, k, k == order, log_grams), PARTS)
+    added = parts.groupBy("shard").applyInPandas(add_up_pairs(folder, order == 2), sums)
     each = kept(added.groupBy("word").agg(*(F.sum(s).alias(s) for s in STATS)))
-    of_counts = each.filter("word is null").first()
-    pairs = discounts(*(of_counts[s] for s in ("n1", "n2", "n3", "total"))) if of_counts else discounts(0, 0, 0, 0)
-    each = each.filter("word is not null")
+    cut = [discounts(*of_counts(folder, k, log_grams)) for k in range(2, order + 1)]
+    pairs = cut[0]
     how = {f"b{k}": F.sum((F.col("before") == k).cast("long")) for k in (1, 2, 3, 4)} | {"more": F.sum((F.col("before") > 2).cast("long"))}
     t = each.agg(F.sum("count").alias("tokens"), F.sum((F.col("count") > 0).cast("long")).alias("types"), F.sum("before").alias("bigrams"), F.count("*").alias("rows"), *(c.alias(n) for n, c in how.items())).first()
     below = discounts(*(t[f"b{k}"] or 0 for k in (1, 2, 3, 4)))
@@ -228,18 +323,25 @@ def learned(docs: DataFrame) -> Model:
     written = each.withColumn("shard", shard).groupBy("shard").applyInPandas(write, "shard long, words long")
     rows = written.agg(F.sum("words")).first()[0] or 0
     assert rows == (t["rows"] or 0)
-    totals = {"tokens": t["tokens"] or 0, "types": types, "unknown": unknown, "discounts": pairs.tolist()}
-    return Model(folder, log_pairs, log_words, totals)
+    totals = {"tokens": t["tokens"] or 0, "types": types, "unknown": unknown, "discounts": [c.tolist() for c in cut]}
+    return Model(folder, order, log_grams, log_words, totals)
+
+
+def of_counts(folder: str, order: int, log: int) -> list[int]:
+    """How many n-grams have the counts 1 to 4."""
+    paths = (f"{folder}/of{order}-{shard}.npy" for shard in range(1 << log))
+    found = [np.load(path) for path in paths if os.path.exists(path)]
+    return [int(x) for x in sum(found, np.zeros(4, np.int64))]
 
 
-def language_model_scores(docs: DataFrame, training: DataFrame) -> DataFrame:
+def language_model_scores(docs: DataFrame, training: DataFrame, order: int = 2) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text), by a model of training (text).
 
-    Tokens: words with A-Z lowered, then one end. score: log10 probability by the model; base_score: by single tokens with add-one
+    The model looks at order - 1 tokens before each. Tokens: words with A-Z lowered, then one end. score: log10 probability by the model; base_score: by single tokens with add-one
     counts. A null or empty text is the end alone. Without training texts every token is unknown and has probability 1. Repeated rows
     count and are scored one by one; other columns are left aside; an empty table gives an empty result.
     """
-    model = learned(training.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    model = learned(training.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), order)
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -311,6 +311,65 @@ def test_language_model_equals_brute_force(odd, none, docs):
         assert sum(model.p(u, v) for v in model.known) == pytest.approx(1)
 
 
+def brute_ngrams(texts, order):
+    """Modified Kneser-Ney of any order in plain dictionaries, by its definition; returns p(context, token) and a scoring function."""
+    toks = lambda t: ["<>", *WORD.findall((t or "").translate(LOWER)), "</>"]
+    plain = [collections.Counter() for _ in range(order + 1)]
+    for t in map(toks, texts):
+        for i in range(1, len(t)):
+            for k in range(1, min(order, i + 1) + 1):
+                plain[k][tuple(t[i + 1 - k : i + 1])] += 1
+    adjusted = [None] * order + [plain[order]]
+    for k in range(order - 1, 0, -1):
+        left = collections.Counter(g[1:] for g in plain[k + 1])
+        adjusted[k] = {g: plain[k][g] if g[0] == "<>" else left[g] for g in plain[k]}
+    cut, follow = [None], [None] + [collections.defaultdict(list) for _ in range(order)]
+    for k in range(1, order + 1):
+        cut.append(discounts(*(sum(c == j for c in adjusted[k].values()) for j in (1, 2, 3, 4))))
+        for g, c in adjusted[k].items():
+            follow[k][g[:-1]].append(c)
+
+    def p(context, token):
+        k = len(context) + 1
+        below = p(context[1:], token) if context else 1 / (len(adjusted[1]) + 1)
+        after = follow[k][context]
+        if not after:
+            return below
+        c = adjusted[k].get((*context, token), 0)
+        return (c - cut[k][min(c, 3)] + sum(cut[k][min(x, 3)] for x in after) * below) / sum(after)
+
+    score = lambda t: sum(math.log10(p(tuple(toks(t)[max(0, i - order + 1) : i]), toks(t)[i])) for i in range(1, len(toks(t))))
+    return p, score
+
+
+def test_language_model_of_higher_order_equals_brute_force(spark, odd, docs, none):
+    few = odd.filter("text is null or length(text) < 10000")
+    for df, train, order in ((few, few, 3), (docs.limit(60), docs.limit(60).filter("doc_id % 3 > 0"), 3), (few, few, 4), (few, few, 2)):
+        _, score = brute_ngrams([r.text for r in train.collect()], order)
+        want = sorted((r.doc_id or -1, score(r.text)) for r in df.collect())
+        rows = language_model_scores(df, train, order).collect()
+        got = sorted((r.doc_id or -1, r.score) for r in rows)
+        assert len(got) == len(want)
+        for a, b in zip(got, want):
+            assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-6, abs=1e-6)
+        same = language_model_scores(df, train).collect()
+        plain = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score")
+        assert collections.Counter(tuple(r[c] for c in plain) for r in rows) == collections.Counter(tuple(r[c] for c in plain) for r in same)
+    texts = ["a b a c a b", "b c", None, "c a b"]
+    p, _ = brute_ngrams(texts, 3)
+    for context in (("a", "b"), ("<>", "a"), ("<>",), ("zz", "a"), ("zz", "zz")):
+        assert sum(p(context, t) for t in ("a", "b", "c", "</>", "never seen")) == pytest.approx(1)
+    assert {r.score for r in language_model_scores(odd, none, 3).collect()} == {0.0}
+    assert language_model_scores(none, odd, 3).count() == 0
+
+
+def test_query_scores_by_more_than_the_word_before(spark, tmp_path):
+    texts = ["red eats hens", "blue eats figs"] * 60 + ["red eats figs", "blue eats hens"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    score = {texts[r.doc_id]: r.score for r in catalog.QUERIES["op10_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert score["red eats hens"] > score["red eats figs"] + 0.5 and score["blue eats figs"] > score["blue eats hens"] + 0.5
+
+
 def test_pipeline_stages(spark, odd, docs, none):
     rows = odd.union(docs.select(F.col("doc_id") + 10**6, "text", "lang", "source", *(F.lit(None).cast(t).alias(c) for c, t in odd.dtypes[4:])))
     stages = dict(corpus_pipeline.STAGES)
