@@ -199,6 +199,42 @@ def test_quality_rules_find_junk_and_keep_clean_texts(spark):
     assert n.get((0, True), 0) <= 0.1 * n[0, False]
 
 
+def made(rng, i, symbols=0, upper=0, marks=0, same_lines=0):
+    """25 lines of 10 words of 5 letters, of which so many in a hundred characters, words or lines are odd."""
+    lines = [["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(10)] for _ in range(25)]
+    words = [w for line in lines for w in line]
+    for share, odd in ((symbols, lambda w: "#" + w[1:]), (upper, lambda w: w[0].upper() + w[1:])):
+        for k in range(round(share * len(words) * 5 / 100)):
+            words[k] = odd(words[k])
+    for k in range(round(marks * len(words) / 100)):
+        words[k] += "!"
+    lines = [" ".join(words[10 * k : 10 * k + 10]) for k in range(25)]
+    for k in range(round(same_lines * 25 / 100)):
+        lines[2 * k] = "a b c d"
+    return "\n".join(lines)
+
+
+def test_quality_limits_follow_each_source(spark):
+    rng = np.random.default_rng(2)
+    for share, usual, asked in (("symbols", 12, 5), ("upper", 16, 12), ("marks", 40, 20), ("same_lines", 44, 28)):
+        rows = [(i, made(rng, i, **{share: usual + int(rng.integers(-4, 5))}), "en", "odd") for i in range(60)]
+        rows += [(100 + i, made(rng, i), "en", "plain") for i in range(60)]
+        text = made(rng, 0, **{share: asked})
+        rows += [(1000, text, "en", "odd"), (1001, text, "en", "plain")]
+        found = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+        assert len(found) == len(rows) and all(found[i].kept for i in [*range(60), *range(100, 160)])
+        assert found[1000].kept and not found[1001].base_failed and not found[1001].kept, share
+
+
+def test_quality_rules_fail_words_that_repeat_the_word_before(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, made(rng, i), "en", "s") for i in range(60)]
+    rows.append((100, " ".join(f"{w} {w} {w}" for w in made(rng, 0).split()), "en", "s"))
+    found = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert found[100].n_echoes == 500 and not found[100].base_failed and found[100].over == ["echoes"]
+    assert all(found[i].kept for i in range(60))
+
+
 def test_language_id(spark, odd, none):
     sf = SMALL.replace("0.001", "0.01")
     rows = catalog.QUERIES["op3_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out")
