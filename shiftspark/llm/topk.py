@@ -55,8 +55,9 @@ class Tree:
         return up + np.abs(up) * 1e-9 + 1e-6
 
     def search(self, query: np.ndarray, own_id: int, bound: np.ndarray, k: int, least: float) -> list[tuple[int, int]]:
-        """The up to k best (score, -id) of other rows that reach `least`, the k-th score so far."""
+        """The up to k best (score, -id) of other ids that reach `least`, the k-th score so far; an id has its best score only."""
         best: list[tuple[int, int]] = []
+        held: dict[int, int] = {}
         heap = [(-bound[0], 0)]
         while heap and -heap[0][0] >= least:
             node = heapq.heappop(heap)[1]
@@ -70,10 +71,17 @@ class Tree:
             for i in np.flatnonzero(scores >= least):
                 if self.ids[a + i] != own_id:
                     entry = (int(scores[i]), -int(self.ids[a + i]))
-                    if len(best) < k:
+                    if entry[1] in held:
+                        if entry[0] > held[entry[1]]:
+                            best[best.index((held[entry[1]], entry[1]))] = entry
+                            heapq.heapify(best)
+                            held[entry[1]] = entry[0]
+                    elif len(best) < k:
                         heapq.heappush(best, entry)
+                        held[entry[1]] = entry[0]
                     elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
+                        del held[heapq.heapreplace(best, entry)[1]]
+                        held[entry[1]] = entry[0]
             if len(best) == k:
                 least = max(least, best[0][0])
         return best

@@ -300,6 +300,22 @@ def test_top_k_equals_brute_force(spark, none):
     assert top_k(df.filter("false"), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_top_k_counts_an_id_with_several_vectors_once(spark):
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [9.0, 0.0]), (1, [8.0, 0.0]), (2, [7.0, 0.0]), (3, [6.0, 0.0])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in top_k(few, F.col("vec_id") == 0, 2).collect()) == [(0, 1, 1, 9 * 256 * 256), (0, 2, 2, 7 * 256 * 256)]
+    rng = np.random.default_rng(4)
+    vectors = [(int(i), [float(x) for x in v]) for i, v in zip(rng.integers(0, 60, 600), rng.integers(-9, 10, size=(600, 4)))]
+    want = set()
+    for q in range(0, 60, 20):
+        best = {}
+        for i, v in vectors:
+            for own in (w for j, w in vectors if j == q and i != q):
+                best[i] = max(best.get(i, -math.inf), sum(int(256 * a) * int(256 * b) for a, b in zip(own, v)))
+        want |= {(q, rank + 1, i, s) for rank, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5])}
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    assert {tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, 5).collect()} == want
+
+
 def brute_model(texts):
     """Modified Kneser-Ney over bigrams in plain dictionaries; returns a scoring function."""
     pairs = collections.Counter()
