@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shiftspark.llm.bpe import encode_decode
 from shiftspark.llm.classifier import quality_scores
 from shiftspark.llm.common import load
+from shiftspark.llm.exact_dedup import exact_duplicates
 from shiftspark.llm.jaccard import jaccard_components
 from shiftspark.llm.kneser_ney import language_model_scores
 from shiftspark.llm.language import language_id
@@ -105,3 +106,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = derivatives(responses(load(spark, sf_dir, "pages")))
     return found.withColumn("content_length", F.octet_length("content").cast("long")).withColumn("record_sha256", F.sha2("record", 256)).drop("content", "record")
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op13_exact_dedup"] = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY text)
+"""

@@ -188,3 +188,9 @@ def components(edges: DataFrame) -> DataFrame:
         right = left.join(least, F.col("b") == F.col("u")).select("a", F.col("m").alias("b")).filter("a <> b")
         edges = kept(right.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return found
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes an intermediate folder that no result reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
