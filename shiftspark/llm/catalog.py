@@ -17,6 +17,7 @@ from shiftspark.llm.kneser_ney import language_model_scores
 from shiftspark.llm.language import language_id
 from shiftspark.llm.packing import pack
 from shiftspark.llm.quality_rules import quality_rules
+from shiftspark.llm.resample import resample
 from shiftspark.llm.shards import byte_shards
 from shiftspark.llm.topk import top_k
 from shiftspark.llm.warc import derivatives, responses
@@ -119,3 +120,8 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
 FROM t WINDOW same AS (PARTITION BY text)
 """
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
