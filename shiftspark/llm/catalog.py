@@ -20,6 +20,7 @@ from shiftspark.llm.quality_rules import quality_rules
 from shiftspark.llm.resample import resample
 from shiftspark.llm.shards import byte_shards
 from shiftspark.llm.topk import top_k
+from shiftspark.llm.va_file import cluster
 from shiftspark.llm.warc import derivatives, responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +126,35 @@ FROM t WINDOW same AS (PARTITION BY text)
 @query
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(load(spark, sf_dir, "embeddings"))
+
+
+def kmeans_sql(k: int, dims: int, scale: int, rounds: int, seed: int) -> str:
+    """Lloyd's rounds written out one after the other; m holds distance and cluster of a vector in one number."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT rid, min(CAST(list_sum(list_transform(range(1, {dims + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) * {k} + k) AS m
+  FROM kept, c{r} GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS MATERIALIZED (SELECT k, list(mean ORDER BY i) AS c FROM (
+  SELECT k, i, (total - ((total % n) + n) % n) // n AS mean FROM (
+    SELECT m % {k} AS k, i, CAST(sum(v[i]) AS BIGINT) AS total, count(*) AS n FROM a{r} JOIN kept USING (rid), range(1, {dims + 1}) AS d(i) GROUP BY ALL)) GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(s{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN s{r} ON s{r}.k = c{r}.k)""")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT v, sha256('{seed}:' || vec_id) AS h FROM kept ORDER BY h, v LIMIT {k})),
+{",".join(steps)}
+SELECT vec_id, CAST(m % {k} AS INTEGER) AS cluster, m // {k} AS distance, CAST(sum(m // {k}) OVER (PARTITION BY m % {k}) AS BIGINT) AS cluster_inertia,
+       CAST(sum(m // {k}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (rid) JOIN c{rounds} ON c{rounds}.k = m % {k}
+"""
+
+
+ORACLES["op11_centroid_clustering"] = kmeans_sql(8, 64, 1024, 10, 3)
