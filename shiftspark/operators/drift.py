@@ -40,7 +40,6 @@ def ks_from_counts(counts: DataFrame, spec: ObsSpec, layout: Layout) -> DataFram
             Running("base_cum", "base_n", ("feature",), total=True, peers=True),
             Running("own_cum", "n", ("scenario", "feature"), total=True),
         ],
-        layout.bucketed,
     )
     base_total, own_total = F.col("base_cum_total").cast("double"), F.col("own_cum_total").cast("double")
     base_share = lambda c: F.try_divide(c, base_total)
@@ -58,67 +57,18 @@ def ks_from_counts(counts: DataFrame, spec: ObsSpec, layout: Layout) -> DataFram
     return _with_pvalue(gaps)
 
 
-def ks_side_by_side(counts: DataFrame, spec: ObsSpec, layout: Layout) -> DataFrame:
-    """The same result for a few batches, with one count column per sample.
-
-    ``counts`` may hold a (scenario, feature, value) more than once. All
-    samples are accumulated in a single window over the pooled distinct
-    values of a feature, sorted once."""
-    names = [spec.baseline, *[s for s in layout.scenarios if s != spec.baseline]]
-    cols = [f"n_{i}" for i in range(len(names))]
-    wide = counts.groupBy("feature", "value").agg(
-        *[F.sum(F.when(F.col("scenario") == s, F.col("n")).otherwise(0)).alias(c) for s, c in zip(names, cols)]
-    )
-    placed = with_bucket(wide, "value", layout.cuts, by="feature")
-    # One row per feature: bounded by the number of columns, so broadcast.
-    totals = wide.groupBy("feature").agg(*[F.sum(c).alias(f"all_{c}") for c in cols])
-    rows = running_sums(
-        placed, "value", [Running(f"cum_{c}", c, ("feature",)) for c in cols], layout.bucketed
-    ).join(F.broadcast(totals), "feature")
-    share = lambda c: F.try_divide(F.col(f"cum_{c}"), F.col(f"all_{c}"))
-    gaps = rows.groupBy("feature").agg(
-        F.max(f"all_{cols[0]}").alias("n_baseline"),
-        *[F.max(F.when(F.col(f"all_{c}") > 0, F.abs(share(c) - share(cols[0])))).alias(f"gap_{c}") for c in cols[1:]],
-        *[F.max(f"all_{c}").alias(f"size_{c}") for c in cols[1:]],
-    )
-    per_scenario = F.array(
-        *[
-            F.struct(F.lit(s).alias("scenario"), F.col(f"gap_{c}").alias("ks_statistic"), F.col(f"size_{c}").alias("n_prod"))
-            for s, c in zip(names[1:], cols[1:])
-        ]
-    )
-    tall = gaps.filter(F.col("n_baseline") > 0).select("feature", "n_baseline", F.inline(per_scenario))
-    return _with_pvalue(
-        tall.filter(F.col("n_prod") > 0).select("scenario", "feature", "ks_statistic", "n_baseline", "n_prod")
-    )
-
-
 def _with_pvalue(gaps: DataFrame) -> DataFrame:
     p = ks_pvalue(F.col("ks_statistic"), F.col("n_baseline"), F.col("n_prod"))
     return gaps.withColumn("p_value", p)
 
 
-SIDE_BY_SIDE = 32
-
-
-def ks_test(
-    obs: DataFrame,
-    spec: ObsSpec,
-    alpha: float = KS_ALPHA,
-    layout: Layout | None = None,
-    side_by_side: int = SIDE_BY_SIDE,
-) -> DataFrame:
+def ks_test(obs: DataFrame, spec: ObsSpec, alpha: float = KS_ALPHA, layout: Layout | None = None) -> DataFrame:
     """(scenario, feature, ks_statistic, n_baseline, n_prod, p_value, drifted).
 
     Features that one side lacks, or where it has only missing values, give
-    no row. Up to ``side_by_side`` samples are accumulated in parallel
-    columns; more of them in rows. A layout from an earlier sizing pass
-    saves that pass."""
+    no row. A layout from an earlier sizing pass saves that pass."""
     layout = layout or size_up(obs, spec.scenario, common_features(spec, obs))
-    if 1 < len(layout.scenarios) <= side_by_side:
-        tested = ks_side_by_side(features_long(obs, spec).withColumn("n", F.lit(1)), spec, layout)
-    else:
-        tested = ks_from_counts(value_counts(obs, spec), spec, layout)
+    tested = ks_from_counts(value_counts(obs, spec), spec, layout)
     return tested.withColumn("drifted", F.col("p_value") < d(alpha))
 
 

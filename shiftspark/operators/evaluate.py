@@ -48,30 +48,35 @@ def with_prf(cells: DataFrame) -> DataFrame:
     )
 
 
-def _placed(counts: DataFrame, obs: DataFrame, spec: ObsSpec, layout: Layout | None) -> tuple[DataFrame, bool]:
-    """Counts with their score bucket; one list of cuts serves all scenarios."""
+def score_cuts(obs: DataFrame, spec: ObsSpec, layout: Layout | None) -> dict[str, list[float]]:
+    """One list of cuts of the score, which serves all scenarios."""
     if spec.score not in obs.columns:
-        return counts.withColumn("_bucket", F.lit(0)), False
+        return {}
     layout = layout or size_up(obs, spec.scenario, [spec.score])
-    cuts = {"score": layout.cuts[spec.score]}
-    return with_bucket(counts, "score", cuts), bool(cuts["score"])
+    return {"score": layout.cuts[spec.score]}
 
 
-def outcome_counts(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
-    """(scenario, score, y, p, n) with the running negatives up to each score.
-
-    Rows collapse to distinct (score, label, prediction) with one count. The
-    matrix and the ranking metrics are both sums over this table, so they
-    share its scan and its shuffle, and so does the second use of it that
-    carries the earlier buckets forward."""
+def outcome_columns(obs: DataFrame, spec: ObsSpec) -> dict[str, Column]:
+    """Score, label and prediction under short names; NULL where the table lacks one."""
     have = lambda c: F.col(c) if c in obs.columns else F.lit(None)
-    rows = obs.select(
-        spec.scenario_column(),
-        known(have(spec.score)).alias("score"),
-        have(spec.label).cast("int").alias("y"),
-        have(spec.prediction).cast("int").alias("p"),
-    )
-    counts = rows.groupBy("scenario", "score", "y", "p").agg(F.count("*").alias("n"))
+    return {
+        "score": known(have(spec.score)).alias("score"),
+        "y": have(spec.label).cast("int").alias("y"),
+        "p": have(spec.prediction).cast("int").alias("p"),
+    }
+
+
+def outcome_counts(obs: DataFrame, spec: ObsSpec) -> DataFrame:
+    """(scenario, score, y, p, n): rows collapsed to distinct outcomes.
+
+    The matrix and the ranking metrics are both sums over this table, so they
+    share its scan and its shuffle."""
+    rows = obs.select(spec.scenario_column(), *outcome_columns(obs, spec).values())
+    return rows.groupBy("scenario", "score", "y", "p").agg(F.count("*").alias("n"))
+
+
+def ranked_outcomes(counts: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """The counts with the running negatives up to each score."""
     ranked = F.col("score").isNotNull()
     zero = F.lit(0).cast("long")
     counts = counts.withColumns(
@@ -80,8 +85,8 @@ def outcome_counts(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None)
             "neg": F.when(ranked & (F.col("y") == 0), F.col("n")).otherwise(zero),
         }
     )
-    placed, bucketed = _placed(counts, obs, spec, layout)
-    return running_sums(placed, "score", [Running("neg_upto", "neg", ("scenario",), peers=True)], bucketed)
+    placed = with_bucket(counts, "score", cuts)
+    return running_sums(placed, "score", [Running("neg_upto", "neg", ("scenario",), peers=True)])
 
 
 def auc_sum() -> Column:
@@ -95,7 +100,8 @@ def auc_sum() -> Column:
 
 
 def auc(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
-    return outcome_counts(obs, spec, layout).groupBy("scenario").agg(auc_sum().alias("auc_roc"))
+    ranked = ranked_outcomes(outcome_counts(obs, spec), score_cuts(obs, spec, layout))
+    return ranked.groupBy("scenario").agg(auc_sum().alias("auc_roc"))
 
 
 def evaluate(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
@@ -103,11 +109,16 @@ def evaluate(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> Dat
 
     A scenario without labels or without predictions keeps its row, with
     NULL metrics; a table without such a column is treated alike."""
+    return metric_records(outcome_counts(obs, spec), score_cuts(obs, spec, layout))
+
+
+def metric_records(counts: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """The records from counted outcomes."""
     y, p, n = F.col("y"), F.col("p"), F.col("n")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0).cast("long"))
     labelled = F.sum(F.when(y.isNotNull(), n))
     sums = (
-        outcome_counts(obs, spec, layout)
+        ranked_outcomes(counts, cuts)
         .groupBy("scenario")
         .agg(
             F.sum("n").alias("n_rows"),
@@ -151,9 +162,9 @@ def _curve(obs: DataFrame, spec: ObsSpec, layout: Layout | None, point: dict[str
     counts = rows.groupBy("scenario", "score").agg(
         count_where(F.col("y") == 1).alias("pos"), count_where(F.col("y") == 0).alias("neg")
     )
-    placed, bucketed = _placed(counts, obs, spec, layout)
+    placed = with_bucket(counts, "score", score_cuts(obs, spec, layout))
     sums = [Running(f"{c}_upto", c, ("scenario",), total=True) for c in ("pos", "neg")]
-    at_least = running_sums(placed, "score", sums, bucketed).select(
+    at_least = running_sums(placed, "score", sums).select(
         "scenario",
         "score",
         (F.col("pos_upto_total") - F.col("pos_upto") + F.col("pos")).alias("tp"),

@@ -6,11 +6,16 @@ feature in one task, so the value axis is cut into buckets: a window runs
 inside each (key, bucket) and the totals of the earlier buckets, a table of
 keys x buckets, are added. The cuts only balance the tasks; they never change
 a result.
+
+There is one path for every size. A column gets as many buckets as its rows
+ask for, from quantiles of a sample: first coarse ones, then finer ones inside
+each bucket that is still too full, until none is. A bucket that holds a
+single value needs no cut, as equal values are one row by then.
 """
 
 from __future__ import annotations
 
-import math
+import bisect
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -18,25 +23,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shiftspark.functions.stats import known
+from shiftspark.operators.select import melt
 
-ROWS_PER_BUCKET = 50_000
-MAX_BUCKETS = 1024
-SAMPLE_SHARE = 0.05
+# Rows aimed at in a bucket, and sampled rows that a bucket's end is found by.
+ROWS_PER_BUCKET = 1 << 22
+SAMPLED_PER_BUCKET = 256
+# Parts that one pass cuts a bucket into, and cuts + 1 that one step of the search looks through; a power of two.
+FANOUT = 1024
+# Cuts up to this many bytes go to every executor; more of them meet the rows by key.
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
 class Layout:
-    """What one sizing pass found: rows, scenario names, bucket cuts per column
-    and, where a baseline was named, its smallest and largest value per column."""
+    """What one sizing pass found: rows, bucket cuts per column and, where a
+    baseline was named, its smallest and largest value per column."""
 
     rows: int
-    scenarios: tuple[str, ...]
     cuts: dict[str, list[float]]
     ranges: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     @property
-    def bucketed(self) -> bool:
-        return any(self.cuts.values())
+    def parts(self) -> int:
+        """Tasks that the rows of one key are dealt to."""
+        return max(1, -(-self.rows // ROWS_PER_BUCKET))
 
 
 @dataclass(frozen=True)
@@ -55,13 +65,6 @@ class Running:
     peers: bool = False
 
 
-def bucket_count(rows: int) -> int:
-    """Power of two that leaves about ROWS_PER_BUCKET rows in each bucket."""
-    if rows <= ROWS_PER_BUCKET:
-        return 1
-    return min(MAX_BUCKETS, 2 ** math.ceil(math.log2(rows / ROWS_PER_BUCKET)))
-
-
 def size_up(
     df: DataFrame,
     scenario: str,
@@ -69,86 +72,115 @@ def size_up(
     n_buckets: int | None = None,
     baseline: str | None = None,
 ) -> Layout:
-    """Counts the rows, lists the scenarios, finds bucket cuts and baseline
-    ranges, all in one map-side pass.
-
-    The cuts are approximate quantiles of a row sample; they decide how even
-    the tasks are and nothing else, so neither the sample nor the
-    approximation reaches a result. Back come columns x buckets numbers and
-    the scenario names.
-    """
-    if n_buckets is not None and n_buckets & (n_buckets - 1):
-        raise ValueError("the number of buckets must be a power of two")
-    finest = n_buckets or MAX_BUCKETS
-    # As SQL text: a thousand literals are parsed at once.
-    probs = ", ".join(f"{i / finest!r}D" for i in range(1, finest))
-    picked = F.rand(42) < F.lit(SAMPLE_SHARE if n_buckets is None else 1.0)
-    values = df.withColumn("_pick", picked).select(
-        F.col(scenario).alias("_s"), "_pick", *[known(c).alias(f"_c{i}") for i, c in enumerate(cols)]
-    )
-    rows = values.select(
-        "*", *[F.when(F.col("_pick"), F.col(f"_c{i}")).alias(f"_p{i}") for i in range(len(cols))]
-    )
-    aggs = [F.count("*").alias("n"), F.collect_set("_s").alias("names")]
+    """Counts rows and known values and finds baseline ranges in one map-side
+    pass; then, for columns with more than one bucket's worth of values, cuts."""
+    values = df.select(F.col(scenario).alias("_s"), *[known(c).alias(f"_c{i}") for i, c in enumerate(cols)])
+    aggs = [F.count("*").alias("n")]
     for i in range(len(cols)):
-        if probs:
-            aggs.append(F.expr(f"percentile_approx(_p{i}, array({probs}), {2 * MAX_BUCKETS})").alias(f"_q{i}"))
+        aggs.append(F.count(f"_c{i}").alias(f"_n{i}"))
         if baseline is not None:
             own = F.when(F.col("_s") == baseline, F.col(f"_c{i}"))
             aggs += [F.min(own).alias(f"_lo{i}"), F.max(own).alias(f"_hi{i}")]
-    found = rows.agg(*aggs).first().asDict()
-    n = bucket_count(found["n"]) if n_buckets is None else n_buckets
-    stride = finest // n
-    cuts, ranges = {}, {}
-    for i, c in enumerate(cols):
-        q = (found[f"_q{i}"] or []) if n > 1 else []
-        cuts[c] = list(q[stride - 1 :: stride])
-        if found.get(f"_lo{i}") is not None:
-            ranges[c] = (found[f"_lo{i}"], found[f"_hi{i}"])
-    return Layout(found["n"], tuple(sorted(found["names"])), cuts, ranges)
+    found = values.agg(*aggs).first().asDict()
+    wanted = {c: n_buckets or -(-found[f"_n{i}"] // ROWS_PER_BUCKET) for i, c in enumerate(cols)}
+    share = 1.0 if n_buckets else SAMPLED_PER_BUCKET / ROWS_PER_BUCKET
+    long = melt(df.select(*[known(c).alias(c) for c in cols]), [], cols, "value").filter("value IS NOT NULL")
+    cuts = find_cuts(long, wanted, share)
+    ranges = {c: (found[f"_lo{i}"], found[f"_hi{i}"]) for i, c in enumerate(cols) if found.get(f"_lo{i}") is not None}
+    return Layout(found["n"], cuts, ranges)
+
+
+def find_cuts(long: DataFrame, wanted: dict[str, int], share: float) -> dict[str, list[float]]:
+    """Values that cut each feature of (feature, value) into about ``wanted`` buckets of equal rows.
+
+    Each pass cuts every bucket that is still too full into up to FANOUT parts,
+    by approximate quantiles of the sampled rows in it; n buckets take
+    log(n) / log(FANOUT) passes, and one bucket takes none. At most ``wanted``
+    numbers a feature reach the driver."""
+    cuts: dict[str, list[float]] = {c: [] for c in wanted}
+    parts = {(c, 0): n for c, n in wanted.items() if n > 1}
+    # As SQL text: a thousand literals are parsed at once.
+    probs = ", ".join(f"{i / FANOUT!r}D" for i in range(1, FANOUT))
+    quantiles = F.expr(f"percentile_approx(value, array({probs}), {16 * FANOUT})")
+    while parts:
+        open_ = sorted({c for c, _ in parts})
+        rows = long.filter(F.col("feature").isin(open_))
+        if share < 1:
+            rows = rows.filter(F.rand(42) < F.lit(share))
+        cells = with_bucket(rows, "value", {c: cuts[c] for c in open_}, by="feature").groupBy("feature", "_bucket")
+        left = {}
+        for r in cells.agg(quantiles.alias("q")).toLocalIterator():
+            c, cell = r["feature"], r["_bucket"]
+            n = parts.get((c, cell), 1)
+            k = min(n, FANOUT)
+            at = [r["q"][i * FANOUT // k - 1] for i in range(1, k)]
+            lower = cuts[c][cell - 1] if cell else float("-inf")
+            left[c, cell] = (sorted({x for x in at if x > lower}), -(-n // k))
+        parts = {}
+        for c in open_:
+            mine = {cell: v for (name, cell), v in left.items() if name == c}
+            merged = sorted({*cuts[c], *(x for new, _ in mine.values() for x in new)})
+            for cell, (new, more) in mine.items():
+                if more > 1 and new:
+                    first = bisect.bisect_right(merged, cuts[c][cell - 1]) if cell else 0
+                    parts |= {(c, first + i): more for i in range(len(new) + 1)}
+            cuts[c] = merged
+    return cuts
 
 
 def with_bucket(df: DataFrame, order: str, cuts: dict[str, list[float]], by: str | None = None) -> DataFrame:
     """Adds ``_bucket``: how many cuts are <= the order value.
 
     ``by`` names the column whose value picks the list of cuts; without it the
-    single list holds for all rows. The lists are columns x buckets numbers,
-    hence broadcast. The search is a binary one, written as one projection per
-    halving, so it stays in generated code.
+    single list holds for all rows. Long lists are laid out as a tree with
+    FANOUT - 1 cuts in a node. On each level the rows meet their node by key
+    and a binary search, written as one projection per halving, so it stays in
+    generated code, finds the child. The lists' size is known here, so they
+    are broadcast up to BROADCAST_BYTES and joined by key beyond.
     """
-    lists = [(k, [float(x) for x in v]) for k, v in cuts.items() if v]
+    lists = {k: v for k, v in cuts.items() if v}
+    out = df.withColumn("_bucket", F.lit(0).cast("long"))
     if not lists:
-        return df.withColumn("_bucket", F.lit(0))
+        return out
     if by is None:
-        ((_, only),) = lists
-        out = df.withColumn("_cuts", F.expr("array(" + ", ".join(f"{x!r}D" for x in only) + ")"))
+        ((name, _),) = lists.items()
+        out, key = out.withColumn("_by", F.lit(name)), "_by"
     else:
-        table = df.sparkSession.createDataFrame(lists, f"{by} string, _cuts array<double>")
-        out = df.join(F.broadcast(table), by, "left")
-    out = out.withColumn("_bucket", F.lit(0))
-    step = (len(lists[0][1]) + 1) // 2
-    while step >= 1:
-        here = F.get("_cuts", F.col("_bucket") + F.lit(step - 1))
-        out = out.withColumn(
-            "_bucket", F.col("_bucket") + F.when(here <= F.col(order), F.lit(step)).otherwise(F.lit(0))
-        )
-        step //= 2
-    return out.drop("_cuts")
-
-
-def running_sums(df: DataFrame, order: str, sums: list[Running], bucketed: bool) -> DataFrame:
+        key = by
+    depth = 1
+    while FANOUT**depth <= max(map(len, lists.values())):
+        depth += 1
+    small = 8 * sum(map(len, lists.values())) <= BROADCAST_BYTES
+    for level in reversed(range(depth)):
+        span = FANOUT**level
+        nodes = [
+            (k, at, v[at : at + FANOUT * span][span - 1 :: span][: FANOUT - 1])
+            for k, v in lists.items()
+            for at in range(0, len(v) + 1, FANOUT * span)
+        ]
+        table = df.sparkSession.createDataFrame(nodes, f"`{key}` string, _bucket long, _cuts array<double>")
+        out = out.join(F.broadcast(table) if small else table, [key, "_bucket"], "left").withColumn("_child", F.lit(0))
+        step = FANOUT // 2
+        while step >= 1:
+            # Beyond the end of a list there is NULL, which is not <= any value.
+            here = F.get("_cuts", F.col("_child") + F.lit(step - 1))
+            out = out.withColumn("_child", F.col("_child") + F.when(here <= F.col(order), F.lit(step)).otherwise(F.lit(0)))
+            step //= 2
+        out = out.withColumn("_bucket", F.col("_bucket") + F.col("_child").cast("long") * F.lit(span).cast("long")).drop("_cuts", "_child")
+    return out.drop("_by")
+
+
+def running_sums(df: DataFrame, order: str, sums: list[Running]) -> DataFrame:
     """Adds the running sums; ``df`` carries ``_bucket``, which is dropped.
 
-    With several buckets, what lies before a bucket enters as one *carry row* per (key,
-    bucket) whose order value is NULL and so sorts first: the window adds it
-    up with the rest and no join is needed. All windows are nested by key, so
+    What lies before a bucket enters as one *carry row* per (key, bucket)
+    whose order value is NULL and so sorts first: the window adds it up with
+    the rest and no join is needed. All windows are nested by key, so
     one exchange on the coarsest key and the bucket serves them all.
     """
-    rows = df
-    if bucketed:
-        rows = df.withColumn("_carry", F.lit(False))
-        for keys in sorted({s.keys for s in sums}):
-            rows = rows.unionByName(_carry_rows(df, keys, sums), allowMissingColumns=True)
+    rows = df.withColumn("_carry", F.lit(False))
+    for keys in sorted({s.keys for s in sums}):
+        rows = rows.unionByName(_carry_rows(df, keys, sums), allowMissingColumns=True)
     for s in sorted(sums, key=lambda s: len(s.keys)):
         near = W.partitionBy(*s.keys, "_bucket")
         ordered = near.orderBy(order)
@@ -157,14 +189,11 @@ def running_sums(df: DataFrame, order: str, sums: list[Running], bucketed: bool)
         rows = rows.withColumn(s.out, F.sum(s.value).over(upto))
         if s.total:
             total = f"{s.out}_total"
-            whole = F.max(total).over(upto) if bucketed else F.sum(s.value).over(near)
-            rows = rows.withColumn(total, whole)
+            rows = rows.withColumn(total, F.max(total).over(upto))
         if s.peers:
             here = F.sum(s.value).over(ordered.rangeBetween(W.currentRow, W.currentRow))
             rows = rows.withColumn(f"{s.out}_here", here)
-    if bucketed:
-        rows = rows.filter(~F.col("_carry")).drop("_carry")
-    return rows.drop("_bucket")
+    return rows.filter(~F.col("_carry")).drop("_carry", "_bucket")
 
 
 def _carry_rows(df: DataFrame, keys: tuple[str, ...], sums: list[Running]) -> DataFrame:

@@ -86,7 +86,6 @@ def exact_quantiles(
         with_bucket(counts, "value", layout.cuts, by="feature"),
         "value",
         [Running("cum", "n", ("scenario", "feature"), total=True)],
-        layout.bucketed,
     )
     total = F.col("cum_total")
     picks = []
@@ -111,22 +110,26 @@ def feature_stats(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -
     return feature_moments(obs, spec).join(median, ["scenario", "feature"], "left")
 
 
-def clip_bounds(obs: DataFrame, spec: ObsSpec, low: float = 0.01, high: float = 0.99) -> DataFrame:
+def clip_bounds(
+    obs: DataFrame, spec: ObsSpec, low: float = 0.01, high: float = 0.99, layout: Layout | None = None
+) -> DataFrame:
     """(feature, lo, hi): outer quantiles of the baseline."""
     base = obs.filter(F.col(spec.scenario) == spec.baseline)
-    return exact_quantiles(base, spec, {"lo": low, "hi": high}).drop("scenario")
+    return exact_quantiles(base, spec, {"lo": low, "hi": high}, layout).drop("scenario")
 
 
 def density_histogram(
-    obs: DataFrame, spec: ObsSpec, bins: int = 60, shared: bool = False
+    obs: DataFrame, spec: ObsSpec, bins: int = 60, shared: bool = False, layout: Layout | None = None
 ) -> DataFrame:
     """Density histogram per (scenario, feature) of values clipped to the
     baseline's 1% and 99% quantiles; all bins are present.
 
     By default each side spans its own clipped range, so the edges of two
     scenarios may differ; ``shared`` uses the baseline's clip bounds for all.
+    Distinct values with their counts are binned, not rows.
     """
-    bounds = clip_bounds(obs, spec)
+    layout = layout or size_up(obs, spec.scenario, common_features(spec, obs))
+    bounds = clip_bounds(obs, spec, layout=layout)
     ends = feature_moments(obs, spec).join(bounds, "feature")
     clip = lambda c: F.greatest(F.col("lo"), F.least(F.col("hi"), F.col(c)))
     lo, hi = (F.col("lo"), F.col("hi")) if shared else (clip("min"), clip("max"))
@@ -140,7 +143,8 @@ def density_histogram(
         F.when(lo == hi, hi + d(0.5)).otherwise(hi).alias("stop"),
         "n",
     )
-    rows = attach(features_long(obs, spec), ranges, ["scenario", "feature"])
+    counts = features_long(obs, spec).groupBy("scenario", "feature", "value").agg(F.count("*").alias("c"))
+    rows = attach(counts, ranges, ["scenario", "feature"], layout.parts)
     v = F.greatest(F.col("lo"), F.least(F.col("hi"), F.col("value")))
     filled = _bin_counts(rows, v, ["scenario", "feature"], bins, ["n"])
     width = (F.col("stop") - F.col("start")) / d(bins)
@@ -155,12 +159,12 @@ def density_histogram(
 
 
 def _bin_counts(rows: DataFrame, v: Column, keys: list[str], bins: int, carry: list[str]) -> DataFrame:
-    """Counts per (keys, bin) with all bins present; rows carry start and stop."""
+    """Sums of c per (keys, bin) with all bins present; rows carry start and stop."""
     kept = ["start", "stop", *carry]
     counts = (
         rows.withColumn("bin", bin_of(v, F.col("start"), F.col("stop"), bins))
         .groupBy(*keys, "bin")
-        .agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in kept])
+        .agg(F.sum("c").alias("c"), *[F.first(x).alias(x) for x in kept])
     )
     per_key = counts.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("by_bin"),
@@ -176,12 +180,15 @@ def _bin_counts(rows: DataFrame, v: Column, keys: list[str], bins: int, carry: l
 def score_histogram(obs: DataFrame, spec: ObsSpec, bins: int = 50) -> DataFrame:
     """Counts of the score per class and bin; each class spans its own range.
 
-    Taken over the whole table; restrict it first for one scenario."""
+    Taken over the whole table; restrict it first for one scenario. Distinct
+    scores with their counts are binned, not rows."""
     rows = obs.select(F.col(spec.label).alias("Class"), known(spec.score).alias("s")).filter(
         F.col("s").isNotNull() & F.col("Class").isNotNull()
     )
+    counts = rows.groupBy("Class", "s").agg(F.count("*").alias("c"))
     ends = rows.groupBy("Class").agg(F.min("s").alias("start"), F.max("s").alias("stop"))
-    filled = _bin_counts(attach(rows, ends, ["Class"]), F.col("s"), ["Class"], bins, [])
+    parts = size_up(obs, spec.scenario, [spec.score]).parts
+    filled = _bin_counts(attach(counts, ends, ["Class"], parts), F.col("s"), ["Class"], bins, [])
     return filled.select(
         "Class",
         "bin",

@@ -1,23 +1,18 @@
-"""Carrying small result tables to the rows of a big one."""
+"""Carrying result tables to the rows of a big one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 50_000
 
+def attach(big: DataFrame, small: DataFrame, on: list[str], parts: int) -> DataFrame:
+    """Inner join of many rows with an aggregated table of unique keys.
 
-def attach(big: DataFrame, small: DataFrame, on: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join of many rows with an aggregated table.
-
-    The small side is evaluated once and its size *counted*: up to
-    ``max_rows`` it goes to every executor as a local relation, so the big
-    side is not shuffled. A larger one is joined by key without a hint, where
-    adaptive execution splits hot keys of the big side.
+    A key may hold most rows of the big side, so each key is dealt to
+    ``parts`` tasks by a hash of the row, and the small side is repeated for
+    each of them. Neither side is collected or hinted, whatever its size.
     """
-    spark = big.sparkSession
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return big.join(small, on)
-    return big.join(F.broadcast(spark.createDataFrame(rows, small.schema)), on)
+    dealt = big.withColumn("_part", F.pmod(F.xxhash64(*big.columns), F.lit(parts)))
+    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return dealt.join(copies, [*on, "_part"]).drop("_part")

@@ -29,7 +29,7 @@ from shiftspark.plans.fixtures import (
     obs_two_scores,
 )
 from shiftspark.sources import readers
-from shiftspark.sources.profile_store import read_profile, write_profile
+from shiftspark.sources.profile_store import Profile, grow_profile, read_profile, write_profile
 from shiftspark.sources.writers import shared_folder, stored, write_csv, write_json
 from shiftspark.spec import (
     COUNT_POLICY,
@@ -133,12 +133,38 @@ def baseline_profile(spark, sf):
     """The profile stored and opened again, condensed to one row per feature."""
     path = shared_folder(spark)
     write_profile(obs(spark, sf), SPEC, path)
-    p = read_profile(spark, SPEC, path)
-    counts = p.counts.groupBy("feature").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"))
+    return _condensed(read_profile(spark, SPEC, path))
+
+
+def _condensed(p: Profile) -> DataFrame:
+    values = p.counts.groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    counts = values.groupBy("feature").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"))
     ends = p.moments.select("feature", "mean", F.col("min").alias("lo"), F.col("max").alias("hi"))
     return rounded(counts.join(ends, "feature"))
 
 
+@query(
+    "profile_growth",
+    *o.LONG,
+    o.EVAL,
+    f"""SELECT feature, count(*) AS n, count(DISTINCT value) AS n_distinct, {o.r('mean', 'avg(value)')},
+    {o.r('lo', 'min(value)')}, {o.r('hi', 'max(value)')}, {o.r('std', 'stddev_samp(value)')},
+    (SELECT {o.r('auc_roc').split(' AS ')[0]} FROM metrics WHERE scenario = 'Baseline') AS auc_roc
+    FROM long WHERE scenario = 'Baseline' GROUP BY feature""",
+)
+def profile_growth(spark, sf):
+    """The profile of a third of the baseline's orders, grown by the other two thirds one after the other."""
+    path = shared_folder(spark)
+    rows = obs(spark, sf)
+    third = F.pmod(F.col("l_orderkey"), F.lit(3))
+    write_profile(rows.filter(third == 0), SPEC, path)
+    for part in (1, 2):
+        grow_profile(rows.filter(third == part), SPEC, path)
+    p = read_profile(spark, SPEC, path)
+    std = rounded(p.moments.select("feature", "std").withColumn("auc_roc", F.lit(p.metrics["auc_roc"]).cast("double")))
+    return _condensed(p).join(std, "feature")
+
+
 # -------------------------------------------------------------- selection
 
 

@@ -16,13 +16,15 @@ from shiftspark.spec import RATIO_POLICY
 from shiftspark.streaming import checks
 
 SPEC = EVENT_SPEC
+# Files that one micro-batch takes up at most.
+FILES_PER_BATCH = 256
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The event table as a stream of files."""
     path = f"{sf}/events.parquet"
     table = spark.read.parquet(path)
-    reader = spark.readStream.schema(table.schema)
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
     if table.inputFiles()[0].endswith("/events.parquet"):
         # A single file cannot be watched itself, its folder can.
         return event_columns(reader.option("pathGlobFilter", "events.parquet").parquet(sf))
@@ -74,47 +76,58 @@ def stream_alerts(spark, sf):
     return _results(spark, f"{checked(spark, sf)}/alerts")
 
 
-# A day is closed once the watermark, one day behind the newest event, has passed its end.
-CLOSED = """
-closed AS (SELECT *, date_trunc('day', ts) AS day FROM obs
-  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) FROM obs) - INTERVAL 1 DAY)
+DAY_SQL = """
+days AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM obs)
+"""
+
+# Scores at which the baseline's running count passes a multiple of 1 / 200 of its rows.
+CUTS_SQL = """
+base AS (SELECT Probability AS s, count(*) AS n FROM obs WHERE scenario = 'Baseline' AND Probability IS NOT NULL GROUP BY 1),
+running AS (SELECT s, n, sum(n) OVER (ORDER BY s) AS upto, sum(n) OVER () AS total FROM base),
+cuts AS (SELECT list(s ORDER BY s) AS c FROM running WHERE upto < total
+  AND floor((upto - n) * 200 / CAST(total AS DOUBLE)) < floor(upto * 200 / CAST(total AS DOUBLE)))
 """
 
 
 @query(
     "stream_daily_eval",
     *o.EVENTS,
-    CLOSED,
-    """daily AS (SELECT strftime(day, '%Y-%m-%d') AS scenario, Class, Prediction,
-      least(floor(Probability * 2e2), 199) AS Probability FROM closed)""",
+    DAY_SQL,
+    CUTS_SQL,
+    """daily AS (SELECT day AS scenario, Class, Prediction,
+      CASE WHEN Probability IS NOT NULL THEN len(list_filter(c, lambda x: x <= Probability)) END AS Probability
+      FROM days CROSS JOIN cuts)""",
     o.EVAL.replace("FROM obs", "FROM daily"),
-    f"SELECT scenario AS day, n_rows, tn, fp, fn, tp, {o.rs(*METRICS)} FROM metrics",
+    """ties AS (SELECT scenario, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+      THEN sum(pos * neg * 5e-1) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS auc_error FROM ranked GROUP BY scenario)""",
+    f"""SELECT m.scenario AS day, n_rows, tn, fp, fn, tp, {o.rs(*METRICS, 'auc_error')}
+    FROM metrics m LEFT JOIN ties t ON t.scenario = m.scenario""",
 )
 def stream_daily_eval(spark, sf):
+    """All days, the last ones included, whose windows are still open when the input ends."""
     out = shared_folder(spark)
-    cells = checks.run_to_table(
-        checks.daily_cells(event_stream(spark, sf), SPEC), f"{out}/cells", f"{out}/checkpoint"
-    )
+    base = event_obs(spark, sf).filter(F.col("scenario") == SPEC.baseline)
+    cells = checks.daily_cells(event_stream(spark, sf), SPEC, checks.score_cuts(base, SPEC))
+    cells = checks.run_to_table(cells, ["day", "bin"], f"{out}/cells", f"{out}/checkpoint")
     daily = checks.daily_metrics(cells).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
-    return rounded(daily.select("day", "n_rows", *CELLS, *METRICS))
+    return rounded(daily.select("day", "n_rows", *CELLS, *METRICS, "auc_error"))
 
 
 @query(
     "stream_psi",
     o.EVENT_SQL,
-    CLOSED,
+    DAY_SQL,
     """long AS (
       SELECT 'Baseline' AS scenario, 'value' AS feature, value FROM obs WHERE scenario = 'Baseline' AND value IS NOT NULL
       UNION ALL SELECT 'Baseline', 'k', k FROM obs WHERE scenario = 'Baseline' AND k IS NOT NULL
-      UNION ALL SELECT strftime(day, '%Y-%m-%d'), 'value', value FROM closed WHERE value IS NOT NULL
-      UNION ALL SELECT strftime(day, '%Y-%m-%d'), 'k', k FROM closed WHERE k IS NOT NULL)""",
+      UNION ALL SELECT day, 'value', value FROM days WHERE value IS NOT NULL
+      UNION ALL SELECT day, 'k', k FROM days WHERE k IS NOT NULL)""",
     o.PSI,
     f"SELECT scenario, feature, {o.rs('psi')} FROM psis",
 )
 def stream_psi(spark, sf):
     out = shared_folder(spark)
     profile = event_profile(spark, sf)
-    cells = checks.run_to_table(
-        checks.windowed_bins(event_stream(spark, sf), profile, SPEC), f"{out}/bins", f"{out}/checkpoint"
-    )
+    cells = checks.windowed_bins(event_stream(spark, sf), profile, SPEC)
+    cells = checks.run_to_table(cells, ["day", "feature", "bin"], f"{out}/bins", f"{out}/checkpoint")
     return rounded(checks.windowed_psi(cells, profile, SPEC))

@@ -99,16 +99,17 @@ def overview_page(obs: DataFrame, spec: ObsSpec, policy: RatioPolicy) -> DataFra
 def profile_check(batch: DataFrame, profile: Profile, spec: ObsSpec, policy: RatioPolicy) -> DataFrame:
     """``batch_check`` against a stored profile, with average PSI and mean shift.
 
-    The baseline enters through its stored counts; its rows are not read.
-    Rows of the batch under the baseline's name are left out: they would be
-    added to the stored counts."""
+    The baseline enters through its stored counts near the batch's values; its
+    rows are not read. Rows of the batch under the baseline's name are left
+    out: they would be added to the stored counts."""
     batch = batch.filter(F.col(spec.scenario) != spec.baseline)
-    counts = value_counts(batch, spec).unionByName(profile.counts)
+    counts = value_counts(batch, spec)
+    counts = counts.unionByName(profile.around(counts))
     tests = ks_from_counts(counts, spec, profile.layout).withColumn("drifted", F.col("p_value") < d(policy.alpha))
     shares = drift_share(tests, spec)
     bins = bin_counts(batch, spec, profile.edges).unionByName(profile.bins)
     averages = psi_average(psi_against_baseline(bins, spec))
-    metrics = evaluate(batch, spec)
+    metrics = evaluate(batch, spec, profile.layout)
     base = [F.lit(profile.metrics[m]).cast("double").alias(f"base_{m}") for m in METRICS]
     rows = (
         metrics.select("*", *base)

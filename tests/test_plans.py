@@ -21,8 +21,7 @@ def layout(spark):
 
 
 CASES = {
-    "ks side by side": lambda o, l: drift.ks_test(o, OBS_SPEC, layout=l),
-    "ks in rows": lambda o, l: drift.ks_test(o, OBS_SPEC, layout=l, side_by_side=0),
+    "ks": lambda o, l: drift.ks_test(o, OBS_SPEC, layout=l),
     "quantiles": lambda o, l: profile.exact_quantiles(o, OBS_SPEC, {"m": 0.5}, l),
     "evaluate": lambda o, l: evaluate.evaluate(o, OBS_SPEC, l),
     "roc": lambda o, l: evaluate.roc_curve(o, OBS_SPEC, l),

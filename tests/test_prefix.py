@@ -1,11 +1,14 @@
 """Bucketed running sums against brute force; skewed and random inputs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shiftspark.operators import drift, evaluate, prefix, profile
+from shiftspark.operators.small import attach
 from shiftspark.plans.fixtures import OBS_SPEC, obs
 from shiftspark.spec import ObsSpec
 from tests.conftest import SMALL
@@ -27,13 +30,12 @@ def test_ks_equals_brute_force(spark, two_samples, base, prod, other):
     want = {"P": brute_ks(base, prod), "Q": brute_ks(base, other)}
     for n in (1, 8):
         layout = prefix.size_up(df, "scenario", ["x"], n_buckets=n)
-        for wide in (32, 0):
-            got = {r["scenario"]: r["ks_statistic"] for r in drift.ks_test(df, X, layout=layout, side_by_side=wide).collect()}
-            assert got == pytest.approx(want, abs=1e-12)
+        got = {r["scenario"]: r["ks_statistic"] for r in drift.ks_test(df, X, layout=layout).collect()}
+        assert got == pytest.approx(want, abs=1e-12)
     df.unpersist()
 
 
-@pytest.mark.parametrize("n", [1, 2, 64])
+@pytest.mark.parametrize("n", [1, 2, 64, 4096])
 def test_quantiles_equal_numpy(spark, two_samples, n):
     rng = np.random.default_rng(1)
     # A third of the rows share one value.
@@ -44,7 +46,7 @@ def test_quantiles_equal_numpy(spark, two_samples, n):
     assert (row["a"], row["b"], row["c"]) == pytest.approx(tuple(np.quantile(values, [0.01, 0.5, 0.99])), abs=1e-12)
 
 
-@pytest.mark.parametrize("n", [1, 16])
+@pytest.mark.parametrize("n", [1, 2, 64, 4096])
 def test_auc_equals_pair_count_and_mirrors(spark, n):
     rng = np.random.default_rng(2)
     y = (rng.random(800) < 0.2).astype(int)
@@ -58,14 +60,23 @@ def test_auc_equals_pair_count_and_mirrors(spark, n):
     assert got["Baseline"] + got["M"] == pytest.approx(1.0, abs=1e-12)
 
 
-def test_bucket_number_never_changes_the_table(spark):
+def test_bucket_number_never_changes_a_table(spark):
     df = obs(spark, SMALL)
-    seen = set()
-    for n in (1, 4, 128):
-        layout = prefix.size_up(df, "scenario", list(OBS_SPEC.features), n_buckets=n)
-        for wide in (32, 0):
-            seen.add(tuple(sorted(map(tuple, drift.ks_test(df, OBS_SPEC, layout=layout, side_by_side=wide).collect()))))
-    assert len(seen) == 1
+    tables = {
+        "ks": lambda l: drift.ks_test(df, OBS_SPEC, layout=l),
+        "quantiles": lambda l: profile.exact_quantiles(df, OBS_SPEC, {"a": 0.01, "b": 0.37}, l),
+        "roc": lambda l: evaluate.roc_curve(df, OBS_SPEC, l),
+        "pr": lambda l: evaluate.pr_curve(df, OBS_SPEC, l),
+        "evaluate": lambda l: evaluate.evaluate(df, OBS_SPEC, l),
+        "histogram": lambda l: profile.density_histogram(df, OBS_SPEC, layout=l),
+    }
+    seen = {name: set() for name in tables}
+    for n in (1, 2, 64, 4096):
+        layout = prefix.size_up(df, "scenario", [*OBS_SPEC.features, OBS_SPEC.score], n_buckets=n)
+        assert n < 4096 or len(layout.cuts["price"]) > 1500
+        for name, table in tables.items():
+            seen[name].add(tuple(sorted(map(str, table(layout).collect()))))
+    assert {name: len(s) for name, s in seen.items()} == dict.fromkeys(tables, 1)
 
 
 def test_ks_is_symmetric(spark, two_samples):
@@ -83,7 +94,45 @@ def test_buckets_split_a_hot_feature(spark, two_samples):
     assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
 
 
-def test_bucket_count_is_a_power_of_two():
-    assert prefix.bucket_count(10) == 1
-    n = prefix.bucket_count(40 * prefix.ROWS_PER_BUCKET)
-    assert n == 64 and prefix.bucket_count(10**15) == prefix.MAX_BUCKETS
+def test_refined_cuts_leave_no_bucket_overfull(spark):
+    """Most rows in a narrow peak, a third in one value, the rest far out: two passes, and no bucket far over its share."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1e-6, 20_000), np.full(15_000, 0.5), 10 ** rng.uniform(-200, 200, 10_000)])
+    long = spark.createDataFrame(pd.DataFrame({"value": x})).withColumn("feature", F.lit("x"))
+    cuts = prefix.find_cuts(long, {"x": 3000}, 1.0)
+    placed = prefix.with_bucket(long.distinct(), "value", cuts, by="feature")
+    sizes = [r["count"] for r in placed.groupBy("_bucket").count().collect()]
+    assert len(sizes) > 1500 and max(sizes) < 8 * 45_000 / 3000
+    one = spark.createDataFrame([("x", 7.0)] * 50, "feature string, value double")
+    assert len(set(prefix.find_cuts(one, {"x": 4000}, 1.0)["x"])) < 2
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_search_counts_the_cuts_up_to_a_value(spark, monkeypatch, small):
+    """Trees of one, two and three levels, broadcast or met by key."""
+    monkeypatch.setattr(prefix, "FANOUT", 4)
+    if not small:
+        monkeypatch.setattr(prefix, "BROADCAST_BYTES", 0)
+    rng = np.random.default_rng(5)
+    cuts = {"a": sorted(rng.normal(size=50).tolist()), "b": [0.0], "c": [], "d": sorted(rng.normal(size=15).tolist())}
+    values = [*rng.normal(size=40).tolist(), *cuts["a"][::7], *cuts["d"][-3:], float("inf"), float("-inf"), 0.0]
+    df = spark.createDataFrame([(k, v) for k in [*cuts, "e"] for v in values], "k string, v double")
+    for r in prefix.with_bucket(df, "v", cuts, by="k").collect():
+        assert r["_bucket"] == sum(c <= r["v"] for c in cuts.get(r["k"], []))
+    for r in prefix.with_bucket(df, "v", {"a": cuts["a"]}).collect():
+        assert r["_bucket"] == sum(c <= r["v"] for c in cuts["a"])
+
+
+def test_rows_ask_for_their_buckets(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "ROWS_PER_BUCKET", 100)
+    df = spark.range(2000).select(F.lit("Baseline").alias("scenario"), F.col("id").cast("double").alias("x"), F.when(F.col("id") < 90, 1.0).alias("y"))
+    layout = prefix.size_up(df, "scenario", ["x", "y"], baseline="Baseline")
+    assert (layout.rows, len(layout.cuts["x"]), layout.cuts["y"], layout.parts) == (2000, 19, [], 20)
+    assert layout.ranges == {"x": (0.0, 1999.0), "y": (1.0, 1.0)}
+
+
+def test_a_hot_key_meets_its_row_in_all_parts(spark):
+    big = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise("b").alias("k"), "id")
+    small = spark.createDataFrame([("hot", 1), ("b", 2), ("c", 3)], "k string, v int")
+    joined = attach(big, small, ["k"], 8)
+    assert joined.columns == ["k", "id", "v"] and joined.groupBy("v").count().orderBy("v").collect() == [(1, 900), (2, 100)]
