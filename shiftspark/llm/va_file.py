@@ -155,10 +155,10 @@ def cluster(vectors: DataFrame, k: int = 8, dims: int = 64, scale: int = 1024, r
         folders += [looked, fetched]
         if last:
             break
-        change = found.filter("n is not null").select("cluster", "n", F.posexplode("sums").alias("d", "s"))
-        for r in change.groupBy("cluster", "d").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect():
-            sums[r["cluster"], r["d"]] += r["s"]
-            counts[r["cluster"]] += r["n"] if r["d"] == 0 else 0
+        change = found.filter("n is not null").groupBy("cluster")
+        for r in change.agg(F.sum("n"), *(F.sum(F.col("sums")[d]) for d in range(dims))).collect():
+            counts[r[0]] += r[1]
+            sums[r[0]] += np.array(r[2:], object)
         centroids = np.array([[s // n for s in sums[c]] if n else centroids[c] for c, n in enumerate(counts)], np.int64)
         settled = bounded.filter("not fetch").select("key", "cells", F.col("lead").alias("old"))
         state = settled.union(found.filter("n is null").select("key", "cells", F.col("cluster").alias("old")))
