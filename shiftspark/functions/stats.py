@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 KS_SERIES_TERMS = 100
 KS_SMALL_LAMBDA = 0.2
+# Fixed value: larger sample up to which the two-sample p-value is exact by default.
+KS_EXACT_ROWS = 10_000
 ZERO_SHARE = 1e-6
 
 
@@ -52,6 +54,49 @@ def ks_pvalue(stat: Column, n1: Column, n2: Column) -> Column:
     return F.when(lam < d(KS_SMALL_LAMBDA), d(1)).otherwise(p)
 
 
+def ks_pvalue_exact(stat: Column, n1: Column, n2: Column) -> Column:
+    """Exact two-sided two-sample KS p-value: the share of all orders of the
+    pooled sample whose distance is at least ``stat``.
+
+    An order is a lattice path from (0, 0) to (n1, n2), which leaves the band
+    |i / n1 - j / n2| < stat or does not. Drawing the pooled values one by one,
+    the state is the probability of each i with the band not left so far; it
+    is as long as the band is wide. What steps out of it is added up, so small
+    p-values keep their digits. For use on result-sized tables."""
+    n1, n2 = n1.cast("long"), n2.cast("long")
+    whole = n1 + n2
+    # i / n1 - j / n2 in steps of 1 / (n1 n2)
+    width = F.round(stat * n1 * n2).cast("long")
+    start = F.struct(F.array(d(1)).alias("inside"), F.lit(0).cast("long").alias("first"), d(0).alias("outside"))
+
+    def draw(state: Column, s: Column) -> Column:
+        inside, first, size = state["inside"], state["first"], F.size(state["inside"])
+        left = (whole - s).cast("double")
+
+        def at(k: Column) -> Column:
+            i = first + k
+            from_2 = F.coalesce(F.get(inside, k), d(0)) * (n2 - s + i) / left
+            from_1 = F.coalesce(F.get(inside, k - 1), d(0)) * (n1 - i + 1) / left
+            return from_2 + from_1
+
+        reached = F.transform(F.sequence(F.lit(0), size), at)
+        middle = (s + 1) * n1
+        low = F.greatest(first, F.floor((middle - width) / whole) + 1)
+        high = F.least(first + size, F.ceil((middle + width) / whole) - 1)
+
+        def settled(row: Column) -> Column:
+            below = F.when(low > first, F.get(row, F.lit(0))).otherwise(d(0))
+            above = F.when(high < first + size, F.get(row, size)).otherwise(d(0))
+            kept = F.slice(row, (low - first + 1).cast("int"), F.greatest(high - low + 1, F.lit(0)).cast("int"))
+            return F.struct(kept.alias("inside"), low.alias("first"), (state["outside"] + below + above).alias("outside"))
+
+        # The list is named by a transform of one element, so it is computed once.
+        return F.get(F.transform(F.array(reached), settled), F.lit(0))
+
+    end = F.aggregate(F.sequence(F.lit(0).cast("long"), whole - 1), start, draw)
+    return F.when(width <= 0, d(1)).otherwise(F.least(d(1), end["outside"]))
+
+
 def cohens_d(mean_a: Column, std_a: Column, mean_b: Column, std_b: Column) -> Column:
     """(mean_a - mean_b) over the root mean of both variances; 0 when that is not > 0."""
     pooled = F.sqrt((std_a * std_a + std_b * std_b) / d(2))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shiftspark.functions.stats import cohens_d, count_where, d, ks_pvalue
+from shiftspark.functions.stats import cohens_d, count_where, d, ks_pvalue, ks_pvalue_exact
 from shiftspark.operators.prefix import Layout, Running, running_sums, size_up, with_bucket
 from shiftspark.operators.profile import feature_moments
 from shiftspark.operators.select import common_features, features_long
@@ -62,13 +62,20 @@ def _with_pvalue(gaps: DataFrame) -> DataFrame:
     return gaps.withColumn("p_value", p)
 
 
-def ks_test(obs: DataFrame, spec: ObsSpec, alpha: float = KS_ALPHA, layout: Layout | None = None) -> DataFrame:
+def ks_test(
+    obs: DataFrame, spec: ObsSpec, alpha: float = KS_ALPHA, layout: Layout | None = None, exact_rows: int = 0
+) -> DataFrame:
     """(scenario, feature, ks_statistic, n_baseline, n_prod, p_value, drifted).
 
     Features that one side lacks, or where it has only missing values, give
-    no row. A layout from an earlier sizing pass saves that pass."""
+    no row. A layout from an earlier sizing pass saves that pass. Where both
+    samples have at most ``exact_rows`` values the p-value is exact."""
     layout = layout or size_up(obs, spec.scenario, common_features(spec, obs))
     tested = ks_from_counts(value_counts(obs, spec), spec, layout)
+    if exact_rows:
+        small = F.greatest("n_baseline", "n_prod") <= exact_rows
+        exact = ks_pvalue_exact(F.col("ks_statistic"), F.col("n_baseline"), F.col("n_prod"))
+        tested = tested.withColumn("p_value", F.when(small, exact).otherwise(F.col("p_value")))
     return tested.withColumn("drifted", F.col("p_value") < d(alpha))
 
 

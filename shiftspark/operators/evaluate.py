@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shiftspark.functions.display import degraded
 from shiftspark.functions.stats import count_where, d, grid_index, known, ratio
-from shiftspark.operators.prefix import Layout, Running, running_sums, size_up, with_bucket
+from shiftspark.operators.prefix import Layout, Running, running_sums, size_up, with_bucket, with_lower
 from shiftspark.spec import DEFAULT_THRESHOLD, DEGRADED_MARGIN, ObsSpec
 
 METRICS = ["f1_score", "auc_roc", "precision", "recall"]
@@ -133,28 +133,46 @@ def metric_records(counts: DataFrame, cuts: dict[str, list[float]]) -> DataFrame
     return with_prf(sums).select("scenario", "n_rows", "positive_rate", *CELLS, *METRICS)
 
 
-def roc_curve(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
-    """(scenario, threshold, fpr, tpr): every distinct score as a threshold,
-    and the starting point (0, 0) with no threshold."""
+def roc_curve(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None, thin: bool = True) -> DataFrame:
+    """(scenario, threshold, fpr, tpr): the distinct scores as thresholds, and
+    the starting point (0, 0) with no threshold.
+
+    By default a threshold is left out where the curve goes straight on: where
+    it and the next lower one add the same numbers of positives and negatives.
+    The curve and its area stay the same."""
     share = lambda c, whole: F.when(F.col(whole) > 0, F.col(c) / F.col(whole))
     point = {"fpr": share("fp", "N"), "tpr": share("tp", "P")}
-    return _curve(obs, spec, layout, point, {"fpr": d(0), "tpr": d(0)})
+    straight = (F.col("pos") == F.col("pos_next")) & (F.col("neg") == F.col("neg_next"))
+    return _curve(obs, spec, layout, point, {"fpr": d(0), "tpr": d(0)}, straight if thin else None)
 
 
-def pr_curve(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> DataFrame:
+def pr_curve(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None, thin: bool = False) -> DataFrame:
     """(scenario, threshold, precision, recall), ended by (1, 0) with no threshold.
 
-    Recall is 1 throughout where there is no positive."""
+    Recall is 1 throughout where there is no positive. On request a threshold
+    is left out where neither it nor the next lower one adds a positive: recall
+    stands still there and precision only falls."""
     point = {
         "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")),
         "recall": F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(d(1)),
     }
-    return _curve(obs, spec, layout, point, {"precision": d(1), "recall": d(0)})
+    still = (F.col("pos") == 0) & (F.col("pos_next") == 0)
+    return _curve(obs, spec, layout, point, {"precision": d(1), "recall": d(0)}, still if thin else None)
+
 
+def _curve(
+    obs: DataFrame,
+    spec: ObsSpec,
+    layout: Layout | None,
+    point: dict[str, Column],
+    end: dict[str, Column],
+    droppable: Column | None,
+) -> DataFrame:
+    """Points for the distinct scores from the counts at or above them; the
+    highest score of a scenario also yields the end point.
 
-def _curve(obs: DataFrame, spec: ObsSpec, layout: Layout | None, point: dict[str, Column], end: dict[str, Column]) -> DataFrame:
-    """Points for all distinct scores from the counts at or above them; the
-    highest score of a scenario also yields the end point."""
+    ``droppable`` compares the counts at a score (pos, neg) with those at the
+    next lower one (pos_next, neg_next); the highest and the lowest score stay."""
     rows = (
         obs.select(spec.scenario_column(), known(spec.score).alias("score"), F.col(spec.label).alias("y"))
         .filter(F.col("score").isNotNull() & F.col("y").isNotNull())
@@ -163,15 +181,21 @@ def _curve(obs: DataFrame, spec: ObsSpec, layout: Layout | None, point: dict[str
         count_where(F.col("y") == 1).alias("pos"), count_where(F.col("y") == 0).alias("neg")
     )
     placed = with_bucket(counts, "score", score_cuts(obs, spec, layout))
+    if droppable is not None:
+        placed = with_lower(placed, ["scenario"], "score", ["pos", "neg"])
     sums = [Running(f"{c}_upto", c, ("scenario",), total=True) for c in ("pos", "neg")]
-    at_least = running_sums(placed, "score", sums).select(
+    ranked = running_sums(placed, "score", sums)
+    top = (F.col("pos_upto") == F.col("pos_upto_total")) & (F.col("neg_upto") == F.col("neg_upto_total"))
+    if droppable is not None:
+        ranked = ranked.filter(top | F.col("pos_next").isNull() | ~droppable)
+    at_least = ranked.select(
         "scenario",
         "score",
         (F.col("pos_upto_total") - F.col("pos_upto") + F.col("pos")).alias("tp"),
         (F.col("neg_upto_total") - F.col("neg_upto") + F.col("neg")).alias("fp"),
         F.col("pos_upto_total").alias("P"),
         F.col("neg_upto_total").alias("N"),
-        ((F.col("pos_upto") == F.col("pos_upto_total")) & (F.col("neg_upto") == F.col("neg_upto_total"))).alias("top"),
+        top.alias("top"),
     )
     own = F.struct(F.col("score").alias("threshold"), *[c.alias(n) for n, c in point.items()])
     last = F.struct(F.lit(None).cast("double").alias("threshold"), *[c.alias(n) for n, c in end.items()])

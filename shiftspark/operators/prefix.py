@@ -142,11 +142,6 @@ def with_bucket(df: DataFrame, order: str, cuts: dict[str, list[float]], by: str
     out = df.withColumn("_bucket", F.lit(0).cast("long"))
     if not lists:
         return out
-    if by is None:
-        ((name, _),) = lists.items()
-        out, key = out.withColumn("_by", F.lit(name)), "_by"
-    else:
-        key = by
     depth = 1
     while FANOUT**depth <= max(map(len, lists.values())):
         depth += 1
@@ -158,8 +153,15 @@ def with_bucket(df: DataFrame, order: str, cuts: dict[str, list[float]], by: str
             for k, v in lists.items()
             for at in range(0, len(v) + 1, FANOUT * span)
         ]
-        table = df.sparkSession.createDataFrame(nodes, f"`{key}` string, _bucket long, _cuts array<double>")
-        out = out.join(F.broadcast(table) if small else table, [key, "_bucket"], "left").withColumn("_child", F.lit(0))
+        if by is None and level == depth - 1:
+            # One root for all rows; as SQL text, a thousand literals are parsed at once.
+            ((_, _, root),) = nodes
+            out = out.withColumn("_cuts", F.expr("array(" + ", ".join(f"CAST('{x!r}' AS DOUBLE)" for x in root) + ")"))
+        else:
+            table = df.sparkSession.createDataFrame(nodes, f"`{by or '_by'}` string, _bucket long, _cuts array<double>")
+            table = table if by else table.drop("_by")
+            out = out.join(F.broadcast(table) if small else table, [by, "_bucket"] if by else "_bucket", "left")
+        out = out.withColumn("_child", F.lit(0))
         step = FANOUT // 2
         while step >= 1:
             # Beyond the end of a list there is NULL, which is not <= any value.
@@ -167,7 +169,7 @@ def with_bucket(df: DataFrame, order: str, cuts: dict[str, list[float]], by: str
             out = out.withColumn("_child", F.col("_child") + F.when(here <= F.col(order), F.lit(step)).otherwise(F.lit(0)))
             step //= 2
         out = out.withColumn("_bucket", F.col("_bucket") + F.col("_child").cast("long") * F.lit(span).cast("long")).drop("_cuts", "_child")
-    return out.drop("_by")
+    return out
 
 
 def running_sums(df: DataFrame, order: str, sums: list[Running]) -> DataFrame:
@@ -196,6 +198,24 @@ def running_sums(df: DataFrame, order: str, sums: list[Running]) -> DataFrame:
     return rows.filter(~F.col("_carry")).drop("_carry", "_bucket")
 
 
+def with_lower(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+    """Adds ``value + '_next'``: each value at the next lower order value of the
+    key, NULL at the lowest. ``df`` carries ``_bucket`` and has an order value once in a key.
+
+    Inside a bucket a window looks back one row. For a bucket's first row the
+    greatest row of the nearest earlier bucket is meant; these rows, one for
+    each key and bucket, enter as carry rows that sort first."""
+    per_key = W.partitionBy(*keys).orderBy("_bucket")
+    heads = df.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(*values), order).alias("_head"))
+    before = F.lag("_head").over(per_key)
+    carry = heads.select(*keys, "_bucket", F.lit(True).alias("_carry"), before.alias("_before"))
+    carry = carry.select(*keys, "_bucket", "_carry", *[F.col(f"_before.{v}").alias(v) for v in values])
+    rows = df.withColumn("_carry", F.lit(False)).unionByName(carry, allowMissingColumns=True)
+    near = W.partitionBy(*keys, "_bucket").orderBy(order)
+    rows = rows.withColumns({f"{v}_next": F.lag(v).over(near) for v in values})
+    return rows.filter(~F.col("_carry")).drop("_carry")
+
+
 def _carry_rows(df: DataFrame, keys: tuple[str, ...], sums: list[Running]) -> DataFrame:
     """One row per (key, bucket) with what lies before the bucket, for all sums of a key."""
     per_key = W.partitionBy(*keys)

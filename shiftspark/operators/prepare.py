@@ -6,7 +6,6 @@ import math
 
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shiftspark.functions.stats import d, key_hash, known
@@ -50,47 +49,74 @@ def stratified_split(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """Adds ``split`` (train / val / test) with exact quotas per class.
 
     Rows are ordered by the hash of their keys, then by the keys. Only the
-    places where an order is *cut* are looked up: counts per coarse hash range
-    tell in which range a quota ends, and just those ranges are ranked. The
-    rows themselves are then labelled by comparison, without a shuffle.
-    Rows that agree in all keys stay on one side; with unique keys the
-    quotas are exact.
+    places where an order is *cut* are looked up: counts per range tell in
+    which range a quota ends, that range is counted in finer ranges, and so on
+    until it holds one key. The rows themselves are then labelled by
+    comparison, without a shuffle or a sort. Rows that agree in all keys stay
+    on one side; with unique keys the quotas are exact.
     """
     h = row_hash(keys)
-    width = HASH_RANGE // COARSE
-    hashed = df.select(F.col(label).alias("_y"), *keys, h.alias("_h")).withColumn("_r", F.floor(F.col("_h") / width))
-    # At most classes x 4096 counts.
-    ranges = hashed.filter(F.col("_y").isNotNull()).groupBy("_y", "_r").count().orderBy("_y", "_r").collect()
-    sizes: dict[int, int] = {}
-    for r in ranges:
-        sizes[r["_y"]] = sizes.get(r["_y"], 0) + r["count"]
+    order = ["_h", *keys]
+    hashed = df.filter(F.col(label).isNotNull()).select(
+        F.col(label).cast("int").alias("_y"), h.alias("_h"), *[F.col(k).cast("long").alias(k) for k in keys]
+    )
+    sizes = {r["_y"]: r["count"] for r in hashed.groupBy("_y").count().collect()}
     quotas = split_quotas(sizes)
     wanted = {(y, cut): sum(quotas[y][: cut + 1]) for y in sizes for cut in (0, 1)}
+    cuts = cut_rows(hashed, "_y", order, {c: rank for c, rank in wanted.items() if rank > 0}, (0, HASH_RANGE - 1))
+    return df.withColumn("split", _split_label(label, keys, h, cuts, quotas))
+
+
+def cut_rows(
+    rows: DataFrame, group: str, order: list[str], wanted: dict[tuple, int], span: tuple[int, int]
+) -> dict[tuple, tuple]:
+    """For each (group value, name) the values of the ``order`` columns, longs, of the row with the wanted 1-based rank.
+
+    Histogram selection: each pass counts, for all ranks still open at once,
+    the rows in at most COARSE + 2 ranges of the first order column that is
+    not yet fixed, and keeps the range that holds the rank. The first pass
+    counts all rows between the ends of ``span``; later ones, over what is
+    left, also take the least and the greatest row of each range. These agree
+    in the columns that are fixed by now; if they agree in all, the row is
+    found. A pass is one map-side aggregation, so a range may hold any number
+    of rows.
+    """
+    whole = lambda value: (value, *[0] * (len(order) - 1))
+    open_ = {c: (rank, 0, whole(span[0]), whole(span[1])) for c, rank in wanted.items()}
+    found: dict[tuple, tuple] = {}
     ends = []
-    for (y, cut), quota in wanted.items():
-        seen = 0
-        for r in ranges:
-            if r["_y"] == y and seen + r["count"] >= quota > seen:
-                ends.append((y, cut, r["_r"], quota - seen))
-            seen += r["count"] if r["_y"] == y else 0
-    return df.withColumn("split", _split_label(label, keys, h, _cut_rows(hashed, keys, ends), quotas))
-
-
-def _cut_rows(hashed: DataFrame, keys: list[str], ends: list[tuple]) -> dict[tuple, list]:
-    """The last row inside each quota: its hash and keys."""
-    if not ends:
-        return {}
-    spots = hashed.sparkSession.createDataFrame(ends, "_y int, _cut int, _r long, _rank long")
-    near = hashed.withColumn("_y", F.col("_y").cast("int")).join(F.broadcast(spots), ["_y", "_r"])
-    order = W.partitionBy("_y", "_cut").orderBy("_h", *keys)
-    # Copies of a key collapse before the ranking.
-    ranked = (
-        near.groupBy("_y", "_cut", "_rank", "_h", *keys)
-        .agg(F.count("*").alias("c"))
-        .withColumn("_upto", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        .filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("c") < F.col("_rank")))
-    )
-    return {(r["_y"], r["_cut"]): [r["_h"], *[r[k] for k in keys]] for r in ranked.collect()}
+    while open_:
+        names, cells = sorted(open_), []
+        for i, c in enumerate(names):
+            _, at, least, most = open_[c]
+            inside = (F.col(group) == c[0]) & F.col(order[at]).between(least[at], most[at])
+            for k in range(at):
+                inside = inside & (F.col(order[k]) == least[k])
+            width = (most[at] - least[at]) // COARSE + 1
+            part = F.expr(f"`{order[at]}` div {width}L")
+            cells.append(F.when(inside, F.struct(F.lit(i).alias("i"), part.alias("part"))))
+        hit = F.filter(F.array(*cells), lambda x: x.isNotNull())
+        counts = rows.select(F.struct(*order).alias("row"), F.inline(hit)).groupBy("i", "part")
+        counts = counts.agg(F.count("*").alias("n"), *ends).collect()
+        for i, c in enumerate(names):
+            rank, at, least, most = open_[c]
+            for r in sorted((r for r in counts if r["i"] == i), key=lambda r: r["part"]):
+                if rank <= r["n"]:
+                    break
+                rank -= r["n"]
+            if not ends:
+                width = (most[at] - least[at]) // COARSE + 1
+                open_[c] = (rank, at, whole(r["part"] * width), whole(r["part"] * width + width - 1))
+                continue
+            least, most = tuple(r["least"]), tuple(r["most"])
+            at = next((k for k in range(len(order)) if least[k] != most[k]), None)
+            if at is None:
+                found[c] = least
+                del open_[c]
+            else:
+                open_[c] = (rank, at, least, most)
+        ends = [F.min("row").alias("least"), F.max("row").alias("most")]
+    return found
 
 
 def _split_label(label: str, keys: list[str], h: Column, cuts: dict, quotas: dict) -> Column:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftspark.functions.display import direction, rounded, shown, sign_label
-from shiftspark.functions.stats import d
+from shiftspark.functions.stats import KS_EXACT_ROWS, d
 from shiftspark.operators import drift, evaluate, policy, prepare, profile, psi, reports
 from shiftspark.operators.select import (
     common_features,
     features_long,
+    melt,
     scenario_filter,
     split_label,
     strict_select,
@@ -21,9 +22,12 @@ from shiftspark.operators.select import (
 from shiftspark.plans import monitoring
 from shiftspark.plans import oracle as o
 from shiftspark.plans.fixtures import (
+    ACCOUNT_SPEC,
+    ACCOUNT_SQL,
     EVENT_SPEC,
     OBS_SPEC,
     SCENARIOS,
+    account_obs,
     event_obs,
     obs,
     obs_two_scores,
@@ -90,21 +94,22 @@ def csv_scenarios(spark, sf):
 @query(
     "score_input",
     *o.OBS,
-    f"""SELECT CASE WHEN prob >= 6e-1 THEN 1 ELSE 0 END AS prediction, count(*) AS n_rows, {o.r('avg_probability', 'avg(prob)')}
-    FROM (SELECT Probability AS prob FROM obs WHERE scenario = 'Drift 1') GROUP BY 1""",
+    f"""SELECT scenario, CASE WHEN Probability >= 6e-1 THEN 1 ELSE 0 END AS prediction, count(*) AS n_rows,
+    {o.r('avg_probability', 'avg(Probability)')} FROM obs GROUP BY 1, 2""",
 )
 def score_input(spark, sf):
-    """A CSV of rows to score with its columns in another order; labels at 0.6."""
-    rows = obs(spark, sf).filter(F.col("scenario") == "Drift 1")
+    """A CSV of all rows to score with its columns in another order; labels at 0.6."""
     path = shared_folder(spark)
-    write_csv(rows.select("Class", *reversed(FEATURES), F.col("Probability").alias("probability")), path)
+    write_csv(obs(spark, sf).select("Class", *reversed(FEATURES), F.col("Probability").alias("probability"), "scenario"), path)
     back = readers.read_labelled(spark, path, SPEC)
-    ready = strict_select(back, [*FEATURES, "probability"])
+    ready = strict_select(back, ["scenario", *FEATURES, "probability"])
     labelled = ready.withColumn("probability", F.col("probability").cast("double")).withColumn(
         "prediction", evaluate.label_at(F.col("probability"), 0.6)
     )
     return rounded(
-        labelled.groupBy("prediction").agg(F.count("*").alias("n_rows"), F.avg("probability").alias("avg_probability"))
+        labelled.groupBy("scenario", "prediction").agg(
+            F.count("*").alias("n_rows"), F.avg("probability").alias("avg_probability")
+        )
     )
 
 
@@ -182,16 +187,16 @@ def feature_label(spark, sf):
 @query(
     "common_features",
     *o.LONG,
-    f"""SELECT feature, count(*) AS n, {o.r('mean', 'avg(value)')} FROM long
-    WHERE scenario = 'Drift 5' AND feature <> 'tax' GROUP BY feature""",
+    f"""SELECT scenario, feature, count(*) AS n, {o.r('mean', 'avg(value)')} FROM long
+    WHERE feature <> 'tax' GROUP BY scenario, feature""",
 )
 def common(spark, sf):
-    """Means of the features that baseline and a batch without ``tax`` share."""
+    """Means of the features that the whole table and batches without ``tax`` share, for all scenarios."""
     table = obs(spark, sf)
-    batch = table.filter(F.col("scenario") == "Drift 5").drop("tax")
-    have = common_features(SPEC, table, batch)
-    long = features_long(batch, SPEC.with_features(*have))
-    return rounded(long.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
+    batches = table.drop("tax")
+    have = common_features(SPEC, table, batches)
+    long = features_long(batches, SPEC.with_features(*have))
+    return rounded(long.groupBy("scenario", "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
 
 
 @query(
@@ -366,6 +371,27 @@ def ks(spark, sf):
     return rounded(drift.ks_test(obs(spark, sf), SPEC))
 
 
+@query(
+    "ks_exact",
+    "RECURSIVE " + ACCOUNT_SQL.strip(),
+    o.KS.replace("'Baseline'", "'BUILDING'"),
+    # The chance of each lattice point on a diagonal, paths that left the band left out.
+    """walk AS (
+      SELECT scenario, feature, n_baseline AS m, n_prod AS n, CAST(round(ks_statistic * n_baseline * n_prod) AS BIGINT) AS w,
+        CAST(0 AS BIGINT) AS s, [1e0] AS a FROM tests
+      UNION ALL
+      SELECT scenario, feature, m, n, w, s + 1, list_transform(range(0, m + 1), lambda i:
+        CASE WHEN abs(i * (m + n) - (s + 1) * m) < w AND i <= s + 1 AND s + 1 - i <= n
+          THEN (coalesce(a[i + 1], 0e0) * (n - s + i) + coalesce(a[i], 0e0) * (m - i + 1)) / (m + n - s) ELSE 0e0 END)
+      FROM walk WHERE s < m + n)""",
+    f"""SELECT scenario, feature, {o.r('ks_statistic', 't.ks_statistic')}, n_baseline, n_prod, {o.r('p_value', '1e0 - a[m + 1]')},
+    1e0 - a[m + 1] < 5e-2 AS drifted FROM tests t JOIN walk k USING (scenario, feature) WHERE s = m + n""",
+)
+def ks_small(spark, sf):
+    """Tests of small samples with the exact p-value."""
+    return rounded(drift.ks_test(account_obs(spark, sf), ACCOUNT_SPEC, exact_rows=KS_EXACT_ROWS))
+
+
 @query(
     "drift_share",
     *o.TESTS,
@@ -615,7 +641,8 @@ def scen_eval(spark, sf):
 CURVE_SQL = """
 curve AS (
   SELECT scenario, s, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
-    sum(pos) OVER (PARTITION BY scenario) AS p, sum(neg) OVER (PARTITION BY scenario) AS n
+    sum(pos) OVER (PARTITION BY scenario) AS p, sum(neg) OVER (PARTITION BY scenario) AS n, pos, neg,
+    lead(pos) OVER w AS pos_next, lead(neg) OVER w AS neg_next, row_number() OVER w AS place
   FROM ranked WINDOW w AS (PARTITION BY scenario ORDER BY s DESC))
 """
 
@@ -626,9 +653,11 @@ curve AS (
     CURVE_SQL,
     f"""SELECT scenario, {o.r('threshold', 's')}, {o.r('fpr', 'CASE WHEN n > 0 THEN fp / CAST(n AS DOUBLE) END')},
     {o.r('tpr', 'CASE WHEN p > 0 THEN tp / CAST(p AS DOUBLE) END')} FROM curve
+    WHERE place = 1 OR pos_next IS NULL OR pos <> pos_next OR neg <> neg_next
     UNION ALL SELECT DISTINCT scenario, NULL, 0e0, 0e0 FROM ranked""",
 )
 def roc(spark, sf):
+    """Without the thresholds at which the curve goes straight on."""
     return rounded(evaluate.roc_curve(obs(spark, sf), SPEC))
 
 
@@ -644,6 +673,20 @@ def pr(spark, sf):
     return rounded(evaluate.pr_curve(obs(spark, sf), SPEC))
 
 
+@query(
+    "pr_curve_thin",
+    *EVALUATED,
+    CURVE_SQL,
+    f"""SELECT scenario, {o.r('threshold', 's')}, {o.r('precision', 'tp / CAST(tp + fp AS DOUBLE)')},
+    {o.r('recall', 'CASE WHEN p > 0 THEN tp / CAST(p AS DOUBLE) ELSE 1e0 END')} FROM curve
+    WHERE place = 1 OR pos_next IS NULL OR pos > 0 OR pos_next > 0
+    UNION ALL SELECT DISTINCT scenario, NULL, 1e0, 0e0 FROM ranked""",
+)
+def pr_thin(spark, sf):
+    """Without the thresholds at which recall stands still."""
+    return rounded(evaluate.pr_curve(obs(spark, sf), SPEC, thin=True))
+
+
 @query(
     "threshold_sweep",
     *o.OBS,
@@ -927,14 +970,24 @@ def split(spark, sf):
     "fitted AS (SELECT "
     + ", ".join(f"avg({f}) AS m_{f}, coalesce(nullif(stddev_pop({f}), 0e0), 1e0) AS s_{f}" for f in FEATURES)
     + " FROM obs WHERE scenario = 'Baseline')",
-    "SELECT scenario, l_orderkey, l_linenumber, "
-    + ", ".join(o.r(f, f"({f} - m_{f}) / s_{f}") for f in FEATURES)
-    + " FROM obs CROSS JOIN fitted",
+    f"""scaled AS ({" UNION ALL ".join(f"SELECT scenario, '{f}' AS feature, l_linenumber, ({f} - m_{f}) / s_{f} AS z FROM obs, fitted" for f in FEATURES)})""",
+    f"""SELECT scenario, feature, l_linenumber, count(z) AS n, {o.r('mean', 'avg(z)')}, {o.r('square', 'avg(z * z)')},
+    {o.r('lo', 'min(z)')}, {o.r('hi', 'max(z)')} FROM scaled GROUP BY scenario, feature, l_linenumber""",
 )
 def scaled(spark, sf):
+    """Scaled by the baseline's mean and deviation; a row for each scenario, feature and line number sums them up."""
     table_ = obs(spark, sf)
     scaler = prepare.fit_scaler(table_.filter(F.col("scenario") == "Baseline"), FEATURES)
-    return rounded(prepare.standardize(table_, scaler).select("scenario", "l_orderkey", "l_linenumber", *FEATURES))
+    z = melt(prepare.standardize(table_, scaler), ["scenario", "l_linenumber"], FEATURES, "z")
+    return rounded(
+        z.groupBy("scenario", "feature", "l_linenumber").agg(
+            F.count("z").alias("n"),
+            F.avg("z").alias("mean"),
+            F.avg(F.col("z") * F.col("z")).alias("square"),
+            F.min("z").alias("lo"),
+            F.max("z").alias("hi"),
+        )
+    )
 
 
 @query(

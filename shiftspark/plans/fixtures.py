@@ -99,6 +99,26 @@ def event_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_columns(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+ACCOUNT_SPEC = ObsSpec(features=("balance", "digits"), baseline="BUILDING")
+
+
+def account_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by market segment: samples small enough for exact tests."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_mktsegment").alias("scenario"),
+        F.col("c_acctbal").cast("double").alias("balance"),
+        (F.col("c_custkey") % 7 + F.col("c_nationkey") % 5).cast("double").alias("digits"),
+    )
+
+
+ACCOUNT_SQL = """
+obs AS (SELECT c_mktsegment AS scenario, CAST(c_acctbal AS DOUBLE) AS balance,
+  CAST(c_custkey % 7 + c_nationkey % 5 AS DOUBLE) AS digits FROM customer),
+long AS (
+  SELECT scenario, 'balance' AS feature, balance AS value FROM obs WHERE balance IS NOT NULL
+  UNION ALL SELECT scenario, 'digits', digits FROM obs WHERE digits IS NOT NULL)
+"""
+
 OBS_SQL = """
 obs AS (
   SELECT *, CASE WHEN Probability > 5e-1 THEN 1 ELSE 0 END AS Prediction FROM (

@@ -1,10 +1,13 @@
 """Hand-computed tables for the edges of every definition."""
 
+import itertools
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from shiftspark.functions import stats
 from shiftspark.functions.bins import bin_of
 from shiftspark.functions.stats import d, grid_index
 from shiftspark.operators import drift, evaluate, policy, prepare, profile, psi
@@ -240,3 +243,33 @@ def test_kernel_density_of_heavy_tails(spark):
     for r in rows:
         want = sum(math.exp(-0.5 * ((r["x"] - v) / h) ** 2) for v in values) / (len(values) * h * math.sqrt(2 * math.pi))
         assert r["density"] == pytest.approx(want, rel=1e-6, abs=1e-12)
+
+
+def paths_p(n1, n2, w):
+    """Share of all orders of n1 + n2 values whose largest |i n2 - j n1| is at least w, in whole numbers."""
+    hit = total = 0
+    for ones in itertools.combinations(range(n1 + n2), n1):
+        i = j = 0
+        worst = 0
+        for s in range(n1 + n2):
+            i, j = (i + 1, j) if s in ones else (i, j + 1)
+            worst = max(worst, abs(i * n2 - j * n1))
+        hit, total = hit + (worst >= w), total + 1
+    return float(Fraction(hit, total))
+
+
+def test_exact_p_value_equals_all_orders_of_small_samples(spark):
+    rows = [(n1, n2, w) for n1, n2 in ((1, 1), (2, 3), (4, 4), (5, 3), (6, 4), (7, 1)) for w in range(0, n1 * n2 + 1)]
+    df = spark.createDataFrame([(w / (a * b), a, b, w) for a, b, w in rows], "d double, a long, b long, w int")
+    for r in df.withColumn("p", stats.ks_pvalue_exact(F.col("d"), F.col("a"), F.col("b"))).collect():
+        assert r["p"] == pytest.approx(paths_p(r["a"], r["b"], r["w"]), abs=1e-14), r
+
+
+def test_exact_p_value_of_equal_samples_equals_the_reflection_sum(spark):
+    """P(D >= h / n) = 2 sum (-1)^(k-1) C(2n, n + kh) / C(2n, n), from tiny to certain."""
+    cases = [(n, h) for n, hs in ((50, (1, 9, 20, 45)), (400, (20, 60, 150, 399))) for h in hs]
+    df = spark.createDataFrame([(h / n, n, h) for n, h in cases], "d double, n long, h int")
+    for r in df.withColumn("p", stats.ks_pvalue_exact(F.col("d"), F.col("n"), F.col("n"))).collect():
+        n, h = r["n"], r["h"]
+        want = sum((-1) ** (k - 1) * math.comb(2 * n, n + k * h) for k in range(1, n // h + 1))
+        assert r["p"] == pytest.approx(min(1.0, float(Fraction(2 * want, math.comb(2 * n, n)))), rel=1e-9)

@@ -1,5 +1,6 @@
 """Split, training, scoring and model choice."""
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -54,6 +55,30 @@ def test_copies_stay_on_one_side(spark):
     assert s.filter("split IS NULL").count() == 0
 
 
+@pytest.mark.parametrize("spread", [1, 1 << 31, -(1 << 33)])
+def test_split_is_exact_where_one_hash_holds_all_rows(spark, spread):
+    """Keys that agree modulo 2^31 share a hash: all rows lie in one range, which only the keys can cut."""
+    df = spark.range(9000).select((F.col("id") * spread).alias("id"), (F.col("id") % 10 == 0).cast("int").alias("Class"))
+    if spread != 1:
+        assert df.select(prepare.row_hash(["id"])).distinct().count() == 1
+    s = prepare.stratified_split(df, "Class", ["id"])
+    got = {(r["Class"], r["split"]): r["count"] for r in s.groupBy("Class", "split").count().collect()}
+    want = prepare.split_quotas({0: 8100, 1: 900})
+    assert got == {(y, n): q for y, qs in want.items() for n, q in zip(("train", "val", "test"), qs)}
+
+
+def test_ranks_are_found_in_any_order_columns(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(g), int(a), int(b)) for g, a, b in zip(rng.integers(0, 2, 3000), rng.integers(-3, 3, 3000), rng.integers(-(1 << 62), 1 << 62, 3000))]
+    rows += [(0, 2, 5)] * 700
+    df = spark.createDataFrame(rows, "g int, a long, b long")
+    wanted = {(g, r): r for g in (0, 1) for r in (1, 17, 700, 1400)}
+    got = prepare.cut_rows(df, "g", ["a", "b"], wanted, (-10, 10))
+    for (g, r), row in got.items():
+        assert row == sorted(x[1:] for x in rows if x[0] == g)[r - 1]
+    assert set(got) == set(wanted)
+
+
 def test_hash_split_is_about_right(table):
     n = {r["split"]: r["count"] for r in prepare.hash_split(table, KEYS).groupBy("split").count().collect()}
     assert abs(n["train"] / 2000 - 0.6) < 0.05

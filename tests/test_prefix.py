@@ -66,6 +66,7 @@ def test_bucket_number_never_changes_a_table(spark):
         "ks": lambda l: drift.ks_test(df, OBS_SPEC, layout=l),
         "quantiles": lambda l: profile.exact_quantiles(df, OBS_SPEC, {"a": 0.01, "b": 0.37}, l),
         "roc": lambda l: evaluate.roc_curve(df, OBS_SPEC, l),
+        "thin pr": lambda l: evaluate.pr_curve(df, OBS_SPEC, l, thin=True),
         "pr": lambda l: evaluate.pr_curve(df, OBS_SPEC, l),
         "evaluate": lambda l: evaluate.evaluate(df, OBS_SPEC, l),
         "histogram": lambda l: profile.density_histogram(df, OBS_SPEC, layout=l),
@@ -136,3 +137,34 @@ def test_a_hot_key_meets_its_row_in_all_parts(spark):
     small = spark.createDataFrame([("hot", 1), ("b", 2), ("c", 3)], "k string, v int")
     joined = attach(big, small, ["k"], 8)
     assert joined.columns == ["k", "id", "v"] and joined.groupBy("v").count().orderBy("v").collect() == [(1, 900), (2, 100)]
+
+
+@pytest.mark.parametrize("n", [1, 3, 64])
+def test_thinned_curve_has_the_same_area_and_no_straight_points(spark, n):
+    """Runs of single positives, of single negatives and of pairs make long straight pieces, across many buckets."""
+    rng = np.random.default_rng(7)
+    y, s = [], []
+    for i, run in enumerate(rng.integers(1, 30, 60)):
+        kind = i % 3
+        for _ in range(run):
+            at = float(len(set(s)))
+            y += [[1], [0], [0, 1]][kind]
+            s += [at] * len([[1], [0], [0, 1]][kind])
+    df = spark.createDataFrame([("Baseline", a, b, 0) for a, b in zip(y, s)], "scenario string, Class int, Probability double, Prediction int")
+    spec = ObsSpec(features=())
+    layout = prefix.size_up(df, "scenario", ["Probability"], n_buckets=n)
+
+    def points(curve, x, y):
+        return sorted((r[x], r[y]) for r in curve.collect())
+
+    area = lambda p: sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(p, p[1:]))
+    full, thin = (points(evaluate.roc_curve(df, spec, layout, thin=t), "fpr", "tpr") for t in (False, True))
+    assert set(thin) < set(full) and len(thin) < 70 and area(thin) == pytest.approx(area(full), abs=1e-12)
+    # every full point lies on the thinned curve
+    P, N = sum(y), len(y) - sum(y)
+    for x, t in full:
+        a = max(p for p in thin if p <= (x, t))
+        b = min(p for p in thin if p >= (x, t))
+        assert abs((b[0] - a[0]) * N * (t - a[1]) * P - (x - a[0]) * N * (b[1] - a[1]) * P) < 1e-6
+    recalls = lambda t: {r["recall"] for r in evaluate.pr_curve(df, spec, layout, thin=t).collect()}
+    assert recalls(True) == recalls(False)
