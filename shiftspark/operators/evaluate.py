@@ -75,8 +75,9 @@ def outcome_counts(obs: DataFrame, spec: ObsSpec) -> DataFrame:
     return rows.groupBy("scenario", "score", "y", "p").agg(F.count("*").alias("n"))
 
 
-def ranked_outcomes(counts: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """The counts with the running negatives up to each score."""
+def ranked_outcomes(counts: DataFrame, cuts: dict[str, list[float]], by: str | None = None) -> DataFrame:
+    """The counts with the running negatives up to each score; ``by`` is a
+    further key, whose values have their own cuts."""
     ranked = F.col("score").isNotNull()
     zero = F.lit(0).cast("long")
     counts = counts.withColumns(
@@ -85,8 +86,9 @@ def ranked_outcomes(counts: DataFrame, cuts: dict[str, list[float]]) -> DataFram
             "neg": F.when(ranked & (F.col("y") == 0), F.col("n")).otherwise(zero),
         }
     )
-    placed = with_bucket(counts, "score", cuts)
-    return running_sums(placed, "score", [Running("neg_upto", "neg", ("scenario",), peers=True)])
+    placed = with_bucket(counts, "score", cuts, by=by)
+    keys = (by, "scenario") if by else ("scenario",)
+    return running_sums(placed, "score", [Running("neg_upto", "neg", keys, peers=True)])
 
 
 def auc_sum() -> Column:
@@ -112,14 +114,31 @@ def evaluate(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None) -> Dat
     return metric_records(outcome_counts(obs, spec), score_cuts(obs, spec, layout))
 
 
-def metric_records(counts: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """The records from counted outcomes."""
+def evaluate_models(obs: DataFrame, spec: ObsSpec, models: dict[str, tuple[str, str]]) -> DataFrame:
+    """One metric record per scenario and model, for any number of models over
+    one pass; ``models`` names each one's score and prediction column.
+
+    The outcomes of all models are turned long and counted in one shuffle."""
+    scores = list(dict.fromkeys(score for score, _ in models.values()))
+    cuts = size_up(obs, spec.scenario, scores).cuts
+    cells = [
+        F.struct(F.lit(m).alias("model"), known(s).alias("score"), F.col(p).cast("int").alias("p"))
+        for m, (s, p) in models.items()
+    ]
+    rows = obs.select(spec.scenario_column(), F.col(spec.label).cast("int").alias("y"), F.inline(F.array(*cells)))
+    counts = rows.groupBy("model", "scenario", "score", "y", "p").agg(F.count("*").alias("n"))
+    return metric_records(counts, {m: cuts[s] for m, (s, _) in models.items()}, by="model")
+
+
+def metric_records(counts: DataFrame, cuts: dict[str, list[float]], by: str | None = None) -> DataFrame:
+    """The records from counted outcomes, for each value of ``by`` if there is one."""
+    keys = [by, "scenario"] if by else ["scenario"]
     y, p, n = F.col("y"), F.col("p"), F.col("n")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0).cast("long"))
     labelled = F.sum(F.when(y.isNotNull(), n))
     sums = (
-        ranked_outcomes(counts, cuts)
-        .groupBy("scenario")
+        ranked_outcomes(counts, cuts, by)
+        .groupBy(*keys)
         .agg(
             F.sum("n").alias("n_rows"),
             (total(y == 1).cast("double") / labelled).alias("positive_rate"),
@@ -130,7 +149,7 @@ def metric_records(counts: DataFrame, cuts: dict[str, list[float]]) -> DataFrame
             auc_sum().alias("auc_roc"),
         )
     )
-    return with_prf(sums).select("scenario", "n_rows", "positive_rate", *CELLS, *METRICS)
+    return with_prf(sums).select(*keys, "n_rows", "positive_rate", *CELLS, *METRICS)
 
 
 def roc_curve(obs: DataFrame, spec: ObsSpec, layout: Layout | None = None, thin: bool = True) -> DataFrame:

@@ -204,16 +204,21 @@ def threshold_usage(rows: DataFrame, tests: DataFrame, psi: DataFrame, spec: Obs
     return out
 
 
-def champion_challenger(champion: DataFrame, challenger: DataFrame, gain: float = PROMOTION_F1_GAIN) -> DataFrame:
-    """Promote where F1 gains at least ``gain`` and AUC does not fall."""
-    c = champion.select("scenario", F.col("f1_score").alias("champion_f1"), F.col("auc_roc").alias("champion_auc"))
-    n = challenger.select(
-        "scenario", F.col("f1_score").alias("challenger_f1"), F.col("auc_roc").alias("challenger_auc")
+def champion_challenger(records: DataFrame, gain: float = PROMOTION_F1_GAIN) -> DataFrame:
+    """Promote where F1 gains at least ``gain`` and AUC does not fall.
+
+    ``records`` has one row per scenario and model, 'champion' or 'challenger'."""
+    of = lambda model, metric: F.max(F.when(F.col("model") == model, F.col(metric)))
+    both = records.groupBy("scenario").agg(
+        of("champion", "f1_score").alias("champion_f1"),
+        of("champion", "auc_roc").alias("champion_auc"),
+        of("challenger", "f1_score").alias("challenger_f1"),
+        of("challenger", "auc_roc").alias("challenger_auc"),
     )
     f1_gain = F.col("challenger_f1") - F.col("champion_f1")
     auc_gain = F.col("challenger_auc") - F.col("champion_auc")
     promote = (f1_gain >= d(gain)) & (auc_gain >= d(0))
-    return c.join(n, "scenario").select(
+    return both.select(
         "*", f1_gain.alias("f1_gain"), auc_gain.alias("auc_gain"), F.coalesce(promote, F.lit(False)).alias("promote")
     )
 

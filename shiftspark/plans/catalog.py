@@ -71,15 +71,16 @@ def query(name: str, *sql_parts: str) -> Callable[[Query], Query]:
     {o.r('sum_price', 'sum(price)', 2)}, sum(Class) :: BIGINT AS n_positive FROM obs GROUP BY scenario""",
 )
 def csv_scenarios(spark, sf):
-    """Batches written as CSV folders and read back by name; the last one
-    lacks a column."""
+    """Batches written as CSV folders and read back in one scan; the last one
+    has its columns in another order and lacks one."""
     table = obs(spark, sf).select("scenario", *FEATURES, "Class", "Prediction", "Probability")
     base = shared_folder(spark)
     last = SCENARIOS[-1]
     table.filter(F.col("scenario") != last).write.partitionBy("scenario").option("header", True).csv(f"{base}/a")
-    write_csv(table.filter(F.col("scenario") == last).drop("tax", "scenario"), f"{base}/b")
-    paths = {n: f"{base}/a/scenario={n}" for n in ["Baseline", *SCENARIOS[:-1]]} | {last: f"{base}/b"}
-    back = readers.read_batches(spark, paths, SPEC)
+    rest = table.filter(F.col("scenario") == last).select(*reversed([c for c in table.columns if c not in ("tax", "scenario")]))
+    write_csv(rest, f"{base}/b/scenario={last}")
+    name = F.regexp_extract(F.url_decode("_metadata.file_path"), "scenario=([^/]+)/", 1)
+    back = readers.read_files(spark, f"{base}/*/*/*.csv", SPEC, name=name)
     return rounded(
         back.groupBy("scenario").agg(
             F.count("*").alias("n_rows"),
@@ -920,11 +921,9 @@ two AS (SELECT *, (qty + 5e0 * l_linenumber) / 1.01e2 AS Probability2,
     FROM metrics c JOIN metrics2 n ON n.scenario = c.scenario""",
 )
 def gate(spark, sf):
-    from dataclasses import replace
-
-    rows = obs_two_scores(spark, sf)
-    second = replace(SPEC, score="Probability2", prediction="Prediction2")
-    return rounded(policy.champion_challenger(evaluate.evaluate(rows, SPEC), evaluate.evaluate(rows, second)))
+    """Both models evaluated over one pass of the rows."""
+    models = {"champion": ("Probability", "Prediction"), "challenger": ("Probability2", "Prediction2")}
+    return rounded(policy.champion_challenger(evaluate.evaluate_models(obs_two_scores(spark, sf), SPEC, models)))
 
 
 # ------------------------------------------------------------- preparation

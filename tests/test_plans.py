@@ -1,11 +1,12 @@
 """Shape of the executed plans: one scan, no products, only the needed columns."""
 
 import re
+from dataclasses import replace
 
 import pytest
 
-from shiftspark.operators import drift, evaluate, prefix, profile, psi
-from shiftspark.plans.fixtures import OBS_SPEC, obs
+from shiftspark.operators import drift, evaluate, policy, prefix, profile, psi
+from shiftspark.plans.fixtures import OBS_SPEC, obs, obs_two_scores
 from tests.conftest import SMALL
 
 
@@ -39,6 +40,18 @@ def test_one_scan_and_no_product(spark, layout, name):
     assert "Python" not in plan
 
 
+def test_models_are_evaluated_over_one_scan_and_one_count(spark):
+    models = {"one": ("Probability", "Prediction"), "two": ("Probability2", "Prediction2"), "again": ("Probability", "Prediction2")}
+    rows = obs_two_scores(spark, SMALL)
+    records = evaluate.evaluate_models(rows, OBS_SPEC, models)
+    plan = executed(policy.champion_challenger(records))
+    assert plan.count("FileScan") == 1 and "NestedLoopJoin" not in plan
+    for name, (score, prediction) in models.items():
+        alone = evaluate.evaluate(rows, replace(OBS_SPEC, score=score, prediction=prediction))
+        own = records.filter(records.model == name).drop("model")
+        assert sorted(map(str, own.collect())) == sorted(map(str, alone.select(own.columns).collect()))
+
+
 def test_only_needed_columns_are_read(spark):
     plan = executed(evaluate.confusion(obs(spark, SMALL), OBS_SPEC))
     columns = re.search(r"ReadSchema: struct<(.*?)>", plan)

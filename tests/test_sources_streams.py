@@ -1,5 +1,6 @@
 """Readers, the stored profile and the streaming checks."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,28 @@ def test_csv_columns_in_any_order_and_missing(spark, tmp_path):
         readers.read_labelled(spark, str(tmp_path / "two.csv"), AB)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_two_hundred_files_of_changing_columns_in_one_scan(spark, tmp_path, monkeypatch, small):
+    """Columns in any order, quoted names, absent columns, further columns whose text names a feature, a file without any."""
+    monkeypatch.setattr(readers, "BROADCAST_BYTES", (1 << 20) if small else 0)
+    rng, want = np.random.default_rng(8), set()
+    for i in range(200):
+        cols = [c for c in ("a", "b", "Class", "note") if rng.random() < 0.7 or c == "Class"]
+        rng.shuffle(cols)
+        rows = [{"a": i + 0.5, "b": -float(j), "Class": j % 2, "note": "a"} for j in range(2)]
+        head = ",".join(f'"{c}"' if i % 3 == 0 else c for c in cols)
+        lines = [",".join("" if c == "b" and i % 50 == 0 else str(r[c]) for c in cols) for r in rows]
+        (tmp_path / f"batch {i}.csv").write_text("\n".join([head, *lines]) + "\n")
+        for r in rows:
+            get = lambda c: r[c] if c in cols and not (c == "b" and i % 50 == 0) else None
+            want.add((f"batch {i}", get("a"), get("b"), r["Class"], get("note")))
+    (tmp_path / "other.csv").write_text("x,y\n1,2\n")
+    t = readers.read_files(spark, f"{tmp_path}/*.csv", AB, ("note",))
+    got = [(r["scenario"], r["a"], r["b"], r["Class"], r["note"]) for r in t.collect()]
+    assert len(got) == 400 and set(got) == want
+    assert t._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan") == 1
+
+
 def test_folder_scan_names_batches_by_file(spark, tmp_path):
     for name, v in (("drift 1", 1), ("drift_2", 2)):
         (tmp_path / f"{name}.csv").write_text(f"a,b\n{v},0\n")
