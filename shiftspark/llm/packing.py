@@ -19,36 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftspark.llm.bpe import SPLIT_BYTES, Units, encoded
-from shiftspark.llm.common import kept, ragged, slices
+from shiftspark.llm.common import kept, raw, slices
+from shiftspark.llm.words import WordTable
 
-#: Open windows of a task; open windows merged in one group; units that a task's encoder holds.
+#: Open windows of a task; open windows merged in one group; words that a task's table holds.
 OPEN, MERGED, HELD = 64, 8192, 1 << 19
 END_ID = 1
 
 
-class Encoder:
-    """Ids of texts, each distinct unit encoded once."""
-
-    def __init__(self, path: str):
-        self.path, self.own = path, Units()
-        self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.own.units) > HELD:
-            self.__init__(self.path)
-        at, n = self.own.add_all(texts)
-        new = list(self.own.units)[len(self.lengths) :]
-        if new:
-            ids, lengths = encoded(self.path, new)
-            self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
-        starts = np.cumsum(self.lengths) - self.lengths
-        flat = self.ids[ragged(starts[at], self.lengths[at])]
-        before = np.concatenate([[0], np.cumsum(self.lengths[at])])
-        ends = np.cumsum(n)
-        return [flat[before[e - k] : before[e]] for e, k in zip(ends, n)]
-
-
 def best_fit(lengths: list[int], size: int, limit: int) -> tuple[list[tuple[int, int]], list[int]]:
     """(window, offset) of each item and the windows still open, with no more than `limit` open at once."""
     packer = Windows(size, limit)
@@ -88,11 +66,12 @@ def placed(docs: DataFrame, path: str, size: int, with_ids: bool) -> DataFrame:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "win", "offset", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows, part = Encoder(path), Windows(size, OPEN), TaskContext.get().partitionId()
-        for b in slices(batches, limit=SPLIT_BYTES):
-            out = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+        table, windows, part = WordTable(path, HELD), Windows(size, OPEN), TaskContext.get().partitionId()
+        for b in slices(batches):
+            out, (flat, counts) = [], table.encode(*raw(b.column("text")))
+            ends = np.cumsum(counts)
+            for doc_id, end, n in zip(b.column("doc_id").to_pylist(), ends.tolist(), counts.tolist()):
+                ids = np.append(flat[end - n : end], np.uint32(END_ID)).astype("<u4")
                 for start in range(0, len(ids), size):
                     piece = ids[start : start + size]
                     win, offset = (windows.whole(), 0) if len(piece) == size else windows.place(len(piece))
