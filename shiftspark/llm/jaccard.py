@@ -11,8 +11,9 @@ nodes, and only links between different classes are looked for.
   order is cut into FRAGMENTS ranges: the common n-grams of a range are counted by themselves and summed per pair.
 * Only components are asked for. First each row of a prefix list is verified with the NEIGHBOURS rows before it and the
   list's first HUBS; then, in longer lists
-  that hold more than one component, all pairs between different components. Pairs within a component need no test, so that a group of k near copies costs
-  about k pairs instead of k * k / 2. No candidate is dropped otherwise: no cap on lists or partners.
+  that hold more than one component, all pairs between different components whose signatures, bitmaps folded to LEAST_BITS, don't rule them out.
+  Pairs within a component need no test, so that a group of k near copies costs about k pairs instead of k * k / 2. No candidate is dropped otherwise:
+  no cap on lists or partners.
 """
 
 from __future__ import annotations
@@ -78,28 +79,37 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def signature(bits: bytes) -> np.ndarray:
+    """A bitmap folded to LEAST_BITS, as uint64: two of them differ in no more bits than the bitmaps."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, LEAST_BITS // 64), 0)
+
+
 def signed(h: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(h).view(np.int64))
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """Of each text its id, set size, class and bitmap; besides, n-grams that are in LOCAL or more texts of a slice, with their number there."""
-    names = ["doc_id", "n", "cls", "gram", "bits"]
+    """Of each text its id, set size, class, bitmap and its signature; besides, n-grams that are in LOCAL or more texts of a slice, with their
+    number there."""
+    names = ["doc_id", "n", "cls", "gram", "bits", "sig"]
+    kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             grams, bounds, cls = doc_sets(b, size)
-            bits = pa.array([bitmap(grams[i:j]) if j > i else None for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds)), signed(cls), pa.nulls(len(cls), pa.int64()), bits], names)
+            bits = [bitmap(grams[i:j]) if j > i else None for i, j in zip(bounds[:-1], bounds[1:])]
+            sig = pa.array([signature(x).view(np.int64) if x else None for x in bits], kind)
+            cols = [b.column("doc_id"), pa.array(np.diff(bounds)), signed(cls), pa.nulls(len(cls), pa.int64()), pa.array(bits, pa.binary()), sig]
+            yield pa.RecordBatch.from_arrays(cols, names)
             _, one = np.unique(cls, return_index=True)
             take = np.zeros(len(cls), bool)
             take[one] = True
             found, n = np.unique(grams[np.repeat(take, np.diff(bounds))], return_counts=True)
             found, n = found[n >= LOCAL], n[n >= LOCAL]
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(n), none, signed(found), pa.nulls(len(n), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, pa.array(n), none, signed(found), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), kind)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, gram long, bits binary")
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, gram long, bits binary, sig array<long>")
 
 
 def prefixes(docs: DataFrame, size: int, frequent: Bits, percent: int) -> DataFrame:
@@ -201,6 +211,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     own = kept(profiles(docs, size))
     frequent = Bits(own.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT), "gram")
     bitmaps = own.filter("n > 0 and gram is null").select("cls", "n", "bits").dropDuplicates(["cls"])
+    signatures = own.filter("n > 0 and gram is null").select("cls", "sig").dropDuplicates(["cls"])
     own = own.filter("gram is null").select("doc_id", "n", "cls")
 
     most = lambda a, n_a, b, n_b: 1 + F.least(n_a - a - 1, n_b - b - 1)
@@ -225,14 +236,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     # all pairs of the shorter lists are tested by now
     near = near.filter("long").select("gram", "cls", "n", "pos").join(so_far.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = near.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gram")
-    near = kept(near.join(mixed, "gram"))
+    near = kept(near.join(mixed, "gram").join(signatures, "cls"))
     # components of a list of which not even the best rows fit are left out
     groups = near.groupBy("gram", "root").agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("least"))
     group = lambda r: groups.select("gram", F.col("root").alias(r), F.col("rest").alias(f"rest_{r}"), F.col("least").alias(f"least_{r}"))
     able = (100 + percent) * F.least("rest_x", "rest_y").cast("long") >= percent * (F.col("least_x") + F.col("least_y")).cast("long")
     x = group("x").join(group("y"), "gram").filter((F.col("x") < F.col("y")) & able).select("gram", "x", "y")
-    side = lambda r, c: near.select("gram", F.col("root").alias(r), F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"pos_{c}"))
-    cross = x.join(side("x", "p"), ["gram", "x"]).join(side("y", "q"), ["gram", "y"]).filter(fits(*map(F.col, ("pos_p", "n_p", "pos_q", "n_q"))))
+    side = lambda r, c: near.select("gram", F.col("root").alias(r), F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"pos_{c}"), F.col("sig").alias(f"sig_{c}"))
+    # the same bound as that of whole bitmaps, as a condition of the join: what it rules out never becomes a row
+    away = reduce(lambda v, w: v + w, (F.bit_count(F.col("sig_p")[i].bitwiseXOR(F.col("sig_q")[i])) for i in range(LEAST_BITS // 64)))
+    n_both = F.col("n_p") + F.col("n_q")
+    alike = (100 + percent) * F.floor((n_both - away) / 2) >= percent * n_both.cast("long")
+    cross = x.join(side("x", "p"), ["gram", "x"]).join(side("y", "q"), ["gram", "y"]).filter(fits(*map(F.col, ("pos_p", "n_p", "pos_q", "n_q"))) & alike)
     cross = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).filter("a <> b").distinct().join(chain, ["a", "b"], "left_anti")
     more = kept(verified(kept(cross), docs, bitmaps, size, percent))
 
