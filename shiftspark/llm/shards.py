@@ -1,6 +1,6 @@
 """Shards of near equal bytes by sampled splitters.
 
-Rows are ordered by a hash of their text, then of their id. A size-weighted sample of that key is drawn; its quantiles cut the order
+Rows are ordered by a hash of their text, then of their id and, among repeated rows, of their place in the stored table. A size-weighted sample of that key is drawn; its quantiles cut the order
 into many ranges. The exact bytes of every range are counted, and overfull ranges are cut again by a sample of their own: between
 texts where possible, within a group of equal texts only if the group alone overfills a range. Consecutive ranges then make up the
 shards, by exact running bytes. Slots are a range's first slot plus the place within the range, so no task sorts a whole shard.
@@ -20,6 +20,8 @@ from shiftspark.llm.common import kept
 
 #: Ranges aimed at, and sampled keys for each: what the driver gathers is bounded by their product.
 RANGES, PER_RANGE = 4096, 16
+#: Bits of the second key that tell repeated rows apart.
+REPEATED_BITS = 20
 #: A range is overfull from this many times its fair share.
 OVERFULL = 2
 
@@ -73,15 +75,17 @@ def byte_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     size: UTF-8 bytes of the text and 1; a null text has no bytes and checksum 0. slot: 0, 1, ... within each shard. Equal texts lie
     together but where a group overfills a range or a shard's end falls into it. Null ids are keys like any other, repeated rows are
-    placed one by one, other columns are left aside. An empty table gives an empty result.
+    placed one by one and may lie in several shards, other columns are left aside. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    own, repeat = F.xxhash64(F.col("doc_id").cast("long")), F.xxhash64(F.monotonically_increasing_id())
+    mask = (1 << REPEATED_BITS) - 1
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
-        F.xxhash64(F.col("doc_id").cast("long")).alias("sub"),
+        own.bitwiseAND(F.lit(~mask)).bitwiseOR(repeat.bitwiseAND(F.lit(mask))).alias("sub"),
     )
     rows = kept(rows)
     total = rows.agg(F.sum("size")).first()[0] or 0

@@ -26,6 +26,9 @@ from shiftspark.llm.common import kept
 #: Rows of a shard, about; rows of a leaf; queries in a block; sampled rows that the cells are cut by, and least of them in a cell.
 SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES, SAMPLE_ROWS, CELL_SAMPLE = 4096, 64, 8192, 8192, 16
 
+#: Largest component when scaled.
+LARGEST = 1 << 61
+
 
 class Tree:
     """Boxes of all nodes and rows in leaf order; node i has children 2i + 1 and 2i + 2 if it is split."""
@@ -52,7 +55,8 @@ class Tree:
         """For each query and node, what no inner product in the node's box exceeds."""
         q = queries.astype(float)
         up = np.maximum(q, 0) @ self.hi.T + np.minimum(q, 0) @ self.lo.T
-        return up + np.abs(up) * 1e-9 + 1e-6
+        # rounding grows with the terms, which may cancel each other
+        return up + np.abs(q) @ np.maximum(np.abs(self.lo), np.abs(self.hi)).T * 1e-9 + 1e-6
 
     def search(self, query: np.ndarray, own_id: int, bound: np.ndarray, k: int, least: float) -> list[tuple[int, int]]:
         """The up to k best (score, -id) of other ids that reach `least`, the k-th score so far; an id has its best score only."""
@@ -87,20 +91,27 @@ class Tree:
         return best
 
 
-def exact_rows(vectors: list) -> np.ndarray:
-    """Integer vectors as doubles if all inner products stay exact in them, else as integers."""
-    rows = np.array(vectors, np.int64).reshape(len(vectors), -1)
-    most = float(np.abs(rows).max()) if rows.size else 0.0
-    return rows.astype(float) if most * most * max(1, rows.shape[1]) < 2**52 else rows
+def int_rows(vectors: list) -> np.ndarray:
+    return np.array(vectors, np.int64).reshape(len(vectors), -1)
+
+
+def exact_pair(block: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in a type in which all their inner products are exact: doubles, 64-bit integers, or Python integers."""
+    most = [max((abs(int(f())) for f in (x.max, x.min)), default=0) if x.size else 0 for x in (block, rows)]
+    largest = most[0] * most[1] * max(1, rows.shape[1])
+    kind = float if largest < 1 << 52 else np.int64 if largest < 1 << 62 else object
+    return block.astype(kind), rows.astype(kind)
 
 
 def whole_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v, dim): each component x as floor(scale * x). Rows with a null id, a null or empty vector or a component that is null, not
-    finite or 2^31 or more when scaled take no part; equal rows count once."""
+    """(vec_id, v, dim): each component x as floor(scale * x). Rows with a null id, a null or empty vector or a component that is null or not
+    finite take no part; equal rows count once. A component beyond LARGEST is an error, as is a score that is no long."""
     fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    fine &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float(1 << 31)))
+    fine &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    large = F.raise_error(F.lit(f"a component is beyond {LARGEST} steps of 1/{scale}: its scores would not fit")).cast("long")
+    whole = lambda x: F.floor(x.cast("double") * scale).cast("long")
+    v = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double") * scale) < float(LARGEST), whole(x)).otherwise(large))
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size("embedding").alias("dim")).distinct()
 
 
@@ -159,12 +170,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     def run(key: tuple, asked: pa.Table, shard: pa.Table) -> pa.Table:
         found: list[tuple[int, int, int]] = []
         if asked.num_rows and shard.num_rows:
-            tree = Tree(shard.column("vec_id").to_numpy(), exact_rows(shard.column("v").to_pylist()))
-            block = exact_rows(asked.column("asked").to_pylist())
+            tree = Tree(shard.column("vec_id").to_numpy(), int_rows(shard.column("v").to_pylist()))
+            block = int_rows(asked.column("asked").to_pylist())
             bound = tree.bounds(block)
-            least = asked.column("least").to_numpy()
-            if tree.rows.dtype != block.dtype or float(np.abs(block).max(initial=0)) * float(np.abs(tree.rows).max(initial=0)) * block.shape[1] >= 2**52:
-                tree.rows, block = tree.rows.astype(np.int64), block.astype(np.int64)
+            least = [float("-inf") if x is None else x for x in asked.column("least").to_pylist()]
+            block, tree.rows = exact_pair(block, tree.rows)
             for i, q in enumerate(asked.column("query_id").to_pylist()):
                 if bound[i, 0] >= least[i]:
                     found += [(q, -vec, score) for score, vec in tree.search(block[i], q, bound[i], k, least[i])]
@@ -175,16 +185,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         left = asked.select(*(F.col(c).alias(f"q_{c}") for c in on), "query_id", F.col("v").alias("asked"), "least")
         return left.groupBy(*(f"q_{c}" for c in on)).cogroup(against.groupBy(*on)).applyInArrow(run, kind)
 
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v", "dim", F.col("shard").alias("shard"), F.lit(float("-inf")).alias("least"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "v", "dim", F.col("shard").alias("shard"), F.lit(None).cast("long").alias("least"))
     home = kept(searched(asked, rows, ["shard"]))
     best = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     once = lambda df: df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    kth = once(home).filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("kth"))
+    kth = once(home).filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
 
     shards = kept(rows.groupBy("dim", "shard").agg(F.count("*").alias("n")))
     blocks = F.greatest(F.lit(1), F.ceil(F.lit(queries.count() / BLOCK_QUERIES))).cast("long")
     asked = asked.select("query_id", "v", "dim", F.col("shard").alias("own")).join(kth, "query_id", "left")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks)).withColumn("least", F.coalesce("kth", F.lit(float("-inf"))))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks)).withColumnRenamed("kth", "least")
     away = asked.join(shards.select("dim", "shard"), "dim").filter("shard <> own")
     many = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     others = searched(away, many, ["shard", "block"])

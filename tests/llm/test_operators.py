@@ -300,6 +300,35 @@ def test_top_k_equals_brute_force(spark, none):
     assert top_k(df.filter("false"), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_a_row_repeated_many_times_is_spread_over_the_shards(spark):
+    """A third of the rows, and more of the bytes, are one row."""
+    one = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("again " * 80).alias("text"))
+    rows = one.union(spark.range(100, 6100).select("id", F.concat(F.lit("text "), "id"))).repartition(4)
+    found = byte_shards(rows, 8).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count_distinct("slot").alias("slots"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    sizes = [r["bytes"] for r in found]
+    assert len(found) == 8 and max(sizes) < 1.05 * min(sizes)
+    assert all(r["slots"] == r["n"] == r["last"] + 1 for r in found)
+
+
+def test_top_k_of_large_components_is_exact(spark):
+    """Products beyond 2^52 and 2^62, terms that cancel, and a component whose scores can't fit."""
+    rows = [(0, [1.0, 0.0]), (1, [9e6, 0.0]), (2, [1.0, 1.0]), (3, [-9e6, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in top_k(df, F.col("vec_id") == 0, 2).orderBy("rank").collect()] == [(0, 1, 1, 256 * 2304000000), (0, 2, 2, 256 * 256)]
+    rng = np.random.default_rng(9)
+    vectors = [(i, [float(x) for x in rng.integers(-4_000_000, 4_000_000, 4)]) for i in range(300)]
+    vectors += [(300 + i, [4e6 + i, -4e6, 1.0 * i, 0.0]) for i in range(20)]
+    whole = {i: [int(256 * x) for x in v] for i, v in vectors}
+    want = set()
+    for q in (0, 50, 100, 150):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:5]
+        want |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)}
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(r) for r in top_k(df, (F.col("vec_id") % 50 == 0) & (F.col("vec_id") < 200), 5).collect()} == want
+    with pytest.raises(Exception, match="would not fit"):
+        top_k(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 1).collect()
+
+
 def test_top_k_counts_an_id_with_several_vectors_once(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [9.0, 0.0]), (1, [8.0, 0.0]), (2, [7.0, 0.0]), (3, [6.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in top_k(few, F.col("vec_id") == 0, 2).collect()) == [(0, 1, 1, 9 * 256 * 256), (0, 2, 2, 7 * 256 * 256)]
