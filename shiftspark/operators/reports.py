@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shiftspark.functions.display import shown, slug
@@ -89,6 +90,10 @@ def monitoring_report(decided: DataFrame, averages: DataFrame, policy: RatioPoli
     )
 
 
-def preview(scored: DataFrame, rows: int = 100) -> DataFrame:
-    """The first rows of a scored table."""
-    return scored.limit(rows)
+def preview(scored: DataFrame, order: list[str], rows: int = 100) -> DataFrame:
+    """The first rows of a scored table in the given order, with their place and the number of all rows."""
+    total = scored.agg(F.count("*").alias("n")).scalar()
+    first = scored.orderBy(*order).limit(rows)
+    # As many rows as are shown: one task numbers them.
+    place = F.row_number().over(W.orderBy(*order))
+    return first.select(place.alias("place"), "*").withColumn("n_total", total)

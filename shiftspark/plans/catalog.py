@@ -931,10 +931,7 @@ def gate(spark, sf):
 SPLIT_HASH = o.row_hash_sql(KEYS)
 
 
-@query(
-    "strat_split",
-    *o.OBS,
-    f"""hashed AS (SELECT *, {SPLIT_HASH} AS h FROM obs WHERE scenario = 'Baseline'),
+SPLIT_CTES = f"""hashed AS (SELECT *, {SPLIT_HASH} AS h FROM obs WHERE scenario = 'Baseline'),
     sizes AS (SELECT Class, count(*) AS n FROM hashed GROUP BY Class),
     total AS (SELECT CAST(ceil(4e-1 * sum(n)) AS BIGINT) AS out_n, CAST(sum(n) AS BIGINT) AS n FROM sizes),
     first_cut AS (
@@ -950,7 +947,12 @@ SPLIT_HASH = o.row_hash_sql(KEYS)
         sum(floor(ceil(5e-1 * out_n) * out_c / CAST(out_n AS DOUBLE))) OVER () AS given FROM held),
     quotas AS (SELECT Class, n - out_c AS train_c,
       n - CAST(low + CASE WHEN k <= test_n - given THEN 1 ELSE 0 END AS BIGINT) AS upto_val FROM second_cut),
-    placed AS (SELECT h.*, row_number() OVER (PARTITION BY h.Class ORDER BY h, {', '.join(KEYS)}) AS place FROM hashed h)""",
+    placed AS (SELECT h.*, row_number() OVER (PARTITION BY h.Class ORDER BY h, {', '.join(KEYS)}) AS place FROM hashed h)"""
+
+@query(
+    "strat_split",
+    *o.OBS,
+    SPLIT_CTES,
     """SELECT p.Class, CASE WHEN place <= train_c THEN 'train' WHEN place <= upto_val THEN 'val' ELSE 'test' END AS split,
       count(*) AS n, CAST(sum(h) AS BIGINT) AS sum_hash, CAST(sum(l_orderkey) AS BIGINT) AS sum_key
     FROM placed p JOIN quotas q ON q.Class = p.Class GROUP BY 1, 2""",
