@@ -27,10 +27,13 @@ from shiftspark.plans.fixtures import (
     EVENT_SPEC,
     OBS_SPEC,
     SCENARIOS,
+    WIDE_SPEC,
+    WIDE_SQL,
     account_obs,
     event_obs,
     obs,
     obs_two_scores,
+    wide_obs,
 )
 from shiftspark.sources import readers
 from shiftspark.sources.profile_store import Profile, grow_profile, read_profile, write_profile
@@ -481,6 +484,32 @@ query("top10_ks", *o.TESTS, _top_sql(10, "ks_statistic", "tests"))(_top_ks(10))
 query("top15_ks", *o.TESTS, _top_sql(15, "ks_statistic", "tests"))(_top_ks(15))
 
 
+# Thirty features, so that the lists are cut.
+WIDE_TESTS = (WIDE_SQL, o.KS)
+
+
+def _top_wide(k: int) -> Query:
+    def run(spark, sf):
+        t = drift.ks_test(wide_obs(spark, sf), WIDE_SPEC)
+        return rounded(drift.top_features(t, k, F.col("ks_statistic")).select("scenario", "feature", "ks_statistic", "rank"))
+
+    return run
+
+
+query("top10_wide", *WIDE_TESTS, _top_sql(10, "ks_statistic", "tests"))(_top_wide(10))
+query("top15_wide", *WIDE_TESTS, _top_sql(15, "ks_statistic", "tests"))(_top_wide(15))
+
+
+@query(
+    "drift_share_wide",
+    *WIDE_TESTS,
+    o.SHARES.format(declared="3e1"),
+    f"SELECT scenario, n_drifted, n_tested, {o.rs('drift_share', 'tested_share')} FROM shares",
+)
+def share_wide(spark, sf):
+    return rounded(drift.drift_share(drift.ks_test(wide_obs(spark, sf), WIDE_SPEC), WIDE_SPEC))
+
+
 @query(
     "top_feature",
     *o.TESTS,
@@ -823,6 +852,13 @@ def count_policy(spark, sf):
     return _flat(policy.count_policy(_decision_rows(spark, sf), COUNT_POLICY), "reasons")
 
 
+@query("policy_count_wide", *WIDE_TESTS, o.SHARES.format(declared="3e1"), o.EVAL, o.COMPARED, o.DECISION, _policy_sql(COUNT_SQL))
+def count_policy_wide(spark, sf):
+    """Thirty features: none, some and most of them drift, which takes all levels of the policy."""
+    rows = monitoring.decision_input(wide_obs(spark, sf), WIDE_SPEC, RATIO_POLICY.alpha)
+    return _flat(policy.count_policy(rows, COUNT_POLICY), "reasons")
+
+
 @query("policy_inline", *o.DECIDED, _policy_sql(INLINE_SQL))
 def inline_policy(spark, sf):
     return _flat(policy.count_policy(_decision_rows(spark, sf), INLINE_POLICY), "reasons")

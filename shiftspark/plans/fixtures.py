@@ -99,6 +99,48 @@ def event_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_columns(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+# As many features as the card-transaction schema has.
+WIDE_FEATURES = tuple(f"e{i}" for i in range(30))
+WIDE_SPEC = ObsSpec(features=WIDE_FEATURES)
+# How many of the features are shifted in each batch.
+WIDE_SHIFTED = {"Drift 1": 0, "Drift 2": 6, "Drift 3": 20}
+
+
+def wide_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty vector components as features: a baseline and batches in which none, some and most of them are shifted."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    part = F.col("vec_id") % 5
+    name = F.when(part < 2, F.lit("Baseline"))
+    for i, batch in enumerate(WIDE_SHIFTED):
+        name = name.when(part == i + 2, F.lit(batch))
+    shifted = F.lit(0)
+    for batch, n in WIDE_SHIFTED.items():
+        shifted = F.when(F.col("scenario") == batch, F.lit(n)).otherwise(shifted)
+    e = lambda i: F.col("embedding")[i].cast("double")
+    features = [F.when(F.lit(i) < shifted, e(i) + d(0.25)).otherwise(e(i)).alias(f"e{i}") for i in range(len(WIDE_FEATURES))]
+    y = (F.col("label") % 2).cast("int")
+    score = y * d(0.5) + (e(30) + d(1)) / d(4)
+    table = rows.withColumn("scenario", name).select("scenario", "vec_id", *features, y.alias("Class"), score.alias("Probability"))
+    return table.withColumn("Prediction", (F.col("Probability") > d(0.5)).cast("int"))
+
+
+def _wide_case() -> str:
+    cases = " ".join(f"WHEN vec_id % 5 = {i + 2} THEN '{b}'" for i, b in enumerate(WIDE_SHIFTED))
+    return f"CASE WHEN vec_id % 5 < 2 THEN 'Baseline' {cases} END"
+
+
+_WIDE_SHIFT = "CASE scenario " + " ".join(f"WHEN '{b}' THEN {n}" for b, n in WIDE_SHIFTED.items()) + " ELSE 0 END"
+WIDE_SQL = f"""
+obs AS (
+  SELECT *, CASE WHEN Probability > 5e-1 THEN 1 ELSE 0 END AS Prediction FROM (
+    SELECT scenario, vec_id, embedding, label % 2 AS Class, (label % 2) * 5e-1 + (CAST(embedding[31] AS DOUBLE) + 1e0) / 4e0 AS Probability
+    FROM (SELECT *, {_wide_case()} AS scenario FROM embeddings))),
+long AS (
+  SELECT scenario, 'e' || (i - 1) AS feature,
+    CAST(embedding[i] AS DOUBLE) + CASE WHEN i - 1 < {_WIDE_SHIFT} THEN 2.5e-1 ELSE 0e0 END AS value
+  FROM obs, range(1, {len(WIDE_FEATURES) + 1}) g(i) WHERE embedding[i] IS NOT NULL)
+"""
+
 ACCOUNT_SPEC = ObsSpec(features=("balance", "digits"), baseline="BUILDING")
 
 
