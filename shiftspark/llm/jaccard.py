@@ -8,7 +8,7 @@ nodes, and only links between different classes are looked for.
 * Candidates: two sets that are similar enough share an n-gram of their prefixes (prefix, length and position filters).
 * Verification: each class has a parity bitmap, a few bits for each of its n-grams. The bits in which two bitmaps differ are at most as
   many as the n-grams that only one of the two sets has, so pairs that differ in too many bits drop out, and no other. For those left the
-  order is cut into FRAGMENTS ranges: the common n-grams of a range are counted by themselves and summed per pair.
+  order is cut into FRAGMENTS ranges: a row for each pair and range counts the common n-grams of that range, and these are summed per pair.
 * Only components are asked for. First each row of a prefix list is verified with the NEIGHBOURS rows before it and the
   list's first HUBS; then, in longer lists
   that hold more than one component, all pairs between different components whose signatures, bitmaps folded to LEAST_BITS, don't rule them out.
@@ -32,6 +32,8 @@ from shiftspark.llm.common import Bits, components, hashed, kept, lowered, mix,
 
 #: Ranges of the n-gram order.
 FRAGMENTS = 8
+#: Text bytes whose n-grams a task works on at once.
+SET_BYTES = 2 << 20
 #: Bits of a bitmap for each n-gram of its set, at least, and of any bitmap; powers of two.
 GRAM_BITS, LEAST_BITS = 2, 256
 #: An n-gram counts towards the frequent ones if it is in so many texts of a slice; it is frequent from so many in all.
@@ -95,7 +97,7 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=SET_BYTES):
             grams, bounds, cls = doc_sets(b, size)
             bits = [bitmap(grams[i:j]) if j > i else None for i, j in zip(bounds[:-1], bounds[1:])]
             sig = pa.array([signature(x).view(np.int64) if x else None for x in bits], kind)
@@ -117,7 +119,7 @@ def prefixes(docs: DataFrame, size: int, frequent: Bits, percent: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in slices(batches):
+        for b in slices(batches, limit=SET_BYTES):
             grams, bounds, cls = doc_sets(b, size)
             lengths = np.diff(bounds)
             new = np.zeros(len(cls), bool)
@@ -144,13 +146,13 @@ def prefixes(docs: DataFrame, size: int, frequent: Bits, percent: int) -> DataFr
 
 
 def segments(docs: DataFrame, size: int, wanted: Bits) -> DataFrame:
-    """(cls, n, n-grams of each fragment) of the classes in `wanted`."""
+    """(cls, fragment, n, grams) of the classes in `wanted`: a row for each range of the order that holds n-grams of the class."""
     shift = np.uint64(64 - (FRAGMENTS - 1).bit_length())
-    kind = T.StructType.fromDDL("cls long, n int, grams array<array<long>>")
+    kind = T.StructType.fromDDL("cls long, fragment int, n int, grams array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in slices(batches):
+        for b in slices(batches, limit=SET_BYTES):
             grams, bounds, cls = doc_sets(b, size)
             out = []
             for i in np.flatnonzero(wanted.has(cls) & (np.diff(bounds) > 0)):
@@ -159,14 +161,15 @@ def segments(docs: DataFrame, size: int, wanted: Bits) -> DataFrame:
                 seen.add(c)
                 own = grams[bounds[i] : bounds[i + 1]]
                 cut = np.searchsorted(own >> shift, np.arange(FRAGMENTS + 1))
-                out.append((c, len(own), [own[x:y].view(np.int64) for x, y in zip(cut[:-1], cut[1:])]))
+                out += [(c, f, len(own), own[x:y].view(np.int64)) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
             if len(seen) > 1 << 20:
                 seen.clear()
             if out:
-                c, n, segs = zip(*out)
-                yield pa.RecordBatch.from_arrays([signed(np.array(c, np.uint64)), pa.array(n, pa.int32()), pa.array(list(segs), pa.list_(pa.list_(pa.int64())))], kind.names)
+                c, f, n, own = zip(*out)
+                cols = [signed(np.array(c, np.uint64)), pa.array(f, pa.int32()), pa.array(n, pa.int32()), pa.array(list(own), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, kind.names)
 
-    return docs.mapInArrow(run, kind).dropDuplicates(["cls"])
+    return docs.mapInArrow(run, kind).dropDuplicates(["cls", "fragment"])
 
 
 def both_ends(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -189,13 +192,17 @@ def plausible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, bitmaps: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough, by sums of overlaps per fragment."""
+    """The pairs (a, b) of classes whose sets are similar enough: partial overlaps are counted fragment by fragment and summed per pair."""
     pairs = kept(plausible(pairs, bitmaps, percent))
     wanted = Bits(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")), "cls")
-    found = both_ends(pairs, segments(docs, size, wanted))
-    total = reduce(lambda x, y: x + y, (F.size(F.array_intersect(F.col("grams_a")[i], F.col("grams_b")[i])) for i in range(FRAGMENTS)))
+    parts = segments(docs, size, wanted)
+    end = lambda c: parts.select(F.col("cls").alias(c), "fragment", F.col("n").alias(f"n_{c}"), F.col("grams").alias(f"grams_{c}"))
+    asked = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    met = asked.join(end("a"), ["a", "fragment"]).join(end("b"), ["b", "fragment"])
+    partial = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("overlap"))
+    total = partial.groupBy("a", "b").agg(F.sum("overlap").alias("i"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     # 100 * i >= percent * (n_a + n_b - i)
-    return found.filter((100 + percent) * total.cast("long") >= percent * (F.col("n_a") + F.col("n_b")).cast("long")).select("a", "b")
+    return total.filter((100 + percent) * F.col("i") >= percent * (F.col("n_a") + F.col("n_b")).cast("long")).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -16,7 +16,8 @@ import corpus_pipeline
 from shiftspark.llm import catalog
 from shiftspark.llm.bpe import encode_decode
 from shiftspark.llm.classifier import quality_scores
-from shiftspark.llm.jaccard import bitmap, differing, jaccard_components
+from shiftspark.llm.common import Bits
+from shiftspark.llm.jaccard import bitmap, differing, jaccard_components, profiles, segments, signature, verified
 from shiftspark.llm.kneser_ney import discounts, language_model_scores
 from shiftspark.llm.language import language_id
 from shiftspark.llm.packing import Windows, pack
@@ -143,6 +144,7 @@ def test_bitmaps_never_differ_in_more_bits_than_the_sets():
         x, y = (np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 3000)), dtype=np.uint64)) for _ in range(2))
         y = np.unique(np.concatenate([y, x[: int(rng.integers(0, len(x) + 1))]]))
         assert differing(bitmap(x), bitmap(y)) <= len(np.setxor1d(x, y))
+        assert int(np.bitwise_count(signature(bitmap(x)) ^ signature(bitmap(y))).sum()) <= differing(bitmap(x), bitmap(y))
         assert differing(bitmap(x), bitmap(x)) == 0
 
 
@@ -519,3 +521,21 @@ def test_warc_records_round_trip(spark):
     got = {(r.warc_type, r.refers_to is None, r.digests_match, r.http_status) for r in derivatives(bare).collect()}
     assert got == {(k, False, m, None) for k in ("metadata", "conversion") for m in (True, False)}
     assert derivatives(bare.filter("false")).count() == 0
+
+
+def test_overlaps_are_counted_by_fragment_and_summed_by_pair(spark, docs):
+    """Rows of the plan: (pair, fragment) from two joins on class and fragment, then a sum by pair."""
+    rows = docs.select("doc_id", "text")
+    own = profiles(rows, 5).filter("n > 0 and gram is null").select("cls", "n", "bits").dropDuplicates(["cls"])
+    some = own.select("cls").orderBy("cls").limit(60)
+    pairs = some.withColumnRenamed("cls", "a").crossJoin(some.withColumnRenamed("cls", "b")).filter("a < b")
+    found = verified(pairs, rows, own, 5, 80)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "sum(overlap" in plan and plan.count("Join Inner") >= 2 and "explode(sequence(0, 7" in plan
+    sets = {}
+    for r in segments(rows, 5, Bits(some, "cls")).collect():
+        sets.setdefault(r.cls, set()).update(r.grams)
+        assert {g % (1 << 64) >> 61 for g in r.grams} == {r.fragment} and len(r.grams) <= r.n
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    chosen = {r.cls for r in some.collect()}
+    assert {(r.a, r.b) for r in found.collect()} == {p for p in want if set(p) <= chosen}
