@@ -12,6 +12,11 @@ def shown(col: Column, places: int) -> Column:
     return F.round(col, places) + F.lit(0.0)
 
 
+def text_form(col: Column, places: int) -> Column:
+    """The number as text with a fixed number of decimal places; missing as 0."""
+    return F.format_string(f"%.{places}f", F.coalesce(col, F.lit(0.0)))
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Every DOUBLE column rounded; other columns untouched."""
     cols = [

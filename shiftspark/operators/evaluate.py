@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shiftspark.functions.display import degraded
+from shiftspark.functions.display import degraded, text_form
 from shiftspark.functions.stats import count_where, d, grid_index, known, ratio
 from shiftspark.operators.prefix import Layout, Running, running_sums, size_up, with_bucket, with_lower
 from shiftspark.spec import DEFAULT_THRESHOLD, DEGRADED_MARGIN, ObsSpec
@@ -272,6 +272,17 @@ def compare(metrics: DataFrame, spec: ObsSpec) -> DataFrame:
     return with_base.select("*", *[(F.col(m) - F.col(f"base_{m}")).alias(f"delta_{m}") for m in METRICS])
 
 
+def impact_view(compared: DataFrame) -> DataFrame:
+    """Metrics and deltas with 0 for what is absent, and F1 and AUC as text."""
+    filled = [F.coalesce(c, d(0)).alias(c) for c in [*METRICS, *[f"delta_{m}" for m in METRICS]]]
+    return compared.select(
+        "scenario",
+        *filled,
+        text_form(F.col("f1_score"), 3).alias("f1_text"),
+        text_form(F.col("auc_roc"), 2).alias("auc_text"),
+    )
+
+
 def compare_with(metrics: DataFrame, baseline: dict[str, float], name: str = "Baseline") -> DataFrame:
     """The same comparison against stored baseline metrics, with a baseline row on top."""
     stored = metrics.sparkSession.createDataFrame(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shiftspark.functions.stats import d, known
 from shiftspark.operators.evaluate import default_label, evaluate, label_at
 from shiftspark.operators.prepare import fit_scaler, scaler_stage
-from shiftspark.operators.select import strict_select
+from shiftspark.operators.select import demand
 from shiftspark.spec import DEFAULT_THRESHOLD, ObsSpec
 
 
@@ -53,9 +53,7 @@ def score(model: PipelineModel, df: DataFrame, spec: ObsSpec, keep_scaled: bool
 
     A row with a missing feature gets neither."""
     features = list(spec.features)
-    missing = [f for f in features if f not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
+    demand(df, features, numeric=features)
     complete = F.lit(True)
     for f in features:
         complete = complete & known(f).isNotNull()
@@ -73,7 +71,6 @@ def score_with_threshold(
 ) -> DataFrame:
     """Batch scoring of rows whose columns come in any order: input columns,
     ``probability`` and the label at the threshold."""
-    strict_select(df, list(spec.features))
     scored = score(model, df, spec)
     return scored.select(*df.columns, F.col(spec.score).alias("probability")).withColumn(
         "prediction", label_at(F.col("probability"), threshold)

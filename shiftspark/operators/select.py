@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,32 @@ def split_label(df: DataFrame, spec: ObsSpec) -> tuple[DataFrame, DataFrame]:
     return df.drop(spec.label), df.select(spec.label)
 
 
-def strict_select(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exactly these columns in this order; the error names what is missing."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*columns)
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def schema_faults(df: DataFrame, columns: list[str], numeric: Collection[str] = ()) -> list[str]:
+    """What keeps a table from having these columns, some of them as numbers; one text for each fault."""
+    kinds = dict(df.dtypes)
+    faults = []
+    for c in columns:
+        if c not in kinds:
+            faults.append(f"{c} is absent")
+        elif c in numeric and not kinds[c].startswith(NUMBERS):
+            faults.append(f"{c} holds {kinds[c]} and no numbers")
+    return faults
+
+
+def demand(df: DataFrame, columns: list[str], numeric: Collection[str] = ()) -> DataFrame:
+    """The table itself, or an error that names all faults at once."""
+    faults = schema_faults(df, columns, numeric)
+    if faults:
+        raise ValueError("the table does not fit: " + "; ".join(faults))
+    return df
+
+
+def strict_select(df: DataFrame, columns: list[str], numeric: Collection[str] = ()) -> DataFrame:
+    """Exactly these columns in this order."""
+    return demand(df, columns, numeric).select(*columns)
 
 
 def common_features(spec: ObsSpec, *frames: DataFrame) -> list[str]:

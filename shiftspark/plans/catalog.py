@@ -579,6 +579,29 @@ def deep_dive(spark, sf):
     return rounded(one.select("scenario", "ks_statistic", "p_value", "mean_shift", "drifted"))
 
 
+@query(
+    "feature_page",
+    *o.TESTS,
+    CLIPPED_SQL,
+    f"""bars AS (SELECT s.scenario, CAST(i AS INTEGER) AS bin, a + i * ((z - a) / 3e1) AS left_edge, count(v) / (n * ((z - a) / 3e1)) AS density
+      FROM spans s CROSS JOIN (SELECT range AS i FROM range(30)) g
+      LEFT JOIN clipped c ON c.scenario = s.scenario AND c.feature = s.feature
+        AND v >= a + i * ((z - a) / 3e1) AND (v < a + (i + 1) * ((z - a) / 3e1) OR i = 29)
+      WHERE s.feature = 'price' GROUP BY s.scenario, i, a, z, n)""",
+    f"""SELECT b.scenario, bin, {o.rs('left_edge', 'density', 'ks_statistic', 'p_value')}, drifted FROM bars b
+    LEFT JOIN (SELECT * FROM tests WHERE feature = 'price') t ON t.scenario = b.scenario""",
+)
+def page_of_feature(spark, sf):
+    """One feature's page: its distribution in every scenario beside its test."""
+    table_ = obs(spark, sf)
+    one = SPEC.with_features("price")
+    layout = monitoring.survey(table_, one)
+    bars = profile.density_histogram(table_, one, bins=30, layout=layout)
+    tests = drift.ks_test(table_, one, layout=layout).select("scenario", "ks_statistic", "p_value", "drifted")
+    joined = bars.join(tests, "scenario", "left")
+    return rounded(joined.select("scenario", "bin", "left_edge", "density", "ks_statistic", "p_value", "drifted"))
+
+
 # -------------------------------------------------------------------- psi
 
 PSIS = (*o.LONG, o.PSI)
@@ -768,6 +791,27 @@ def impact(spark, sf):
     )
 
 
+@query(
+    "impact_view",
+    *COMPARISON,
+    f"""SELECT scenario, {', '.join(o.r(m, f'coalesce({m}, 0e0)') for m in [*evaluate.METRICS, *DELTAS])},
+    printf('%.3f', coalesce(compared.f1_score, 0e0)) AS f1_text, printf('%.2f', coalesce(compared.auc_roc, 0e0)) AS auc_text FROM compared""",
+)
+def view(spark, sf):
+    """The comparison with 0 for absent metrics and text forms."""
+    return rounded(evaluate.impact_view(_compared(spark, sf)))
+
+
+@query("stored_compare", *COMPARISON, f"SELECT scenario, {o.rs(*evaluate.METRICS, *DELTAS)} FROM compared")
+def with_stored(spark, sf):
+    """Batches compared with a baseline record that was written as JSON and read back."""
+    metrics = evaluate.evaluate(obs(spark, sf), SPEC)
+    path = shared_folder(spark)
+    write_json(reports.baseline_report(metrics, SPEC, "lineitem", "threshold rule"), path)
+    record = readers.read_metrics(spark, path).first().asDict()
+    return rounded(evaluate.compare_with(metrics, record).select("scenario", *evaluate.METRICS, *DELTAS))
+
+
 @query(
     "impact_delta", *COMPARISON, f"SELECT scenario, {o.rs(*DELTAS)} FROM compared WHERE scenario <> 'Baseline'"
 )
@@ -864,6 +908,7 @@ def inline_policy(spark, sf):
     return _flat(policy.count_policy(_decision_rows(spark, sf), INLINE_POLICY), "reasons")
 
 
+# Fixed values in the SQL: the wording of the advice.
 @query(
     "recommendation",
     *o.DECIDED,
@@ -878,6 +923,23 @@ def recommend(spark, sf):
     return policy.with_recommendation(decided).select("scenario", "status", "recommendation")
 
 
+# The wording of the advice.
+INLINE_ADVICE_SQL = """CASE status
+      WHEN 'RETRAIN' THEN 'Retraining is recommended based on drift and/or performance degradation.'
+      WHEN 'WARNING' THEN 'Monitor closely. Performance is degrading but has not yet crossed retrain threshold.'
+      ELSE 'Model is stable. No action required.' END"""
+
+
+@query(
+    "recommendation_inline",
+    *o.DECIDED,
+    f"SELECT scenario, status, {INLINE_ADVICE_SQL} AS recommendation FROM (SELECT scenario, {INLINE_SQL['status']} AS status FROM rows)",
+)
+def recommend_inline(spark, sf):
+    decided = policy.count_policy(_decision_rows(spark, sf), INLINE_POLICY)
+    return policy.with_recommendation(decided, policy.INLINE_RECOMMENDATIONS).select("scenario", "status", "recommendation")
+
+
 RATIO_COLUMNS = f"scenario, n_drifted, {o.rs('drift_share', 'f1_score', 'auc_roc')}, retrain"
 
 
@@ -915,6 +977,7 @@ def full_health(spark, sf):
     return rounded(monitoring.model_health(obs(spark, sf), SPEC, RATIO_POLICY))
 
 
+# Fixed values in the SQL: the wording of the limits.
 @query(
     "threshold_table",
     *o.DECIDED,
@@ -1001,6 +1064,16 @@ def split(spark, sf):
     )
 
 
+@query(
+    "hash_split",
+    *o.OBS,
+    f"""SELECT CASE WHEN {SPLIT_HASH} / 4294967296e0 < 6e-1 THEN 'train' WHEN {SPLIT_HASH} / 4294967296e0 < 8e-1 THEN 'val' ELSE 'test' END AS split,
+      scenario, count(*) AS n FROM obs GROUP BY 1, 2""",
+)
+def cheap_split(spark, sf):
+    return prepare.hash_split(obs(spark, sf), KEYS).groupBy("split", "scenario").agg(F.count("*").alias("n"))
+
+
 @query(
     "standardize",
     *o.OBS,

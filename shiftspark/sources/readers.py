@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftspark.operators.select import strict_select
+from shiftspark.operators.select import demand
 from shiftspark.spec import ObsSpec
 
 
@@ -17,7 +17,7 @@ def read_csv(spark: SparkSession, path: str, spec: ObsSpec, lenient: bool = True
     """
     raw = spark.read.option("header", True).csv(path)
     if not lenient:
-        strict_select(raw, [*spec.features, spec.label])
+        demand(raw, [*spec.features, spec.label])
     typed = {f: F.col(f"`{f}`").cast("double") for f in spec.features if f in raw.columns}
     if spec.label in raw.columns:
         typed[spec.label] = F.col(f"`{spec.label}`").cast("double").cast("int")

@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     on a cluster it is an error, as executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="shiftspark-")
         spark.conf.set("spark.checkpoint.dir", base)

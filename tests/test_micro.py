@@ -153,8 +153,15 @@ def test_winsorize_keeps_missing(spark):
     assert {r["value"] for r in winsorize(long, bounds).collect()} == {None, 1.0}
 
 
+def test_a_table_that_does_not_fit_is_told_all_its_faults(spark):
+    df = spark.createDataFrame([(1, "x", 2.0)], "id long, b string, c double")
+    with pytest.raises(ValueError, match="b holds string and no numbers; d is absent"):
+        strict_select(df, ["id", "b", "c", "d"], numeric=["id", "b", "c", "d"])
+    assert strict_select(df, ["c", "id"], numeric=["c", "id"]).columns == ["c", "id"]
+
+
 def test_strict_select_names_missing(spark):
-    with pytest.raises(ValueError, match="b, c"):
+    with pytest.raises(ValueError, match="b is absent; c is absent"):
         strict_select(spark.range(1), ["id", "b", "c"])
 
 
