@@ -1,7 +1,9 @@
 """The corpus operators against brute force, on sample tables and on hostile rows."""
 
 import collections
+import gzip
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -517,12 +519,48 @@ def test_warc_records_round_trip(spark):
         assert headers["WARC-Block-Digest"] == digest(content) and r.source_payload_digest == own.payload_digest
         assert headers.get("WARC-Target-URI") == (own.target_uri and " ".join(own.target_uri.split()))
     assert len({r.record_id for r in rows}) == 2 * len(source)
-    bare = spark.createDataFrame([(None,) * 6, ("<urn:x>", "u", "d", "sha256:0", None, bytearray(b"no head"))], SOURCE)
+    bare = spark.createDataFrame([(None,) * 7, ("<urn:x>", "u", "d", "sha256:0", None, bytearray(b"no head"), None)], SOURCE)
     got = {(r.warc_type, r.refers_to is None, r.digests_match, r.http_status) for r in derivatives(bare).collect()}
     assert got == {(k, False, m, None) for k in ("metadata", "conversion") for m in (True, False)}
     assert derivatives(bare.filter("false")).count() == 0
 
 
+def response(headers, payload):
+    return bytearray("".join(["HTTP/1.1 200 OK\r\n", *(f"{k}: {v}\r\n" for k, v in headers), "\r\n"]).encode("latin-1") + payload)
+
+
+def test_warc_bodies_are_read_as_their_headers_say(spark):
+    page_ = "<p>für Öl</p>"
+    many = [("Set-Cookie", "a=1"), ("Set-Cookie", "b=2"), ("X", "y:z")]
+    cases = {
+        "latin": ([("Content-Type", "text/html; charset=ISO-8859-1"), *many], page_.encode("latin-1"), "für Öl"),
+        "declared": ([("Content-Type", "text/html")], f"<meta charset=windows-1252>{page_}".encode("cp1252"), "für Öl"),
+        "unknown charset": ([("content-type", "text/html; charset=none-such")], page_.encode(), "für Öl"),
+        "gzip": ([("Content-Encoding", "gzip")], gzip.compress(page_.encode()), "für Öl"),
+        "chunked": ([("Transfer-Encoding", "chunked"), ("Content-Encoding", "deflate")], (lambda z: b"%x\r\n%b\r\n%x;q=1\r\n%b\r\n0\r\n\r\n" % (4, z[:4], len(z) - 4, z[4:]))(zlib.compress(page_.encode())), "für Öl"),
+        "plain": ([("Content-Type", "text/plain")], b"a < b <p>", "a < b <p>"),
+        "image": ([("Content-Type", "image/png")], b"\x89PNG", None),
+        "unknown encoding": ([("Content-Encoding", "br")], b"\x1b\x00", None),
+        "not gzip": ([("Content-Encoding", "gzip")], b"<p>text", None),
+    }
+    rows = [(name, f"http://h.example/{name}", "2024-05-06T07:08:09Z", None, None, response(h, data), [("WARC-Type", "response"), ("WARC-IP-Address", "192.0.2.1")]) for name, (h, data, _) in cases.items()]
+    found = {(r.refers_to, r.warc_type): r for r in derivatives(spark.createDataFrame(rows, SOURCE)).collect()}
+    for name, (h, _, want) in cases.items():
+        text, meta = found[name, "conversion"], json.loads(found[name, "metadata"].content)
+        assert (text.content, text.converted) == (want or "", want is not None), name
+        assert meta["headers"] == [list(x) for x in h] and meta["warc-headers"] == [["WARC-Type", "response"], ["WARC-IP-Address", "192.0.2.1"]]
+        head, _ = parsed(bytes(text.record))
+        assert (head["WARC-Refers-To"], head["WARC-Refers-To-Target-URI"], head["WARC-Refers-To-Date"]) == (name, f"http://h.example/{name}", "2024-05-06T07:08:09Z")
+    without = spark.createDataFrame(rows, SOURCE).drop("headers")
+    assert derivatives(without).filter("converted").count() == 2 * sum(w is not None for _, _, w in cases.values())
+
+
+def test_equal_pages_of_different_ids_are_different_records(spark):
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (None, "u", "x")], "page_id long, url string, html string")
+    assert responses(pages).select("record_id").distinct().count() == 3
+    assert responses(pages.drop("page_id")).select("record_id").distinct().count() == 1
+
+
 def test_overlaps_are_counted_by_fragment_and_summed_by_pair(spark, docs):
     """Rows of the plan: (pair, fragment) from two joins on class and fragment, then a sum by pair."""
     rows = docs.select("doc_id", "text")
