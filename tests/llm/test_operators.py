@@ -480,6 +480,18 @@ def test_pipeline_stages(spark, odd, docs, none):
     assert all(f(spark, none, "").count() == 0 for _, f in corpus_pipeline.STAGES)
 
 
+def test_pipeline_stages_keep_columns_of_any_type_and_prefer_named_rows(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, text, "en", "s", {"k": "v"}, 1), (5, text, "en", "s", {"k": "w"}, 2), (3, text + " end", "en", "s", None, 3), (None, "other " * 3 + "words of one", "en", "s", {}, 4), (None, None, None, None, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, more map<string,string>, __row int")
+    near = corpus_pipeline.near_duplicates(spark, df, "")
+    assert near.columns == df.columns and sorted(r["__row"] for r in near.collect()) == [3, 4, 5]
+    for stage in (corpus_pipeline.quality, corpus_pipeline.language):
+        kept_rows = stage(spark, df, "")
+        assert kept_rows.columns == df.columns and {r["__row"] for r in kept_rows.collect()} <= {1, 2, 3, 4}
+    assert {r.more["k"] for r in corpus_pipeline.language(spark, df.filter("__row < 3"), "").collect()} == {"v", "w"}
+
+
 def test_query_digests(spark):
     t = Tokenizer.from_file(PATH)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
