@@ -31,7 +31,7 @@ from pyspark.sql import window as W
 from shiftspark.llm.common import Bits, components, hashed, kept, lowered, mix, raw, slices, windows, words
 
 #: Ranges of the n-gram order.
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Text bytes whose n-grams a task works on at once.
 SET_BYTES = 2 << 20
 #: Bits of a bitmap for each n-gram of its set, at least, and of any bitmap; powers of two.

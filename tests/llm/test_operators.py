@@ -19,7 +19,7 @@ from shiftspark.llm import catalog
 from shiftspark.llm.bpe import encode_decode
 from shiftspark.llm.classifier import quality_scores
 from shiftspark.llm.common import Bits
-from shiftspark.llm.jaccard import bitmap, differing, jaccard_components, profiles, segments, signature, verified
+from shiftspark.llm.jaccard import FRAGMENTS, bitmap, differing, jaccard_components, profiles, segments, signature, verified
 from shiftspark.llm.kneser_ney import discounts, language_model_scores
 from shiftspark.llm.language import language_id
 from shiftspark.llm.packing import Windows, pack
@@ -581,11 +581,11 @@ def test_overlaps_are_counted_by_fragment_and_summed_by_pair(spark, docs):
     pairs = some.withColumnRenamed("cls", "a").crossJoin(some.withColumnRenamed("cls", "b")).filter("a < b")
     found = verified(pairs, rows, own, 5, 80)
     plan = found._jdf.queryExecution().analyzed().toString()
-    assert "sum(overlap" in plan and plan.count("Join Inner") >= 2 and "explode(sequence(0, 7" in plan
+    assert "sum(overlap" in plan and plan.count("Join Inner") >= 2 and f"explode(sequence(0, {FRAGMENTS - 1}" in plan
     sets = {}
     for r in segments(rows, 5, Bits(some, "cls")).collect():
         sets.setdefault(r.cls, set()).update(r.grams)
-        assert {g % (1 << 64) >> 61 for g in r.grams} == {r.fragment} and len(r.grams) <= r.n
+        assert {g % (1 << 64) >> 64 - (FRAGMENTS - 1).bit_length() for g in r.grams} == {r.fragment} and len(r.grams) <= r.n
     want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     chosen = {r.cls for r in some.collect()}
     assert {(r.a, r.b) for r in found.collect()} == {p for p in want if set(p) <= chosen}
