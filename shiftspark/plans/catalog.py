@@ -706,12 +706,11 @@ curve AS (
     CURVE_SQL,
     f"""SELECT scenario, {o.r('threshold', 's')}, {o.r('fpr', 'CASE WHEN n > 0 THEN fp / CAST(n AS DOUBLE) END')},
     {o.r('tpr', 'CASE WHEN p > 0 THEN tp / CAST(p AS DOUBLE) END')} FROM curve
-    WHERE place = 1 OR pos_next IS NULL OR pos <> pos_next OR neg <> neg_next
     UNION ALL SELECT DISTINCT scenario, NULL, 0e0, 0e0 FROM ranked""",
 )
 def roc(spark, sf):
-    """Without the thresholds at which the curve goes straight on."""
-    return rounded(evaluate.roc_curve(obs(spark, sf), SPEC))
+    """Every distinct score is a threshold, also where the curve goes straight on."""
+    return rounded(evaluate.roc_curve(obs(spark, sf), SPEC, thin=False))
 
 
 @query(
