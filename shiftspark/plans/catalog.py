@@ -13,7 +13,6 @@ from shiftspark.operators import drift, evaluate, policy, prepare, profile, psi,
 from shiftspark.operators.select import (
     common_features,
     features_long,
-    melt,
     scenario_filter,
     split_label,
     strict_select,
@@ -1079,24 +1078,15 @@ def cheap_split(spark, sf):
     "fitted AS (SELECT "
     + ", ".join(f"avg({f}) AS m_{f}, coalesce(nullif(stddev_pop({f}), 0e0), 1e0) AS s_{f}" for f in FEATURES)
     + " FROM obs WHERE scenario = 'Baseline')",
-    f"""scaled AS ({" UNION ALL ".join(f"SELECT scenario, '{f}' AS feature, l_linenumber, ({f} - m_{f}) / s_{f} AS z FROM obs, fitted" for f in FEATURES)})""",
-    f"""SELECT scenario, feature, l_linenumber, count(z) AS n, {o.r('mean', 'avg(z)')}, {o.r('square', 'avg(z * z)')},
-    {o.r('lo', 'min(z)')}, {o.r('hi', 'max(z)')} FROM scaled GROUP BY scenario, feature, l_linenumber""",
+    "SELECT scenario, l_orderkey, l_linenumber, "
+    + ", ".join(o.r(f, f"({f} - m_{f}) / s_{f}") for f in FEATURES)
+    + " FROM obs CROSS JOIN fitted",
 )
 def scaled(spark, sf):
-    """Scaled by the baseline's mean and deviation; a row for each scenario, feature and line number sums them up."""
+    """Every row scaled by the baseline's mean and deviation."""
     table_ = obs(spark, sf)
     scaler = prepare.fit_scaler(table_.filter(F.col("scenario") == "Baseline"), FEATURES)
-    z = melt(prepare.standardize(table_, scaler), ["scenario", "l_linenumber"], FEATURES, "z")
-    return rounded(
-        z.groupBy("scenario", "feature", "l_linenumber").agg(
-            F.count("z").alias("n"),
-            F.avg("z").alias("mean"),
-            F.avg(F.col("z") * F.col("z")).alias("square"),
-            F.min("z").alias("lo"),
-            F.max("z").alias("hi"),
-        )
-    )
+    return rounded(prepare.standardize(table_, scaler).select("scenario", "l_orderkey", "l_linenumber", *FEATURES))
 
 
 @query(

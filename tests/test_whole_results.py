@@ -25,3 +25,13 @@ def test_roc_curve_has_every_distinct_score(spark, lines):
     got = sorted((r["threshold"], r["fpr"]) for r in points if r["threshold"] is not None)
     assert got == [(pytest.approx((i + 3) / 120, abs=2e-6), pytest.approx((41 - i) / 40)) for i in range(1, 41)]
     assert sum(r["threshold"] is None for r in points) == 1
+
+
+def test_standardize_has_every_row(spark, lines):
+    got = {r["l_orderkey"]: r for r in entry.queries()["standardize"](spark, lines).collect()}
+    assert sorted(got) == [*range(1, 41), 90, 91]
+    mean, deviation = 20.5, (sum((i - 20.5) ** 2 for i in range(1, 41)) / 40) ** 0.5
+    for i in (1, 7, 40, 90, 91):
+        qty = {90: 60.0, 91: 10.0}.get(i, float(i))
+        assert got[i]["qty"] == pytest.approx((qty - mean) / deviation, abs=2e-6)
+    assert got[90]["scenario"] == "Drift 1" and got[90]["tax"] == 0.0 and got[91]["tax"] is None
