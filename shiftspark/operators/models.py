@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shiftspark.functions.stats import d, known
 from shiftspark.operators.evaluate import default_label, evaluate, label_at
+from shiftspark.operators.forest import Forest
 from shiftspark.operators.prepare import fit_scaler, scaler_stage
 from shiftspark.operators.select import demand
 from shiftspark.spec import DEFAULT_THRESHOLD, ObsSpec
@@ -24,8 +25,8 @@ def logistic(n_rows: int) -> LogisticRegression:
     )
 
 
-def forest(trees: int = 100, depth: int = 8, seed: int = 42) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
+def forest(trees: int = 100, depth: int = 8, seed: int = 42) -> Forest:
+    return Forest(numTrees=trees, maxDepth=depth, seed=seed)
 
 
 def boosted(rounds: int = 20, depth: int = 5, seed: int = 42) -> GBTClassifier:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shiftspark.functions.display import rounded
 from shiftspark.functions.stats import d
 from shiftspark.operators import evaluate, models, prepare, reports
+from shiftspark.operators.prefix import size_up
 from shiftspark.plans import oracle as o
 from shiftspark.plans.catalog import KEYS, SPEC, SPLIT_CTES, query
 from shiftspark.plans.fixtures import obs
@@ -48,18 +49,22 @@ def parts(spark, sf) -> dict[str, DataFrame]:
 
 
 def facts(model: PipelineModel, p: dict[str, DataFrame]) -> DataFrame:
-    """What holds of the scores of the held-out baseline rows and of every batch."""
+    """What holds of the scores of the held-out baseline rows and of every batch.
+
+    The rows are scored once; all else is summed up from their counted outcomes."""
     scored = models.score(model, p["test"].unionByName(p["batches"]), SPEC)
-    s, c = F.col(SPEC.score), F.col(SPEC.prediction)
-    counted = scored.groupBy("scenario").agg(
-        F.count("*").alias("n_rows"),
-        F.count(F.when(F.col("Class") == 1, 1)).alias("n_positive"),
-        F.count(s).alias("n_scored"),
-        F.bool_and(c == (s > d(0.5)).cast("int")).alias("classes_follow"),
+    counts = stored(evaluate.outcome_counts(scored, SPEC))
+    cuts = size_up(counts, "scenario", ["score"]).cuts
+    n, s = F.col("n"), F.col("score")
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0).cast("long"))
+    return evaluate.ranked_outcomes(counts, cuts).groupBy("scenario").agg(
+        F.sum("n").alias("n_rows"),
+        total(F.col("y") == 1).alias("n_positive"),
+        total(s.isNotNull()).alias("n_scored"),
+        F.bool_and(F.col("p") == (s > d(0.5)).cast("int")).alias("classes_follow"),
         F.bool_and(s.between(0.0, 1.0)).alias("within_0_1"),
+        (evaluate.auc_sum() > d(GOOD_AUC)).alias("ranks_well"),
     )
-    areas = evaluate.auc(scored, SPEC).select("scenario", (F.col("auc_roc") > d(GOOD_AUC)).alias("ranks_well"))
-    return counted.join(areas, "scenario", "left")
 
 
 @query("fit_logistic", *PARTS_SQL, FACTS_SQL)
